@@ -104,16 +104,18 @@ def row_silhouettes(rows: DataFrame, key: str, vector: str, labels: Sequence[str
     meets two blocks at a time, multiplies them as matrices and passes on one
     vector per row, its summed distance to each cluster; pairs are never emitted.
     """
-    spaces = [[r[0] for r in rows.select(c).distinct().orderBy(c).collect()] for c in labels]  # cluster names
-    widths = [len(s) for s in spaces]
-    edges = np.cumsum([0] + widths)
-    codes = F.array(*(F.array_position(F.array(*(F.lit(v) for v in s)), F.col(c)).cast("int") - 1 for c, s in zip(labels, spaces)))
-    coded = rows.select(F.col(key).alias("key"), F.col(vector).alias("x"), codes.alias("codes"))
-    sizes = coded.select(F.posexplode("codes").alias("at", "code")).groupBy("at", "code").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = np.zeros(edges[-1])
-    for r in sizes:
-        counts[edges[r["at"]] + r["code"]] = r["n"]
-    n = int(counts[: widths[0]].sum())
+    sizes = (
+        rows.select(F.posexplode(F.array(*labels)).alias("at", "name")).groupBy("at", "name")
+        .agg(F.count(F.lit(1)).alias("n")).orderBy("at", "name").collect()  # one row per cluster
+    )
+    spaces = [[r.name for r in sizes if r["at"] == i] for i in range(len(labels))]
+    counts = np.array([float(r.n) for r in sizes])
+    edges = np.cumsum([0] + [len(s) for s in spaces])
+    code = lambda c, s: (F.array_position(F.array(*map(F.lit, s)), F.col(c)) - 1).cast("int")
+    coded = rows.select(
+        F.col(key).alias("key"), F.col(vector).alias("x"), F.array(*map(code, labels, spaces)).alias("codes")
+    )
+    n = int(counts[: edges[1]].sum())
     blocks = max(1, -(-n // block_rows))
 
     def members(codes_: np.ndarray) -> np.ndarray:

@@ -379,8 +379,9 @@ def factor_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _factored(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of every vector, the basis fitted without the rows that test the probe."""
     rows = vectors(spark, folder)
-    return split_factors(rows, "x", fit_factors(rows, "x", "label"))
+    return split_factors(rows, "x", fit_factors(rows.where(~splits.hash_holdout("vec_id")), "x", "label"))
 
 
 def persona_probe(spark: SparkSession, folder: str) -> DataFrame:

@@ -298,12 +298,12 @@ u AS (SELECT doc_id, bucket, weight, sqrt(sum(weight * weight) OVER (PARTITION B
 SELECT doc_id, bucket::INT AS bucket, round(weight / length, 6) AS weight FROM u WHERE weight <> 0""",
     "encode_tokens": f"""
 WITH d AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents),
-t AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS at FROM d),
+t AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM d),
 vocabulary AS (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS id FROM (SELECT token, count(*) AS n FROM t GROUP BY token)
   ORDER BY id LIMIT {SETTINGS.vocabulary_size}),
 body AS (
-  SELECT doc_id, list(coalesce(id, 1) ORDER BY at) AS ids FROM t LEFT JOIN vocabulary USING (token) WHERE at <= {_BODY} GROUP BY doc_id),
+  SELECT doc_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM t LEFT JOIN vocabulary USING (token) WHERE pos <= {_BODY} GROUP BY doc_id),
 full_ids AS (SELECT doc_id, list_concat(list_concat([2], coalesce(ids, [])), [3]) AS ids FROM documents LEFT JOIN body USING (doc_id))
 SELECT doc_id, array_to_string(list_resize(ids, {SETTINGS.max_tokens}, 0), ' ') AS input_ids,
   array_to_string(list_transform(list_resize(ids, {SETTINGS.max_tokens}, 0), lambda i: (i <> 0)::INT), ' ') AS attention_mask
