@@ -1,7 +1,10 @@
-"""Text expressions, all built-in Spark functions."""
+"""Text expressions of built-in Spark functions, and words of Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from dialogue_factors.config import WHITESPACE
@@ -20,9 +23,20 @@ def clean(text: Column | str) -> Column:
     return F.lower(strip(text))
 
 
-def tokens(text: Column | str) -> Column:
-    """Lower-case words: maximal runs of letters and digits of the whole text."""
-    return F.filter(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def token_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of lower-cased texts: maximal runs of letters and digits.
+
+    Returns all words in order, the row of each, and its position within the row.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    pieces = pc.split_pattern_regex(texts.fill_null("").cast(pa.large_string()), r"[^\p{L}\p{N}]+")
+    flat, sizes = pieces.flatten(), np.diff(pieces.offsets.to_numpy())
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(texts)), sizes)[real]
+    per_row = np.bincount(rows, minlength=len(texts))
+    position = np.arange(len(rows)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+    return flat.filter(pa.array(real)), rows, position
 
 
 def seeded_hash(seed: int | str, *keys: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,28 +14,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dialogue_factors.config import Settings
 from dialogue_factors.functions.matrices import as_lists, map_rows
-from dialogue_factors.functions.text import hash_number, tokens
+from dialogue_factors.functions.text import token_lists
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def token_buckets(text: Column | str, dims: int) -> Column:
-    """Hash bucket of every token of the whole text."""
-    return F.transform(tokens(text), lambda t: (hash_number(F.md5(t)) % dims).cast("int"))
-
-
-def bucket_counts(buckets: Column, dims: int) -> Column:
-    """Dense counts per bucket for each row."""
+def bucket_counts(text: Column | str, dims: int) -> Column:
+    """Words of the whole text counted by hash bucket, the md5's first 32 bits mod `dims`."""
 
     @F.arrow_udf("array<double>")
-    def run(lists: pa.Array) -> pa.Array:
-        lengths = np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(len(lists)), lengths)
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(row * dims + flat, minlength=len(lists) * dims)
-        return as_lists(counts.reshape(len(lists), dims))
+    def run(texts: pa.Array) -> pa.Array:
+        words, rows, _ = token_lists(texts)
+        coded = words.dictionary_encode()
+        # Each distinct word of the batch is hashed once.
+        bucket = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims for w in coded.dictionary.to_pylist()]
+        at = rows * dims + np.array(bucket, dtype=np.int64)[coded.indices.to_numpy()]
+        return as_lists(np.bincount(at, minlength=len(texts) * dims).reshape(len(texts), dims))
 
-    return run(buckets)
+    return run(F.lower(text))
 
 
 def merge_parts(counts: DataFrame, key: str, column: str) -> DataFrame:
@@ -68,7 +65,7 @@ def hashed_tfidf(texts: DataFrame, key: str, text: str = "text", settings: Setti
     """
     width = dims or settings.text_dims
     columns = [key] + [c for c in ("parts",) if c in texts.columns]
-    counts = texts.select(*columns, bucket_counts(token_buckets(text, width), width).alias("counts"))
+    counts = texts.select(*columns, bucket_counts(text, width).alias("counts"))
     if "parts" in columns:
         counts = merge_parts(counts, key, "counts")
     idf = inverse_document_frequency(counts)

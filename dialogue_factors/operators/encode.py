@@ -2,57 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialogue_factors.config import END_ID, FIRST_TOKEN_ID, PAD_ID, START_ID, UNKNOWN_ID, Settings
-from dialogue_factors.functions.matrices import as_lists
-from dialogue_factors.functions.text import tokens
+from dialogue_factors.functions.text import token_lists
+
+# Longer words are known to tasks by digest, which bounds the size of a vocabulary.
+LONGEST_WORD = 64
+
+
+def count_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
+    """`(token, n)` over whole texts, added up per batch before the shuffle."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.value_counts(token_lists(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["token", "n"])
+
+    partial = texts.select(F.lower(text)).mapInArrow(counts, "token string, n bigint")
+    return partial.groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def build_vocabulary(texts: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """`(token, n, id)`: the most frequent tokens of the whole corpus, ties by token."""
-    counted = texts.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(settings.vocabulary_size)
+    top = count_tokens(texts, text).orderBy(F.desc("n"), "token").limit(settings.vocabulary_size)
     # Numbering runs over the vocabulary alone, whose size is a setting.
     return top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1 + FIRST_TOKEN_ID)
 
 
-def token_ids(digests: Column, vocabulary: pa.Array, length: int) -> Column:
+def _short_form(token: Column | str) -> Column:
+    return F.when(F.length(token) <= LONGEST_WORD, F.col(token)).otherwise(F.concat(F.lit("#"), F.md5(token)))
+
+
+def token_ids(text: Column | str, words: pa.Array, length: int) -> Column:
     """Start mark, ids of the leading tokens, end mark, padding up to `length`."""
 
     @F.arrow_udf("array<int>")
-    def run(lists: pa.Array) -> pa.Array:
-        rows = len(lists)
-        found = pc.index_in(lists.flatten(), value_set=vocabulary)
+    def run(texts: pa.Array) -> pa.Array:
+        tokens, rows, position = token_lists(texts)
+        kept = position < length - 2
+        tokens, rows, position = tokens.filter(pa.array(kept)).cast(pa.string()), rows[kept], position[kept]
+        long = pc.greater(pc.utf8_length(tokens), LONGEST_WORD)
+        if pc.any(long).as_py():
+            digests = ["#" + hashlib.md5(w.encode()).hexdigest() for w in tokens.filter(long).to_pylist()]
+            tokens = pc.replace_with_mask(tokens, long, pa.array(digests))
+        found = pc.index_in(tokens, value_set=words)
         ids = pc.fill_null(pc.add(found, FIRST_TOKEN_ID), UNKNOWN_ID).to_numpy(zero_copy_only=False)
-        sizes = np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(rows), sizes)
-        at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out = np.full((rows, length), PAD_ID, dtype=np.int32)
+        out = np.full((len(texts), length), PAD_ID, dtype=np.int32)
         out[:, 0] = START_ID
-        out[row, at + 1] = ids
-        out[np.arange(rows), sizes + 1] = END_ID
-        flat = as_lists(out)
-        return pa.ListArray.from_arrays(flat.offsets, pa.array(out.ravel(), pa.int32()))
+        out[rows, position + 1] = ids
+        out[np.arange(len(texts)), np.bincount(rows, minlength=len(texts)) + 1] = END_ID
+        offsets = pa.array(np.arange(len(texts) + 1) * length, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
-    return run(digests)
+    return run(F.lower(text))
 
 
 def encode_tokens(texts: DataFrame, text: str = "text", vocabulary: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """Add `input_ids` and `attention_mask` of `max_tokens` entries each.
 
     Truncation to `max_tokens` is the encoding's own; the vocabulary counts whole
-    texts. Tasks hold a 16-byte digest per vocabulary entry, whatever its spelling,
-    and the rows need no shuffle.
+    texts. Rows need no shuffle: tasks hold the vocabulary, a bounded list.
     """
     words = vocabulary if vocabulary is not None else build_vocabulary(texts, text, settings)
-    digest = lambda t: F.unhex(F.md5(t))
-    known = words.orderBy("id").select(digest(F.col("token")).alias("d")).toArrow().column("d").combine_chunks()
-    body = F.transform(F.slice(tokens(text), 1, settings.max_tokens - 2), digest)
-    ids = token_ids(body, known, settings.max_tokens)
-    return texts.withColumn("input_ids", ids).withColumn(
+    known = words.orderBy("id").select(_short_form("token").alias("w")).toArrow().column("w").combine_chunks()
+    return texts.withColumn("input_ids", token_ids(text, known, settings.max_tokens)).withColumn(
         "attention_mask", F.transform("input_ids", lambda i: (i != PAD_ID).cast("int"))
     )

@@ -19,7 +19,7 @@ from dialogue_factors.operators.lines import (
     number_lines,
     persona_fact_between,
 )
-from dialogue_factors.operators.order import with_row_index
+from dialogue_factors.operators.order import rank_in_buckets
 from dialogue_factors.session import materialize
 
 
@@ -83,8 +83,11 @@ def index_speakers(segments: DataFrame, require_dialogue: bool = True) -> DataFr
             F.max("offset").alias("last_offset"),
         )
         .where(kept).select("source", "episode", "last_offset")
+        # Episode numbers are consecutive, so a slice of them makes an even bucket.
+        .withColumn("slice", F.expr("episode div 65536"))
     )
-    return with_row_index(episodes, "source", "episode", name="speaker_id")
+    ranked = rank_in_buckets(episodes, ["source", "slice"], ["episode"])
+    return ranked.select("source", "episode", "last_offset", (F.col("rank") - 1).alias("speaker_id"))
 
 
 @dataclass(frozen=True)
@@ -106,7 +109,7 @@ def parse_dialogue(
     if not sides or not set(sides) <= {"said", "reply"}:
         raise ValueError("sides must name 'said', 'reply' or both")
     segments = materialize(segment_episodes(lines, exactly_two), "segments")
-    speakers = index_speakers(segments)
+    speakers = materialize(index_speakers(segments), "speakers")
     # An oversized episode is a hot join key on the segments side; the adaptive
     # skew join splits it, as nothing above the join asks for a speaker partitioning.
     keyed = segments.join(speakers.select("source", "episode", "speaker_id"), ["source", "episode"])

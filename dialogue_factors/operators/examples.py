@@ -33,4 +33,4 @@ def label_utterances(utterances: DataFrame, labels: DataFrame, settings: Setting
 
 def seeded_shuffle(examples: DataFrame, epoch: int, *keys: str, settings: Settings = Settings()) -> DataFrame:
     """Add `rank`, a row order that differs by epoch and repeats for a seed."""
-    return rank_by_hash(examples, f"{settings.seed}:{epoch}", *keys).drop("total")
+    return rank_by_hash(examples, f"{settings.seed}:{epoch}", *keys)

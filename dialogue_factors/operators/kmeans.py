@@ -113,9 +113,9 @@ def assignment_totals(vectors: DataFrame, vector: str, models: Sequence[Clusteri
         vectors.select(vector).mapInArrow(totals, "slot int, stats array<double>")
         .groupBy("slot").agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
     )
+    found = reduced.toArrow()  # one row per centre
     stats = np.zeros((slots, dims + 3))
-    for row in reduced.collect():  # one row per centre
-        stats[row.slot] = row.stats
+    stats[found.column("slot").to_numpy()] = as_matrix(found.column("stats"))
     return [
         replace(m, counts=s[:, 0], squares=s[:, 1], cost=float(s[:, 2].sum()), sums=s[:, 3:])
         for m, s in zip(models, np.split(stats, edges[1:-1]))

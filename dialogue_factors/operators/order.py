@@ -44,27 +44,34 @@ def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_index",
     )
 
 
-def rank_by_hash(df: DataFrame, seed: int | str, *keys: str, rank: str = "rank", total: str = "total") -> DataFrame:
-    """1-based rank of each row in the order of md5(seed:keys), and the row count.
+def rank_in_buckets(
+    df: DataFrame, buckets: list[str], order: list[str], rank: str = "rank", total: str | None = None, bounded: bool = False
+) -> DataFrame:
+    """1-based rank by `(buckets, order)`: ranks inside each bucket, shifted by the
+    counts of the earlier buckets. Buckets must rise with the order and stay small.
 
-    Rows are ranked inside 65,536 digest-prefix buckets, which an md5 of a unique
-    key fills evenly, and shifted by the counts of the earlier buckets.
+    `bounded` says that the number of buckets has a fixed limit, so that their
+    counts may be broadcast; otherwise they are joined by key.
     """
-    hashed = df.withColumn("_digest", seeded_hash(seed, *keys)).withColumn("_bucket", F.substring("_digest", 1, 4))
-    everything = Window.orderBy("_bucket")
-    # At most 65,536 rows: the window and the broadcast are bounded by the prefix.
-    offsets = (
-        hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            "_bucket",
-            (F.sum("_rows").over(everything) - F.col("_rows")).alias("_before"),
-            F.sum("_rows").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total),
-        )
-    )
-    inside = Window.partitionBy("_bucket").orderBy("_digest", *keys)
+    through = Window.orderBy(*buckets)
+    everything = through.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = df.groupBy(*buckets).agg(F.count(F.lit(1)).alias("_rows"))
+    columns = [(F.sum("_rows").over(through) - F.col("_rows")).alias("_before")]
+    if total:
+        columns.append(F.sum("_rows").over(everything).alias(total))
+    offsets = counts.select(*buckets, *columns)
     return (
-        hashed.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bucket")
+        df.withColumn("_inside", F.row_number().over(Window.partitionBy(*buckets).orderBy(*order)))
+        .join(F.broadcast(offsets) if bounded else offsets, buckets)
         .withColumn(rank, F.col("_before") + F.col("_inside"))
-        .drop("_digest", "_bucket", "_before", "_inside")
+        .drop("_before", "_inside")
     )
+
+
+def rank_by_hash(df: DataFrame, seed: int | str, *keys: str, rank: str = "rank", total: str | None = None) -> DataFrame:
+    """1-based rank of each row in the order of md5(seed:keys), and the row count.
+
+    The buckets are the 65,536 digest prefixes, which an md5 of a unique key fills evenly.
+    """
+    hashed = df.withColumn("_digest", seeded_hash(seed, *keys)).withColumn("_bucket", F.substring("_digest", 1, 4))
+    return rank_in_buckets(hashed, ["_bucket"], ["_digest", *keys], rank, total, bounded=True).drop("_digest", "_bucket")

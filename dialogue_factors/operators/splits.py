@@ -14,7 +14,7 @@ SPLITS = ("train", "val", "test")
 def split_exact(speakers: DataFrame, key: str = "speaker_id", settings: Settings = Settings()) -> DataFrame:
     """80/10/10 with exact sizes: a fifth of the speakers (rounded up) is held out,
     half of it (rounded up) is the test part."""
-    ranked = rank_by_hash(speakers, settings.seed, key)
+    ranked = rank_by_hash(speakers, settings.seed, key, total="total")
     held_out = F.expr("(total + 4) div 5")
     test = F.expr("((total + 4) div 5 + 1) div 2")
     split = F.when(F.col("rank") <= test, "test").when(F.col("rank") <= held_out, "val").otherwise("train")
