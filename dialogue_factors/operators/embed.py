@@ -50,11 +50,12 @@ def merge_parts(counts: DataFrame, key: str, column: str) -> DataFrame:
 def inverse_document_frequency(counts: DataFrame, column: str = "counts") -> np.ndarray:
     """ln((n + 1) / (rows holding the bucket + 1)), one value per bucket."""
     vector = array_to_vector(column)
-    row = counts.agg(
+    # Grouped by a constant, so that an empty table gives no row instead of failing.
+    row = counts.groupBy(F.lit("all")).agg(
         F.count(F.lit(1)).alias("n"),
         vector_to_array(Summarizer.numNonZeros(vector)).alias("holding"),
     ).first()
-    return np.log((row.n + 1.0) / (np.asarray(row.holding) + 1.0)) if row.n else np.zeros(0)
+    return np.log((row.n + 1.0) / (np.asarray(row.holding) + 1.0)) if row else np.zeros(0)
 
 
 def hashed_tfidf(texts: DataFrame, key: str, text: str = "text", settings: Settings = Settings(), dims: int | None = None) -> DataFrame:

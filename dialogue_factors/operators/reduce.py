@@ -66,9 +66,11 @@ def covariance(rows: DataFrame, vector: str) -> DataFrame:
 
     Tasks add up centred products and pass on one row per dimension.
     """
-    first = rows.agg(
+    first = rows.groupBy(F.lit("all")).agg(
         vector_to_array(Summarizer.mean(array_to_vector(vector))).alias("mean"), F.count(F.lit(1)).alias("n")
     ).first()
+    if first is None:
+        raise ValueError("no rows to measure")
     mean, n = np.asarray(first.mean), first.n
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
