@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialogue_factors.config import END_ID, FIRST_TOKEN_ID, PAD_ID, START_ID, UNKNOWN_ID, Settings
 from dialogue_factors.functions.text import token_lists
+from dialogue_factors.session import materialize
 
 # Longer words are known to tasks by digest, which bounds the size of a vocabulary.
 LONGEST_WORD = 64
@@ -30,8 +31,19 @@ def count_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_vocabulary(texts: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """`(token, n, id)`: the most frequent tokens of the whole corpus, ties by token."""
-    top = count_tokens(texts, text).orderBy(F.desc("n"), "token").limit(settings.vocabulary_size)
+    """`(token, n, id)`: the most frequent tokens of the whole corpus, ties by token.
+
+    A histogram of the counts' binary lengths (64 rows at most) tells which counts
+    can make it, so that only tokens near the top are sorted.
+    """
+    counted = materialize(count_tokens(texts, text), "token-counts")
+    digits = F.length(F.bin("n"))
+    need, least = settings.vocabulary_size, 1
+    for row in counted.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.desc("digits")).collect():
+        need, least = need - row.tokens, 2 ** (row.digits - 1)
+        if need <= 0:
+            break
+    top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(settings.vocabulary_size)
     # Numbering runs over the vocabulary alone, whose size is a setting.
     return top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1 + FIRST_TOKEN_ID)
 

@@ -20,7 +20,7 @@ from dialogue_factors.operators.lines import (
     persona_fact_between,
 )
 from dialogue_factors.operators.order import rank_in_buckets
-from dialogue_factors.session import materialize
+from dialogue_factors.session import broadcast_if_small, materialize
 
 
 def number_islands(lines: DataFrame, opens: Column, keep: Column, including_current: bool = True) -> DataFrame:
@@ -60,41 +60,46 @@ def number_islands(lines: DataFrame, opens: Column, keep: Column, including_curr
 
 
 def segment_episodes(lines: DataFrame, exactly_two: bool = False) -> DataFrame:
-    """One row per persona or dialogue line: `(source, episode, offset, fact, said, reply)`.
+    """One row per persona or dialogue line: `(source, episode, offset, is_fact, fact, said, reply)`.
 
     An episode starts at a persona line numbered 1 and ends before the next start
     or at the end of the source. Lines before the first start form episode 0.
     """
     kinds = classify_lines(number_lines(lines), exactly_two)
     placed = number_islands(kinds, F.col("is_start"), F.col("is_persona") | F.col("is_dialogue"))
-    return placed.select("source", F.col("island").alias("episode"), "offset", "fact", "said", "reply")
+    return placed.select(
+        "source", F.col("island").alias("episode"), "offset", F.col("is_persona").alias("is_fact"), "fact", "said", "reply"
+    )
 
 
-def index_speakers(segments: DataFrame, require_dialogue: bool = True) -> DataFrame:
-    """Number the episodes that have persona text (and dialogue): one row per speaker.
+def speaker_key() -> Column:
+    """One number per episode, rising with source and episode."""
+    return F.shiftleft(F.col("source").cast("bigint"), 40) + F.col("episode")
 
-    `parts` says how many nested records the episode takes.
-    """
+
+def summarize_episodes(segments: DataFrame, require_dialogue: bool = True) -> DataFrame:
+    """`(source, episode, speaker_id, last_offset, kept)`: whether an episode has
+    persona text (and dialogue), and how far it runs."""
     kept = F.col("has_fact") & F.col("has_dialogue") if require_dialogue else F.col("has_fact")
-    episodes = (
-        segments.groupBy("source", "episode").agg(
-            F.max(F.col("fact").isNotNull()).alias("has_fact"),
-            F.max(F.col("said").isNotNull()).alias("has_dialogue"),
-            F.max("offset").alias("last_offset"),
-        )
-        .where(kept).select("source", "episode", "last_offset")
-        # Episode numbers are consecutive, so a slice of them makes an even bucket.
-        .withColumn("slice", F.expr("episode div 65536"))
+    flags = segments.groupBy("source", "episode").agg(
+        F.max("is_fact").alias("has_fact"), F.max(~F.col("is_fact")).alias("has_dialogue"), F.max("offset").alias("last_offset")
     )
-    ranked = rank_in_buckets(episodes, ["source", "slice"], ["episode"])
-    return ranked.select("source", "episode", "last_offset", (F.col("rank") - 1).alias("speaker_id"))
+    return flags.select("source", "episode", speaker_key().alias("speaker_id"), "last_offset", kept.alias("kept"))
+
+
+def number_speakers(speakers: DataFrame) -> DataFrame:
+    """Add `position`: 0, 1, 2, ... in the order of sources and episodes."""
+    # Episode numbers are consecutive, so a slice of them makes an even bucket.
+    sliced = speakers.withColumn("slice", F.expr("episode div 65536"))
+    ranked = rank_in_buckets(sliced, ["source", "slice"], ["episode"])
+    return ranked.withColumn("position", F.col("rank") - 1).drop("slice", "rank")
 
 
 @dataclass(frozen=True)
 class Dialogue:
     """A parsed corpus in long form; nothing per speaker is gathered into one row."""
 
-    speakers: DataFrame  # source, episode, last_offset, speaker_id
+    speakers: DataFrame  # source, episode, speaker_id, last_offset
     facts: DataFrame  # speaker_id, pos, fact
     utterances: DataFrame  # speaker_id, pos, text
 
@@ -109,18 +114,19 @@ def parse_dialogue(
     if not sides or not set(sides) <= {"said", "reply"}:
         raise ValueError("sides must name 'said', 'reply' or both")
     segments = materialize(segment_episodes(lines, exactly_two), "segments")
-    speakers = materialize(index_speakers(segments), "speakers")
-    # An oversized episode is a hot join key on the segments side; the adaptive
-    # skew join splits it, as nothing above the join asks for a speaker partitioning.
-    keyed = segments.join(speakers.select("source", "episode", "speaker_id"), ["source", "episode"])
-    facts = keyed.where(F.col("fact").isNotNull()).select("speaker_id", F.col("offset").alias("pos"), "fact")
+    episodes = materialize(summarize_episodes(segments), "episodes")
+    # Incomplete episodes are few in an orderly corpus: leaving them out by a
+    # broadcast saves a shuffle of all lines. Beyond the limit it is a plain join.
+    rejected = broadcast_if_small(episodes.where(~F.col("kept")).select("speaker_id"))
+    keyed = segments.withColumn("speaker_id", speaker_key()).join(rejected, "speaker_id", "left_anti")
+    facts = keyed.where("is_fact").select("speaker_id", F.col("offset").alias("pos"), "fact")
     ordered = [s for s in ("said", "reply") if s in sides]
     utterances = (
-        keyed.where(F.col("said").isNotNull())
+        keyed.where(~F.col("is_fact"))
         .select("speaker_id", "offset", F.posexplode(F.array(*ordered)).alias("side", "text"))
         .select("speaker_id", (F.col("offset") * 2 + F.col("side")).alias("pos"), "text")
     )
-    return Dialogue(speakers, facts, utterances)
+    return Dialogue(episodes.where("kept").drop("kept"), facts, utterances)
 
 
 def persona_texts(facts: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -171,6 +177,7 @@ def first_fact_personas(lines: DataFrame, settings: Settings = Settings()) -> Da
         F.col("line").startswith("1 your persona:").alias("alone"),
         F.when(mentions_persona(), persona_fact_between()).alias("fact"),
     )
+    facts = materialize(facts, "first-facts")
     own = facts.where("alone").select("source", "island", F.lit(0).cast("bigint").alias("part"), F.lower("fact").alias("persona_text"))
     # A run's closing line is unique, so this join has one match at most per fact.
     closing = facts.where(F.col("closes") & ~F.col("alone")).select("source", "island")

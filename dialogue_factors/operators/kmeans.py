@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dialogue_factors import schema
 from dialogue_factors.config import Settings
 from dialogue_factors.functions.matrices import as_lists, as_matrix, nearest
-from dialogue_factors.functions.text import seeded_hash
+from dialogue_factors.functions.text import hash_number, seeded_hash
 
 
 @dataclass(frozen=True)
@@ -39,10 +39,18 @@ class Clustering:
         return len(self.centres)
 
 
-def seeded_rows(vectors: DataFrame, key: str, vector: str, seed: int, n: int) -> np.ndarray:
-    """n rows drawn by hash order, identical on every run and partitioning."""
+def seeded_rows(vectors: DataFrame, key: str, vector: str, seed: int, n: int, total: int) -> np.ndarray:
+    """The n first of `total` rows in hash order, identical on every run and partitioning.
+
+    A cut on the hash leaves a few times n rows to be sorted; should it leave too
+    few, the rows are drawn again without it.
+    """
     drawn = vectors.select(seeded_hash(seed, key).alias("h"), F.col(key).alias("key"), vector)
-    rows = drawn.orderBy("h", "key").limit(n).collect()
+    rows, share = [], 4 * n / max(total, 1)
+    if share < 1:
+        rows = drawn.where(hash_number(F.col("h")) < int(share * 2**32)).orderBy("h", "key").limit(n).collect()
+    if len(rows) < n:
+        rows = drawn.orderBy("h", "key").limit(n).collect()
     if not rows:
         raise ValueError("no vectors to cluster")
     return np.array([r[vector] for r in rows], dtype=float)
@@ -70,10 +78,11 @@ def starts(
     otherwise the k first rows in the seed's hash order.
     """
     seeds = range(settings.seed, settings.seed + settings.kmeans_starts)
+    total = vectors.count()
     if spread:
-        pool = seeded_rows(vectors, key, vector, settings.seed, 200 * max(ks))
+        pool = seeded_rows(vectors, key, vector, settings.seed, 200 * max(ks), total)
         return [Clustering(s, spread_starts(pool, k, s)) for k in ks for s in seeds]
-    drawn = {s: seeded_rows(vectors, key, vector, s, max(ks)) for s in seeds}
+    drawn = {s: seeded_rows(vectors, key, vector, s, max(ks), total) for s in seeds}
     return [Clustering(s, drawn[s][:k]) for k in ks for s in seeds]
 
 

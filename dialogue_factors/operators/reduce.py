@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from dialogue_factors.functions.matrices import as_lists, as_matrix
+from dialogue_factors.operators.reports import chart_sample
 
 
 def fit_reducer(rows: DataFrame, vector: str, dims: int) -> PipelineModel:
@@ -50,7 +51,7 @@ def map_2d(rows: DataFrame, key: str, label: str, spaces: list[str], sample: int
 
     The components come from all rows; `sample` limits what is drawn.
     """
-    drawn = rows.orderBy(key).limit(sample) if sample else rows
+    drawn = chart_sample(rows, sample, key) if sample else rows
     out = None
     for space in spaces:
         model = fit_reducer(rows, space, 2)

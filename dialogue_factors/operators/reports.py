@@ -19,8 +19,13 @@ def split_sizes(rows: DataFrame) -> DataFrame:
 
 
 def chart_sample(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first n rows in the given order, for a scatter chart."""
-    return rows.orderBy(*order).limit(n)
+    """The first n rows in the given order of a unique key, for a scatter chart.
+
+    The keys are chosen first, so that the wide rows of every task need not meet;
+    n bounds what is broadcast.
+    """
+    first = rows.select(*order).orderBy(*order).limit(n)
+    return rows.join(F.broadcast(first), list(order), "left_semi").orderBy(*order).limit(n)
 
 
 def best_k(scores: DataFrame) -> DataFrame:

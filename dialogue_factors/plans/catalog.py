@@ -16,6 +16,7 @@ from dialogue_factors.operators.embed import hashed_tfidf
 from dialogue_factors.operators.encode import encode_tokens
 from dialogue_factors.operators.episodes import (
     first_fact_personas,
+    number_speakers,
     parse_dialogue,
     persona_texts,
     speaker_records,
@@ -159,7 +160,7 @@ def source_union(spark: SparkSession, folder: str) -> DataFrame:
     both = lines.where("source = 0").unionByName(lines.where("source = 1"))
     dialogue = parse_dialogue(place_in_order(both, "source", "conv_id", "turn", "kind"))
     counted = dialogue.utterances.groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n_utterances"))
-    return dialogue.speakers.select("speaker_id", "source").join(counted, "speaker_id")
+    return number_speakers(dialogue.speakers).select("speaker_id", "position", "source").join(counted, "speaker_id")
 
 
 def first_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,10 +179,12 @@ def flatten_utterances(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flatten_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested records of parsed episodes, labelled by speaker number, back to rows."""
-    records = speaker_records(parse_dialogue(dialogue_lines(spark, folder)))
-    labels = speaker_labels(spark, folder).withColumnRenamed("label", "cluster_id")
-    return explode_records(attach_labels(records, labels)).select("speaker_id", "pos", "text", "label")
+    """Nested records of parsed episodes, labelled by the speakers' position, back to rows."""
+    dialogue = parse_dialogue(dialogue_lines(spark, folder))
+    labels = table(spark, folder, "embeddings", F.col("vec_id").alias("position"), F.col("label").alias("cluster_id"))
+    positions = attach_labels(number_speakers(dialogue.speakers), labels, "position").select("speaker_id", "cluster_id")
+    records = attach_labels(speaker_records(dialogue), positions)
+    return explode_records(records).select("speaker_id", "pos", "text", "label")
 
 
 def attach_positions(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dialogue_factors.operators.ksweep import sweep
 from dialogue_factors.operators.reduce import reduce_vectors
 from dialogue_factors.operators.reports import best_k
 from dialogue_factors.operators.splits import split_exact
-from dialogue_factors.session import materialize
+from dialogue_factors.session import broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,8 @@ class LabelledDialogue:
 def embed_personas(dialogue: Dialogue, settings: Settings = Settings()) -> DataFrame:
     """`(speaker_id, embedding)` of each speaker's persona text."""
     parts = F.expr(f"last_offset div {settings.record_lines} + 1").alias("parts")
-    texts = persona_texts(dialogue.facts, settings).join(dialogue.speakers.select("speaker_id", parts), "speaker_id")
+    long = broadcast_if_small(dialogue.speakers.select("speaker_id", parts).where("parts > 1"))
+    texts = persona_texts(dialogue.facts, settings).join(long, "speaker_id", "left").fillna({"parts": 1})
     return hashed_tfidf(texts, "speaker_id", "persona_text", settings)
 
 

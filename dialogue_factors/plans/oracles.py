@@ -54,7 +54,7 @@ gathered AS (
     string_agg(said || chr(9) || reply, chr(9) ORDER BY conv_id, turn, kind) AS utterances, 2 * count(said) AS n_utterances
   FROM placed GROUP BY episode),
 records AS (
-  SELECT row_number() OVER (ORDER BY episode) - 1 AS speaker_id, 0::BIGINT AS part, persona_text, utterances, n_utterances
+  SELECT episode::BIGINT AS speaker_id, 0::BIGINT AS part, persona_text, utterances, n_utterances
   FROM gathered WHERE persona_text IS NOT NULL AND n_utterances > 0)"""
 
 _UTTERANCES = f"""
@@ -182,7 +182,7 @@ placed AS (
   FROM parsed p JOIN opening USING (conv_id)),
 gathered AS (
   SELECT source, episode, 2 * count(said) AS n_utterances FROM placed GROUP BY ALL HAVING count(fact) > 0 AND count(said) > 0)
-SELECT row_number() OVER (ORDER BY source, episode) - 1 AS speaker_id, source, n_utterances FROM gathered""",
+SELECT ((source::BIGINT << 40) + episode)::BIGINT AS speaker_id, row_number() OVER (ORDER BY source, episode) - 1 AS position, source, n_utterances FROM gathered""",
     "first_fact_personas": f"""
 WITH {_LINES}
 SELECT row_number() OVER (ORDER BY conv_id) - 1 AS island, 0::BIGINT AS part, lower({_strip(f"split_part(line, '{PERSONA_MARKER}', 2)")}) AS persona_text
@@ -194,8 +194,9 @@ FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role IN ('system', '
     "flatten_utterances": f"WITH {_UTTERANCES} SELECT speaker_id, pos, text, label FROM examples",
     "flatten_records": f"""
 WITH {_EPISODES},
-items AS (SELECT speaker_id, unnest(string_split(utterances, chr(9))) AS text, generate_subscripts(string_split(utterances, chr(9)), 1) - 1 AS pos FROM records)
-SELECT speaker_id, pos, lower({_strip('text')}) AS text, label FROM items JOIN embeddings ON vec_id = speaker_id
+numbered_speakers AS (SELECT *, row_number() OVER (ORDER BY speaker_id) - 1 AS position FROM records),
+items AS (SELECT speaker_id, position, unnest(string_split(utterances, chr(9))) AS text, generate_subscripts(string_split(utterances, chr(9)), 1) - 1 AS pos FROM numbered_speakers)
+SELECT speaker_id, pos, lower({_strip('text')}) AS text, label FROM items JOIN embeddings ON vec_id = position
 WHERE length({_strip('text')}) > {_MIN}""",
     "attach_labels": f"""
 WITH {_SPEAKERS},

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from dialogue_factors.config import Settings
 from dialogue_factors.operators.episodes import (
     first_fact_personas,
-    index_speakers,
     number_islands,
+    number_speakers,
     parse_dialogue,
     persona_texts,
     segment_episodes,
     speaker_records,
+    summarize_episodes,
 )
 from dialogue_factors.operators.examples import explode_records, label_utterances
 from dialogue_factors.operators.lines import (
@@ -60,7 +61,7 @@ def test_golden_file(spark, tmp_path):
         ("i like cats . i ski .", ["hello there", "hi , how are you ?", "ok", "Fine ."]),
         ("i run .", ["hey", "YO"]),
     ]
-    labels = spark.createDataFrame([(0, 3), (1, 4)], "speaker_id bigint, label int")
+    labels = spark.createDataFrame([(1, 3), (2, 4)], "speaker_id bigint, label int")
     flat = label_utterances(dialogue.utterances, labels).orderBy("speaker_id", "pos").collect()
     assert [(r.text, r.label) for r in flat] == [("hello there", 3), ("hi , how are you ?", 3), ("fine .", 3)]
 
@@ -124,8 +125,17 @@ def test_sources_keep_apart_and_missing_raises(spark, tmp_path):
 def test_persona_without_dialogue_counts_on_request(spark, tmp_path):
     lines = read_lines(spark, [write(tmp_path, "a.txt", "1 your persona: a\n1 your persona: b\n2 c\td\n")])
     segments = segment_episodes(lines)
-    assert index_speakers(segments).count() == 1
-    assert index_speakers(segments, require_dialogue=False).count() == 2
+    assert summarize_episodes(segments).where("kept").count() == 1
+    assert summarize_episodes(segments, require_dialogue=False).where("kept").count() == 2
+
+
+def test_positions_run_across_sources(spark, tmp_path):
+    one = write(tmp_path, "one.txt", "1 your persona: a\n1 your persona: b\n2 c\td\n1 your persona: e\n2 f\tg\n")
+    two = write(tmp_path, "two.txt", "1 your persona: h\n2 i\tj\n")
+    dialogue = parse_dialogue(read_lines(spark, [one, two]))
+    rows = number_speakers(dialogue.speakers).orderBy("position").collect()
+    assert [(r.source, r.episode, r.position) for r in rows] == [(0, 2, 0), (0, 3, 1), (1, 1, 2)]
+    assert [r.speaker_id for r in rows] == [2, 3, (1 << 40) + 1]
 
 
 def long_corpus(episodes):
@@ -164,7 +174,7 @@ def test_long_episode_spans_records(spark, tmp_path):
     for r in parts:
         joined.setdefault(r.speaker_id, []).extend(r.utterances)
     assert list(joined.values()) == [u for _, u in expected]
-    labels = spark.createDataFrame([(i, i) for i in range(6)], "speaker_id bigint, cluster_id int")
+    labels = spark.createDataFrame([(i + 1, i) for i in range(6)], "speaker_id bigint, cluster_id int")
     nested = explode_records(speaker_records(dialogue, small).join(labels, "speaker_id"), small).orderBy("speaker_id", "pos").collect()
     flat = label_utterances(dialogue.utterances, labels.withColumnRenamed("cluster_id", "label")).orderBy("speaker_id", "pos").collect()
     assert [(r.speaker_id, r.text, r.label) for r in nested] == [(r.speaker_id, r.text, r.label) for r in flat]

@@ -14,7 +14,7 @@ from dialogue_factors.operators import reports, splits
 from dialogue_factors.operators.examples import keep_utterances, seeded_shuffle
 from dialogue_factors.operators.labels import attach_by_position, attach_labels, label_mismatch_report
 from dialogue_factors.operators.order import rank_by_hash, with_row_index
-from dialogue_factors.session import shared_folder
+from dialogue_factors.session import broadcast_if_small, materialize, shared_folder
 from dialogue_factors.sources import records
 from dialogue_factors.streaming.utterances import stream_utterances, write_stream
 
@@ -134,6 +134,16 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_broadcast_only_below_the_limit(spark):
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(broadcast_if_small(spark.range(10), 10)) and not hinted(broadcast_if_small(spark.range(11), 10))
+
+
+def test_materialized_table_is_stored(spark):
+    df = materialize(spark.range(5).withColumn("r", F.rand()), "check")
+    assert shared_folder(spark) in df.inputFiles()[0] and df.collect() == df.collect()
+
+
 def test_settings_are_frozen():
     with pytest.raises(AttributeError):
         Settings().seed = 1
