@@ -1,15 +1,18 @@
 """Episodes: runs of lines that belong to one speaker.
 
-The running counts that delimit episodes are computed per block (a bounded slice
-of a source) and shifted by what the earlier blocks add up to, so a source of any
-size is spread over many tasks. Blocks contribute one small row each.
+The running counts that delimit episodes are taken per block (a file split, which one
+task reads in order) and shifted by what the earlier blocks add up to. A source of any
+size is spread over many tasks and its lines are not shuffled; blocks contribute one
+small row each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialogue_factors.config import Settings
@@ -23,39 +26,79 @@ from dialogue_factors.operators.order import rank_in_buckets
 from dialogue_factors.session import broadcast_if_small, materialize
 
 
+def running_opens(opens: str, including_current: bool) -> Column:
+    """`(seen, opened)`: opening lines so far in the block, and `ln` of the last one (-1: none).
+
+    Rows must come in the order of the scan, as they do right after a read; what a
+    task has counted in a block carries over its batches.
+    """
+
+    @F.arrow_udf("seen bigint, opened bigint")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        current, seen, opened, last = None, 0, -1, -1
+        for block_, ln_, opens_ in batches:
+            block, ln = block_.to_numpy(), ln_.to_numpy()
+            flags = opens_.to_numpy(zero_copy_only=False).astype(bool)
+            counts, lines = np.empty(len(ln), np.int64), np.empty(len(ln), np.int64)
+            bounds = [0, *(np.flatnonzero(np.diff(block)) + 1), len(ln)] if len(ln) else []
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                if block[low] != current:
+                    current, seen, opened, last = block[low], 0, -1, -1
+                part = slice(low, high)
+                if (np.diff(ln[part], prepend=last) <= 0).any():
+                    raise ValueError("lines are out of order: number them right after reading")
+                run_count = np.concatenate([[seen], seen + np.cumsum(flags[part])])
+                run_line = np.maximum.accumulate(np.concatenate([[opened], np.where(flags[part], ln[part], -1)]))
+                shift = slice(1, None) if including_current else slice(None, -1)
+                counts[part], lines[part] = run_count[shift], run_line[shift]
+                seen, opened, last = run_count[-1], run_line[-1], ln[high - 1]
+            yield pa.StructArray.from_arrays([pa.array(counts), pa.array(lines)], ["seen", "opened"])
+
+    return run.asNondeterministic()("block", "ln", opens)
+
+
+def block_offsets(flagged: DataFrame, opens: str) -> DataFrame:
+    """One row per block: what the blocks before it in its source add up to."""
+    totals = flagged.groupBy("source", "block").agg(
+        F.count_if(opens).alias("opened"),
+        F.min("ln").alias("first"),
+        (F.max("ln") - F.min("ln") + 1).alias("lines"),
+        F.max(F.when(F.col(opens), F.col("ln"))).alias("last_open"),
+        F.min("file").alias("file"),
+        F.max("file").alias("also"),
+        F.min("start").alias("start"),
+    )
+    number = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"^part-(\d+)", 1).try_cast("bigint")
+    earlier = Window.partitionBy("source").orderBy(number, "file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    clash = F.raise_error(F.lit("two files share a block key")).cast("bigint")
+    return (
+        totals.withColumn("island0", F.coalesce(F.sum("opened").over(earlier), F.lit(0)))
+        .withColumn("row0", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+        .withColumn("open_row", F.col("row0") + F.col("last_open") - F.col("first"))
+        .withColumn("carried", F.coalesce(F.max("open_row").over(earlier), F.lit(0)))
+        .select("source", "block", F.when(F.col("file") == F.col("also"), F.col("first")).otherwise(clash).alias("first"), "island0", "row0", "carried")
+    )
+
+
 def number_islands(lines: DataFrame, opens: Column, keep: Column, including_current: bool = True) -> DataFrame:
     """Add `island`, the number of opening lines so far in the source, and `offset`,
     the distance in lines from the last one. Rows that fail `keep` are left out.
 
-    With `including_current=False` an opening line still counts to the island before it.
+    With `including_current=False` an opening line still counts to the island before
+    it. `lines` come straight from `read_lines` or `place_in_order`: they are counted
+    where they are read, and only one row per block is shuffled.
     """
     flagged = lines.withColumn("_opens", opens)
-    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        flagged.groupBy("source", "block").agg(
-            F.count_if("_opens").alias("_opened"),
-            F.min("ln").alias("_first"),
-            (F.max("ln") - F.min("ln") + 1).alias("_lines"),
-            F.max(F.when(F.col("_opens"), F.col("ln"))).alias("_last_open"),
-        )
-        .withColumn("_island0", F.coalesce(F.sum("_opened").over(earlier), F.lit(0)))
-        .withColumn("_row0", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
-        .withColumn("_open_row", F.col("_row0") + F.col("_last_open") - F.col("_first"))
-        .withColumn("_carried", F.coalesce(F.max("_open_row").over(earlier), F.lit(0)))
-        .select("source", "block", "_first", "_island0", "_row0", "_carried")
-    )
-    here = (
-        Window.partitionBy("source", "block").orderBy("ln")
-        .rowsBetween(Window.unboundedPreceding, 0 if including_current else -1)
-    )
+    offsets = broadcast_if_small(materialize(block_offsets(flagged, "_opens"), "blocks"))
     return (
-        flagged.where(keep).join(blocks, ["source", "block"])
-        .withColumn("_row", F.col("_row0") + F.col("ln") - F.col("_first"))
-        .withColumn("_seen", F.coalesce(F.sum(F.col("_opens").cast("int")).over(here), F.lit(0)))
-        .withColumn("_opened_at", F.max(F.when(F.col("_opens"), F.col("_row"))).over(here))
-        .withColumn("island", F.col("_island0") + F.col("_seen"))
-        .withColumn("offset", F.col("_row") - F.coalesce("_opened_at", "_carried"))
-        .drop("_opens", "_first", "_island0", "_row0", "_carried", "_row", "_seen", "_opened_at")
+        flagged.where(keep)
+        .withColumn("_run", running_opens("_opens", including_current))
+        .join(offsets, ["source", "block"])
+        .withColumn("_row", F.col("row0") + F.col("ln") - F.col("first"))
+        .withColumn("_open_row", F.when(F.col("_run.opened") < 0, F.col("carried")).otherwise(F.col("row0") + F.col("_run.opened") - F.col("first")))
+        .withColumn("island", F.col("island0") + F.col("_run.seen"))
+        .withColumn("offset", F.col("_row") - F.col("_open_row"))
+        .drop("_opens", "_run", "_row", "_open_row", "first", "island0", "row0", "carried")
     )
 
 

@@ -6,41 +6,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialogue_factors.functions.text import seeded_hash
 from dialogue_factors.session import materialize
+from dialogue_factors.sources.dialogue_lines import scan_block
 
 _LOCAL_BITS = 33  # monotonically_increasing_id(): partition above, position below
 
 
 def place_in_order(df: DataFrame, *order: Column | str, partitions: int | None = None) -> DataFrame:
-    """Add `(block, ln)`: `ln` increases in the given order, blocks are slices of it.
+    """Store rows in the given order and read them back with `ln`, which increases in
+    it, and the scan block of each row.
 
     One range shuffle. The order key should be unique, so that slices stay even
     when one source or speaker holds much of the data. Stored before use: the
     slice bounds are sampled and must not be drawn twice.
     """
     args = ([partitions] if partitions else []) + list(order)
-    placed = (
-        df.repartitionByRange(*args)
-        .sortWithinPartitions(*order)
-        .withColumn("ln", F.monotonically_increasing_id())
-        .withColumn("block", F.shiftright("ln", _LOCAL_BITS))
-    )
-    return materialize(placed, "placed")
+    placed = df.repartitionByRange(*args).sortWithinPartitions(*order).withColumn("ln", F.monotonically_increasing_id())
+    return materialize(placed, "placed").select("*", *scan_block())
 
 
 def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_index", partitions: int | None = None) -> DataFrame:
     """Dense 0-based row number in the given order."""
-    placed = place_in_order(df, *order, partitions=partitions)
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = place_in_order(df, *order, partitions=partitions).withColumn("slice", F.shiftright("ln", _LOCAL_BITS))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per shuffle partition, so both the window and the broadcast are small.
     offsets = (
-        placed.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
-        .select("block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+        placed.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"))
+        .select("slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
     )
-    local = F.col("ln") - F.shiftleft("block", _LOCAL_BITS)
+    local = F.col("ln") - F.shiftleft("slice", _LOCAL_BITS)
     return (
-        placed.join(F.broadcast(offsets), "block")
-        .withColumn(name, F.col("offset") + local)
-        .drop("block", "ln", "offset")
+        placed.join(F.broadcast(offsets), "slice")
+        .withColumn(name, F.col("rows_before") + local)
+        .drop("slice", "ln", "rows_before", "file", "start", "block")
     )
 
 

@@ -5,26 +5,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+def scan_block() -> list[Column]:
+    """The file split a row was read from: `file`, `start`, and a short key `block`.
+
+    A split is read by one task from its first row to its last.
+    """
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return [file.alias("file"), start.alias("start"), F.xxhash64(file, start).alias("block")]
 
 
 def read_lines(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
-    """Lines of the given sources, UTF-8, in order `(source, block, ln)`.
+    """Lines of the given sources, UTF-8: `(source, file, start, block, ln, line)`.
 
-    A source is a file, or a folder whose part files in name order make up one
-    long file. Sources rank in the order given; parser state never crosses them.
-    A missing path raises. `block` is a file split, within which `ln` increases.
+    A source is a file, or a folder whose part files in order (by part number, then
+    name) make up one long file. Sources rank in the order given; parser state never
+    crosses them. A missing path raises. `ln` increases within a block.
     """
 
     def one(rank: int, path: str) -> DataFrame:
         return spark.read.text(path).select(
-            F.lit(rank).alias("source"),
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("start"),
-            ).alias("block"),
-            F.monotonically_increasing_id().alias("ln"),
-            F.col("value").alias("line"),
+            F.lit(rank).alias("source"), *scan_block(), F.monotonically_increasing_id().alias("ln"), F.col("value").alias("line")
         )
 
     if not sources:
