@@ -67,16 +67,17 @@ def block_offsets(flagged: DataFrame, opens: str) -> DataFrame:
         F.min("file").alias("file"),
         F.max("file").alias("also"),
         F.min("start").alias("start"),
+        F.max("start").alias("also_start"),
     )
     number = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"^part-(\d+)", 1).try_cast("bigint")
     earlier = Window.partitionBy("source").orderBy(number, "file", "start").rowsBetween(Window.unboundedPreceding, -1)
-    clash = F.raise_error(F.lit("two files share a block key")).cast("bigint")
+    clash = F.raise_error(F.lit("two file splits share a block key")).cast("bigint")
     return (
         totals.withColumn("island0", F.coalesce(F.sum("opened").over(earlier), F.lit(0)))
         .withColumn("row0", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
         .withColumn("open_row", F.col("row0") + F.col("last_open") - F.col("first"))
         .withColumn("carried", F.coalesce(F.max("open_row").over(earlier), F.lit(0)))
-        .select("source", "block", F.when(F.col("file") == F.col("also"), F.col("first")).otherwise(clash).alias("first"), "island0", "row0", "carried")
+        .select("source", "block", F.when((F.col("file") == F.col("also")) & (F.col("start") == F.col("also_start")), F.col("first")).otherwise(clash).alias("first"), "island0", "row0", "carried")
     )
 
 
@@ -88,17 +89,18 @@ def number_islands(lines: DataFrame, opens: Column, keep: Column, including_curr
     it. `lines` come straight from `read_lines` or `place_in_order`: they are counted
     where they are read, and only one row per block is shuffled.
     """
-    flagged = lines.withColumn("_opens", opens)
+    # A block is a source's share of a file split, under a short key.
+    flagged = lines.withColumn("_opens", opens).withColumn("block", F.xxhash64("source", "file", "start"))
     offsets = broadcast_if_small(materialize(block_offsets(flagged, "_opens"), "blocks"))
     return (
-        flagged.where(keep)
-        .withColumn("_run", running_opens("_opens", including_current))
+        # Filtered after counting: pushed below it, the filter would parse lines anew.
+        flagged.withColumn("_run", running_opens("_opens", including_current)).where(keep)
         .join(offsets, ["source", "block"])
         .withColumn("_row", F.col("row0") + F.col("ln") - F.col("first"))
         .withColumn("_open_row", F.when(F.col("_run.opened") < 0, F.col("carried")).otherwise(F.col("row0") + F.col("_run.opened") - F.col("first")))
         .withColumn("island", F.col("island0") + F.col("_run.seen"))
         .withColumn("offset", F.col("_row") - F.col("_open_row"))
-        .drop("_opens", "_run", "_row", "_open_row", "first", "island0", "row0", "carried")
+        .drop("block", "_opens", "_run", "_row", "_open_row", "first", "island0", "row0", "carried")
     )
 
 

@@ -57,9 +57,10 @@ def classify_lines(numbered: DataFrame, exactly_two: bool = False) -> DataFrame:
     """Add what a line is and holds: start, persona fact, or the two sides of a turn."""
     persona = is_persona()
     dialogue = ~persona & is_dialogue(exactly_two=exactly_two)
-    side = lambda i: F.when(dialogue, strip(F.get(dialogue_fields(), F.lit(i))))
-    return numbered.select(
-        "*",
+    side = lambda i: F.when(dialogue, strip(F.get("_fields", F.lit(i))))
+    # Split once, as a column of its own, for both sides of a turn.
+    return numbered.withColumn("_fields", dialogue_fields()).select(
+        *numbered.columns,
         (persona & (F.col("number") == FIRST_LINE_NUMBER)).alias("is_start"),
         persona.alias("is_persona"),
         dialogue.alias("is_dialogue"),

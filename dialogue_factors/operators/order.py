@@ -13,7 +13,7 @@ _LOCAL_BITS = 33  # monotonically_increasing_id(): partition above, position bel
 
 def place_in_order(df: DataFrame, *order: Column | str, partitions: int | None = None) -> DataFrame:
     """Store rows in the given order and read them back with `ln`, which increases in
-    it, and the scan block of each row.
+    it, and the file split of each row.
 
     One range shuffle. The order key should be unique, so that slices stay even
     when one source or speaker holds much of the data. Stored before use: the
@@ -37,7 +37,7 @@ def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_index",
     return (
         placed.join(F.broadcast(offsets), "slice")
         .withColumn(name, F.col("rows_before") + local)
-        .drop("slice", "ln", "rows_before", "file", "start", "block")
+        .drop("slice", "ln", "rows_before", "file", "start")
     )
 
 

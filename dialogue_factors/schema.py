@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-LINES = "source int, file string, start bigint, block bigint, ln bigint, line string"
+LINES = "source int, file string, start bigint, ln bigint, line string"
 CLUSTER_RECORDS = "speaker_id bigint, persona_text string, cluster_id int"
 SPEAKER_RECORDS = (
     "speaker_id bigint, part bigint, persona_text string, "

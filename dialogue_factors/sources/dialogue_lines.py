@@ -9,20 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def scan_block() -> list[Column]:
-    """The file split a row was read from: `file`, `start`, and a short key `block`.
-
-    A split is read by one task from its first row to its last.
-    """
-    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-    return [file.alias("file"), start.alias("start"), F.xxhash64(file, start).alias("block")]
+    """The file split a row was read from, `(file, start)`; one task reads it in order."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
 
 
 def read_lines(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
-    """Lines of the given sources, UTF-8: `(source, file, start, block, ln, line)`.
+    """Lines of the given sources, UTF-8: `(source, file, start, ln, line)`.
 
     A source is a file, or a folder whose part files in order (by part number, then
     name) make up one long file. Sources rank in the order given; parser state never
-    crosses them. A missing path raises. `ln` increases within a block.
+    crosses them. A missing path raises. `ln` increases within a file split.
     """
 
     def one(rank: int, path: str) -> DataFrame:
