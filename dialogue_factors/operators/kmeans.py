@@ -96,23 +96,35 @@ def assignment_totals(vectors: DataFrame, vector: str, models: Sequence[Clusteri
     edges = np.cumsum([0] + [m.k for m in models])
     slots, dims = centres.shape
 
+    def memberships(gap: np.ndarray) -> np.ndarray:
+        """(slots, rows) ones where a row's nearest centre of a model is."""
+        member = np.zeros(gap.shape)
+        for low, high in zip(edges[:-1], edges[1:]):
+            np.equal(gap[low:high], gap[low:high].min(axis=0), out=member[low:high], casting="unsafe")
+        tied = np.flatnonzero(member.sum(axis=0) != len(models))
+        if len(tied):
+            member[:, tied] = 0.0
+            for low, high in zip(edges[:-1], edges[1:]):
+                member[low + gap[low:high, tied].argmin(axis=0), tied] = 1.0
+        return member
+
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, square, cost = np.zeros(slots), np.zeros(slots), np.zeros(slots)
         total = np.zeros((slots, dims))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = as_matrix(batch.column(0))
-            norms = np.einsum("ij,ij->i", x, x)
-            gap = half - x @ centres.T
-            for low, high in zip(edges[:-1], edges[1:]):
-                label = gap[:, low:high].argmin(axis=1)
-                member = (label[:, None] == np.arange(high - low)).astype(float)
-                least = np.maximum(norms + 2 * gap[np.arange(len(x)), low + label], 0.0)
-                count[low:high] += member.sum(axis=0)
-                total[low:high] += member.T @ x
-                square[low:high] += norms @ member
-                cost[low:high] += least @ member
+            rows = as_matrix(batch.column(0))
+            for first in range(0, len(rows), 2048):  # keeps the (slots, rows) blocks in cache
+                x = rows[first : first + 2048]
+                norms = np.einsum("ij,ij->i", x, x)
+                gap = half[:, None] - centres @ x.T
+                member = memberships(gap)
+                squared = member @ norms
+                count += member.sum(axis=1)
+                total += member @ x
+                square += squared
+                cost += np.maximum(squared + 2 * np.einsum("ij,ij->i", gap, member), 0.0)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(slots), pa.int32()), as_lists(np.column_stack([count, square, cost, total]))],
             ["slot", "stats"],
