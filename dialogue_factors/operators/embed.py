@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,14 +34,14 @@ def bucket_counts(text: Column | str, dims: int) -> Column:
     return run(F.lower(text))
 
 
-def merge_parts(counts: DataFrame, key: str, column: str) -> DataFrame:
+def merge_parts(counts: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Add up the vectors of keys that span several parts; others pass unshuffled.
 
     `counts` carries `parts`, the number of parts of the row's key.
     """
-    single = counts.where("parts = 1").select(key, column)
+    single = counts.where("parts = 1").select(*keys, column)
     several = (
-        counts.where("parts > 1").groupBy(key)
+        counts.where("parts > 1").groupBy(*keys)
         .agg(vector_to_array(Summarizer.sum(array_to_vector(column))).alias(column))
     )
     return single.unionByName(several)
@@ -58,17 +58,19 @@ def inverse_document_frequency(counts: DataFrame, column: str = "counts") -> np.
     return np.log((row.n + 1.0) / (np.asarray(row.holding) + 1.0)) if row else np.zeros(0)
 
 
-def hashed_tfidf(texts: DataFrame, key: str, text: str = "text", settings: Settings = Settings(), dims: int | None = None) -> DataFrame:
-    """`(key, embedding)`: hashed term counts times inverse document frequency, unit length.
+def hashed_tfidf(
+    texts: DataFrame, keys: str | Sequence[str], text: str = "text", settings: Settings = Settings(), dims: int | None = None
+) -> DataFrame:
+    """`(keys, embedding)`: hashed term counts times inverse document frequency, unit length.
 
     Texts never leave their rows: two passes and no shuffle but that of one
     vector of bucket frequencies. With a `parts` column, parts of a key add up.
     """
-    width = dims or settings.text_dims
-    columns = [key] + [c for c in ("parts",) if c in texts.columns]
+    width, keys = dims or settings.text_dims, [keys] if isinstance(keys, str) else list(keys)
+    columns = keys + [c for c in ("parts",) if c in texts.columns]
     counts = texts.select(*columns, bucket_counts(text, width).alias("counts"))
     if "parts" in columns:
-        counts = merge_parts(counts, key, "counts")
+        counts = merge_parts(counts, keys, "counts")
     idf = inverse_document_frequency(counts)
 
     def weigh(x: np.ndarray) -> np.ndarray:
@@ -76,7 +78,7 @@ def hashed_tfidf(texts: DataFrame, key: str, text: str = "text", settings: Setti
         length = np.sqrt(np.einsum("ij,ij->i", w, w))
         return w / np.where(length > 0, length, 1.0)[:, None]
 
-    return counts.select(key, map_rows("counts", weigh).alias("embedding"))
+    return counts.select(*keys, map_rows("counts", weigh).alias("embedding"))
 
 
 def encode_texts(texts: DataFrame, key: str, text: str, load_encoder: Callable[[], Encoder]) -> DataFrame:

@@ -81,6 +81,9 @@ def split_factors(rows: DataFrame, vector: str, factors: FactorBasis) -> DataFra
     )
 
 
+HEADS = ("persona", "content", "classifier", "adversary")
+
+
 @dataclass(frozen=True)
 class LinearHeads:
     """Two projections of a vector and a linear classifier on each; (weights, bias) pairs."""
@@ -91,6 +94,23 @@ class LinearHeads:
     adversary: tuple[np.ndarray, np.ndarray]
 
 
+def heads_table(spark: SparkSession, heads: LinearHeads, epoch: int) -> DataFrame:
+    """Parameters by name, one row per output; write partitioned by epoch to keep each."""
+    rows = [
+        (epoch, name, i, [float(v) for v in w], float(b))
+        for name in HEADS for i, (w, b) in enumerate(zip(*getattr(heads, name)))
+    ]
+    return spark.createDataFrame(rows, schema.HEADS)
+
+
+def read_heads(table: DataFrame, epoch: int) -> LinearHeads:
+    rows = table.where(F.col("epoch") == epoch).orderBy("name", "row").collect()
+    if not rows:
+        raise ValueError(f"no parameters kept for epoch {epoch}")
+    pick = lambda name, field: np.array([r[field] for r in rows if r["name"] == name])
+    return LinearHeads(**{name: (pick(name, "weights"), pick(name, "bias")) for name in HEADS})
+
+
 def apply_heads(rows: DataFrame, vector: str, heads: LinearHeads) -> DataFrame:
     """Add `z_p`, `z_c`, `logits`, `adv_logits`."""
     return (

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,20 +47,19 @@ def reduce_vectors(rows: DataFrame, vector: str, dims: int, output: str = "reduc
     return apply_reducer(fit_reducer(rows, vector, dims), rows, vector, output)
 
 
-def map_2d(rows: DataFrame, key: str, label: str, spaces: list[str], sample: int | None = None) -> DataFrame:
-    """`(key, space, x, y, label)`: two components per vector column, for a chart.
+def map_2d(rows: DataFrame, keys: Sequence[str], label: str, spaces: Sequence[str], sample: int | None = None) -> DataFrame:
+    """`(keys, space, x, y, label)`: two components per vector column, for a chart.
 
     The components come from all rows; `sample` limits what is drawn.
     """
-    drawn = chart_sample(rows, sample, key) if sample else rows
-    out = None
-    for space in spaces:
-        model = fit_reducer(rows, space, 2)
-        points = apply_reducer(model, drawn.select(key, label, space), space, "xy").select(
-            key, F.lit(space).alias("space"), F.get("xy", F.lit(0)).alias("x"), F.get("xy", F.lit(1)).alias("y"), label
-        )
-        out = points if out is None else out.unionByName(points)
-    return out
+
+    def one(space: str) -> DataFrame:
+        points = apply_reducer(fit_reducer(rows, space, 2), drawn.select(*keys, label, space), space, "xy")
+        at = lambda i: F.get("xy", F.lit(i))
+        return points.select(*keys, F.lit(space).alias("space"), at(0).alias("x"), at(1).alias("y"), label)
+
+    drawn = chart_sample(rows, sample, *keys) if sample else rows
+    return reduce(DataFrame.unionByName, map(one, spaces))
 
 
 def covariance(rows: DataFrame, vector: str) -> DataFrame:

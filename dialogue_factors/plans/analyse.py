@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from dialogue_factors.config import Settings
+from dialogue_factors.operators.embed import hashed_tfidf
 from dialogue_factors.operators.factors import FactorBasis, fit_factors, split_factors
 from dialogue_factors.operators.metrics import accuracy, confusion_matrix
 from dialogue_factors.operators.probe import fit_probe, leakage, predict
@@ -17,17 +19,20 @@ from dialogue_factors.session import materialize
 @dataclass(frozen=True)
 class Analysis:
     factors: FactorBasis
-    scored: DataFrame  # key, label, vector, z_p, z_c, logits, prediction
+    scored: DataFrame  # keys, label, vector, z_p, z_c, logits, prediction
     accuracy: DataFrame
     confusion: DataFrame
     leakage: DataFrame
-    chart: DataFrame
+    persona_map: DataFrame
+    chart: DataFrame  # persona and content side by side
 
 
 def analyse(
-    train: DataFrame, test: DataFrame, key: str, vector: str, label: str, settings: Settings = Settings(), passes: int = 1
+    train: DataFrame, test: DataFrame, keys: Sequence[str], vector: str, label: str,
+    settings: Settings = Settings(), passes: int = 1,
 ) -> Analysis:
     """Fit the split and a persona classifier on `train`, report on `test`."""
+    keys = list(keys)
     factors = fit_factors(train, vector, label, passes, settings)
     probe = fit_probe(split_factors(train, vector, factors), "z_p", label, settings)
     scored = materialize(predict(probe, split_factors(test, vector, factors), "z_p"), "scored")
@@ -36,6 +41,15 @@ def analyse(
         scored,
         accuracy(scored, "prediction", label),
         confusion_matrix(scored, "prediction", label),
-        leakage(scored, [key], label, [vector, "z_p", "z_c"], settings),
-        map_2d(scored, key, label, ["z_p", "z_c"], settings.compare_rows),
+        leakage(scored, keys, label, [vector, "z_p", "z_c"], settings),
+        map_2d(scored, keys, label, ["z_p"], settings.map_rows),
+        map_2d(scored, keys, label, ["z_p", "z_c"], settings.compare_rows),
     )
+
+
+def analyse_examples(examples: DataFrame, settings: Settings = Settings(), passes: int = 1) -> Analysis:
+    """Analyse labelled utterances `(speaker_id, pos, text, label, split)`, embedded by hash."""
+    kept = materialize(examples.select("speaker_id", "pos", "text", "label", "split"), "examples")
+    embedded = materialize(hashed_tfidf(kept, ["speaker_id", "pos", "label", "split"], "text", settings), "utterance-vectors")
+    part = lambda name: embedded.where(embedded.split == name).drop("split")
+    return analyse(part("train"), part("test"), ["speaker_id", "pos"], "embedding", "label", settings, passes)

@@ -316,7 +316,7 @@ def pca_reduce(spark: SparkSession, folder: str) -> DataFrame:
 def chart_map(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder)
     parts = split_factors(rows, "x", fit_factors(rows, "x", "label"))
-    chart = map_2d(parts, "vec_id", "label", ["x", "z_p", "z_c"], SETTINGS.map_rows)
+    chart = map_2d(parts, ["vec_id"], "label", ["x", "z_p", "z_c"], SETTINGS.map_rows)
     return chart.select("vec_id", "space", rounded("x"), rounded("y"), "label")
 
 

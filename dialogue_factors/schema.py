@@ -13,3 +13,4 @@ K_SCORES = "k int, silhouette double"
 HISTORY = "epoch int, metric string, value double"
 FACTOR_BASIS = "row int, vector array<double>"
 CENTRES = "cluster int, centre array<double>"
+HEADS = "epoch int, name string, row int, weights array<double>, bias double"

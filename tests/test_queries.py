@@ -12,7 +12,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as contract  # noqa: E402
 from dialogue_factors.operators.splits import split_overlap  # noqa: E402
-from dialogue_factors.plans.label_dialogue import label_lines  # noqa: E402
+from dialogue_factors.plans.jobs import analyse_labelled, label_sources
+from dialogue_factors.plans.label_dialogue import label_lines
+from dialogue_factors.schema import SPEAKER_RECORDS  # noqa: E402
 from dialogue_factors.sources.dialogue_lines import read_lines  # noqa: E402
 
 
@@ -54,13 +56,20 @@ def test_chain_from_files(spark, tmp_path):
         lines += [f"1 your persona: i love {words[0]} and {words[1]} .", f"2 your persona: {words[2]} are great ."]
         lines += [f"{t + 3} do you like {words[t % 3]}\tyes , {words[(t + 1) % 3]} too" for t in range(4)]
     (tmp_path / "a.txt").write_text("\n".join(lines))
-    result = label_lines(read_lines(spark, [str(tmp_path / "a.txt")]), ks=[2, 3, 4])
+    out = str(tmp_path / "out")
+    result = label_sources(spark, [str(tmp_path / "a.txt")], out, ks=[2, 3, 4])
     assert result.model.k == 3 and result.k_scores.count() == 3
     assert {r["count"] for r in result.speakers.groupBy("label").count().collect()} == {15}
     examples = result.examples.persist()
     assert examples.count() == 45 * 8
     assert {r.n for r in split_overlap(examples).collect()} == {0}
     assert {r.split: r["count"] // 8 for r in examples.groupBy("split").count().collect()} == {"train": 36, "val": 4, "test": 5}
+    speakers = spark.read.schema(SPEAKER_RECORDS).json(f"{out}/speakers")
+    assert speakers.count() == 45 and {len(r.utterances) for r in speakers.collect()} == {8}
+    assert spark.read.parquet(f"{out}/map").count() == 45 and spark.read.parquet(f"{out}/centres").count() == 3
+    analysis = analyse_labelled(spark, out)
+    assert analysis.accuracy.first().n == 40 and analysis.accuracy.first().accuracy == 1.0
+    assert {r.space for r in spark.read.parquet(f"{out}/analysis/leakage").collect()} == {"embedding", "z_p", "z_c"}
     (tmp_path / "empty.txt").write_text("nothing here\n")
     with pytest.raises(ValueError):
         label_lines(read_lines(spark, [str(tmp_path / "empty.txt")]))

@@ -7,6 +7,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -17,12 +18,21 @@ from dialogue_factors.functions.matrices import affine, nearest
 from dialogue_factors.operators import kmeans, metrics
 from dialogue_factors.operators.embed import encode_texts, hashed_tfidf
 from dialogue_factors.operators.encode import build_vocabulary, encode_tokens
-from dialogue_factors.operators.factors import FactorBasis, class_means, fit_factors, split_factors
+from dialogue_factors.operators.factors import (
+    FactorBasis,
+    apply_heads,
+    class_means,
+    fit_factors,
+    heads_table,
+    read_heads,
+    split_factors,
+)
 from dialogue_factors.operators.ksweep import score_models, sweep
 from dialogue_factors.operators.probe import fit_probe, leakage, predict
 from dialogue_factors.operators.reduce import apply_reducer, covariance, fit_reducer, map_2d
 from dialogue_factors.operators.silhouette import row_silhouettes, silhouette_exact, silhouette_squared
 from dialogue_factors.plans.analyse import analyse
+from dialogue_factors.plans.catalog import given_heads
 
 
 def frame(spark, x, labels=None, partitions=4):
@@ -108,7 +118,7 @@ def test_covariance(spark):
 
 def test_map_2d_samples_after_fitting(spark):
     x, y = signal(60, 6)
-    chart = map_2d(frame(spark, x, y), "vec_id", "label", ["x"], 10)
+    chart = map_2d(frame(spark, x, y), ["vec_id"], "label", ["x"], 10)
     assert chart.columns == ["vec_id", "space", "x", "y", "label"] and sorted(r.vec_id for r in chart.collect()) == list(range(10))
 
 
@@ -197,11 +207,37 @@ def test_factors_on_planted_signal(spark):
 def test_analysis_end_to_end(spark):
     x, y = signal(1200, 16)
     df = frame(spark, x, y)
-    result = analyse(df.where("vec_id < 800"), df.where("vec_id >= 800"), "vec_id", "x", "label")
+    result = analyse(df.where("vec_id < 800"), df.where("vec_id >= 800"), ["vec_id"], "x", "label")
     assert result.accuracy.first().n == 400 and result.accuracy.first().accuracy > 0.6
     assert result.confusion.agg(F.sum("n")).first()[0] == 400
     assert {r.space for r in result.leakage.collect()} == {"x", "z_p", "z_c"}
-    assert result.chart.count() == 800
+    assert result.chart.count() == 800 and result.persona_map.count() == 400
+
+
+def test_heads_are_kept_per_epoch(spark, tmp_path):
+    heads = {e: given_heads(6, 4 + e, 3) for e in (0, 1)}
+    path = str(tmp_path / "heads")
+    for epoch, h in heads.items():
+        heads_table(spark, h, epoch).write.mode("append").partitionBy("epoch").parquet(path)
+    again = read_heads(spark.read.parquet(path), 1)
+    for name in ("persona", "content", "classifier", "adversary"):
+        for kept, was in zip(getattr(again, name), getattr(heads[1], name)):
+            np.testing.assert_array_equal(kept, was)
+    with pytest.raises(ValueError):
+        read_heads(spark.read.parquet(path), 7)
+    x, y = signal(20, 6)
+    scored = apply_heads(frame(spark, x, y), "x", again).orderBy("vec_id").collect()
+    z = x @ again.persona[0].T + again.persona[1]
+    np.testing.assert_allclose([r.logits for r in scored], z @ again.classifier[0].T + again.classifier[1])
+
+
+def test_probe_reloads(spark, tmp_path):
+    x, y = signal(200, 5, 3)
+    df = frame(spark, x, y)
+    model = fit_probe(df, "x", "label")
+    model.write().overwrite().save(str(tmp_path / "probe"))
+    again = LogisticRegressionModel.load(str(tmp_path / "probe"))
+    assert predict(again, df, "x").orderBy("vec_id").collect() == predict(model, df, "x").orderBy("vec_id").collect()
 
 
 def test_scores(spark):
