@@ -125,22 +125,19 @@ def assignment_totals(vectors: DataFrame, vector: str, models: Sequence[Clusteri
                 total += member @ x
                 square += squared
                 cost += np.maximum(squared + 2 * np.einsum("ij,ij->i", gap, member), 0.0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(slots), pa.int32()), as_lists(np.column_stack([count, square, cost, total]))],
-            ["slot", "stats"],
-        )
-
-    reduced = (
-        vectors.select(vector).mapInArrow(totals, "slot int, stats array<double>")
-        .groupBy("slot").agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
+        stats = np.column_stack([count, square, cost, total])
+        per_model = pa.ListArray.from_arrays(pa.array(edges * (dims + 3), pa.int32()), pa.array(stats.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models)), pa.int32()), per_model], ["model", "stats"])
+
+    summed = (
+        vectors.select(vector).mapInArrow(totals, "model int, stats array<double>")
+        .groupBy("model").agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
+        .toArrow()  # one row per model
     )
-    found = reduced.toArrow()  # one row per centre
-    stats = np.zeros((slots, dims + 3))
-    stats[found.column("slot").to_numpy()] = as_matrix(found.column("stats"))
-    return [
-        replace(m, counts=s[:, 0], squares=s[:, 1], cost=float(s[:, 2].sum()), sums=s[:, 3:])
-        for m, s in zip(models, np.split(stats, edges[1:-1]))
-    ]
+    stats = {m: s.values.to_numpy().reshape(-1, dims + 3) for m, s in zip(summed["model"].to_pylist(), summed["stats"])}
+    none = np.zeros((slots, dims + 3))
+    scored = [(m, stats.get(i, none[: m.k])) for i, m in enumerate(models)]
+    return [replace(m, counts=s[:, 0], squares=s[:, 1], cost=float(s[:, 2].sum()), sums=s[:, 3:]) for m, s in scored]
 
 
 def fit(

@@ -37,7 +37,7 @@ from dialogue_factors.operators.probe import leakage, nearest_mean_predictions
 from dialogue_factors.operators.reduce import covariance, map_2d, reduce_vectors
 from dialogue_factors.operators.silhouette import row_silhouettes, silhouette_squared
 from dialogue_factors.plans.label_dialogue import label_lines
-from dialogue_factors.session import scratch_path
+from dialogue_factors.session import scratch_path, use_all_cores
 from dialogue_factors.sources.dialogue_lines import read_lines
 from dialogue_factors.sources.records import read_examples, read_k_scores, write_examples, write_k_scores
 
@@ -61,6 +61,10 @@ def rounded(c: str | Column, places: int = 6) -> Column:
 # ---- views of the tables -------------------------------------------------------
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return use_all_cores(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings", "vec_id", doubles("embedding").alias("x"), "label")
 
@@ -119,7 +123,7 @@ def dialogue_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "documents", "doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    lines = documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     return number_lines(lines).select("doc_id", "ln", "number", "rest")
 
 
@@ -292,14 +296,14 @@ def linear_heads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    embedded = hashed_tfidf(table(spark, folder, "documents", "doc_id", "text"), "doc_id", dims=FEATURE_DIMS)
+    embedded = hashed_tfidf(documents(spark, folder), "doc_id", dims=FEATURE_DIMS)
     return embedded.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0").select(
         "doc_id", "bucket", rounded("weight")
     )
 
 
 def token_encoding(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = encode_tokens(table(spark, folder, "documents", "doc_id", "text"))
+    encoded = encode_tokens(documents(spark, folder))
     flat = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
     return encoded.select("doc_id", flat("input_ids"), flat("attention_mask"))
 

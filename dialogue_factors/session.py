@@ -17,6 +17,7 @@ def build_session(master: str | None = None, name: str = "dialogue-factors", **c
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
     )
     if master:
         builder = builder.master(master)
@@ -58,6 +59,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def use_all_cores(scan: DataFrame) -> DataFrame:
+    """Spread a table that a plain scan reads in fewer tasks than the session has
+    cores, before work that is heavy per row. Larger tables pass unchanged."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what `materialize` stored for this application; its tables end with it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
