@@ -44,7 +44,10 @@ def argmax(v: Column | str) -> Column:
 
 
 def cross_entropy(logits: Column | str, label: Column | str) -> Column:
-    """logsumexp(logits) - logits[label], shifted by the maximum for stability."""
+    """logsumexp(logits) - logits[label], shifted by the maximum for stability.
+
+    A label beyond the logits is an error (under the default ANSI mode), not a null.
+    """
     v = _col(logits)
     top = F.array_max(v)
-    return top + F.ln(total(F.transform(v, lambda x: F.exp(x - top)))) - F.get(v, _col(label))
+    return top + F.ln(total(F.transform(v, lambda x: F.exp(x - top)))) - v[_col(label)]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dialogue_factors.config import FIELD_SEPARATOR, PERSONA_MARKER, Settings
 from dialogue_factors.functions.text import strip
-from dialogue_factors.functions.vectors import argmax, doubles
+from dialogue_factors.functions.vectors import argmax, dot, doubles
 from dialogue_factors.operators import kmeans, metrics, reports, splits
 from dialogue_factors.operators.embed import hashed_tfidf
 from dialogue_factors.operators.encode import encode_tokens
@@ -317,6 +317,12 @@ def pca_reduce(spark: SparkSession, folder: str) -> DataFrame:
     return reduced.select("vec_id", F.posexplode("reduced").alias("component", "value")).select("vec_id", "component", rounded("value"))
 
 
+def pca_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    """All components keep the length of the centred vectors, whatever their signs."""
+    rotated = reduce_vectors(vectors(spark, folder), "x", 64)
+    return rotated.select("vec_id", rounded(dot("reduced", "reduced")).alias("squared_length"))
+
+
 def chart_map(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder)
     parts = split_factors(rows, "x", fit_factors(rows, "x", "label"))
@@ -410,6 +416,11 @@ def labelled_dialogue(spark: SparkSession, folder: str) -> DataFrame:
     return reports.class_distribution(label_lines(dialogue_lines(spark, folder)).examples)
 
 
+def labelled_split_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """End to end again, counted by split alone: no utterance is lost on the way."""
+    return reports.split_sizes(label_lines(dialogue_lines(spark, folder)).examples)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_lines": clean_lines,
     "line_kinds": line_kinds,
@@ -437,6 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "linear_heads": linear_heads,
     "covariance": covariance_table,
     "pca_reduce": pca_reduce,
+    "pca_rotation": pca_rotation,
     "map_2d": chart_map,
     "chart_sample": chart_sample,
     "nearest_centroid": nearest_centroid,
@@ -453,4 +465,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hashed_tfidf": tfidf,
     "encode_tokens": token_encoding,
     "labelled_dialogue": labelled_dialogue,
+    "labelled_split_sizes": labelled_split_sizes,
 }

@@ -34,7 +34,8 @@ def embed_personas(dialogue: Dialogue, settings: Settings = Settings()) -> DataF
     parts = F.expr(f"last_offset div {settings.record_lines} + 1").alias("parts")
     long = broadcast_if_small(dialogue.speakers.select("speaker_id", parts).where("parts > 1"))
     texts = persona_texts(dialogue.facts, settings).join(long, "speaker_id", "left").fillna({"parts": 1})
-    return hashed_tfidf(texts, "speaker_id", "persona_text", settings)
+    # Stored, as the embedding reads it twice.
+    return hashed_tfidf(materialize(texts, "personas"), "speaker_id", "persona_text", settings)
 
 
 def label_vectors(

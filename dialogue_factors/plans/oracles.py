@@ -67,12 +67,14 @@ examples AS (SELECT *, {_SPLIT} AS split FROM labelled)"""
 
 _SPEAKERS = "speakers AS (SELECT DISTINCT conv_id AS speaker_id FROM conversations)"
 
-_RANKED = f"""{_SPEAKERS},
-ranked AS (SELECT speaker_id, row_number() OVER (ORDER BY {_hash('speaker_id')}) AS r, count(*) OVER () AS n FROM speakers),
-split_exact AS (
+_SPLIT_EXACT = """split_exact AS (
   SELECT speaker_id, CASE WHEN r <= ((n + 4) // 5 + 1) // 2 THEN 'test' WHEN r <= (n + 4) // 5 THEN 'val' ELSE 'train' END AS split
   FROM ranked)"""
 
+_RANKED = f"""{_SPEAKERS},
+ranked AS (SELECT speaker_id, row_number() OVER (ORDER BY {_hash('speaker_id')}) AS r, count(*) OVER () AS n FROM speakers),
+{_SPLIT_EXACT}"""
+
 _VECTORS = "v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings)"
 _LONG = f"{_VECTORS}, long AS (SELECT vec_id, label, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS value FROM v)"
 
@@ -256,6 +258,15 @@ SELECT vec_id, head, i, round(value, 6) AS value FROM cells""",
 WITH {_LONG}
 SELECT a.i::INT AS i, b.i::INT AS j, round(covar_samp(a.value, b.value), 6) AS covariance
 FROM long a JOIN long b ON a.vec_id = b.vec_id GROUP BY a.i, b.i""",
+    "pca_rotation": f"""
+WITH {_LONG}, m AS (SELECT i, avg(value) AS mean FROM long GROUP BY i)
+SELECT vec_id, round(sum(pow(value - mean, 2)), 6) AS squared_length FROM long JOIN m USING (i) GROUP BY vec_id""",
+    "labelled_split_sizes": f"""
+WITH {_EPISODES},
+ranked AS (SELECT speaker_id, row_number() OVER (ORDER BY {_hash('speaker_id')}) AS r, count(*) OVER () AS n FROM records),
+{_SPLIT_EXACT},
+items AS (SELECT speaker_id, unnest(string_split(utterances, chr(9))) AS text FROM records)
+SELECT split, count(*) AS n FROM items JOIN split_exact USING (speaker_id) WHERE length({_strip('text')}) > {_MIN} GROUP BY split""",
     "chart_sample": "SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 300",
     "nearest_centroid": f"""
 WITH {_LONG},

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import subprocess
+import sys
 from dataclasses import replace
 
 import pytest
@@ -11,10 +14,10 @@ from pyspark.sql import functions as F
 
 from dialogue_factors.config import Settings
 from dialogue_factors.operators import reports, splits
-from dialogue_factors.operators.examples import keep_utterances, seeded_shuffle
-from dialogue_factors.operators.labels import attach_by_position, attach_labels, label_mismatch_report
+from dialogue_factors.operators.examples import keep_utterances, label_utterances, seeded_shuffle
+from dialogue_factors.operators.labels import attach_by_position, label_mismatch_report
 from dialogue_factors.operators.order import rank_by_hash, with_row_index
-from dialogue_factors.session import broadcast_if_small, materialize, shared_folder
+from dialogue_factors.session import broadcast_if_small, materialize, shared_folder, use_all_cores
 from dialogue_factors.sources import records
 from dialogue_factors.streaming.utterances import stream_utterances, write_stream
 
@@ -66,10 +69,26 @@ def test_mismatch_report(spark):
     assert tuple(label_mismatch_report(left.limit(0), left.limit(0), "k").first()) == (0, 0, 0, 0, 0, False)
 
 
-def test_hot_speaker_keeps_every_row(spark):
-    utterances = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("speaker_id"), F.col("id").alias("pos"), F.lit("hello").alias("text"))
-    labels = spark.range(9000).select(F.col("id").alias("speaker_id"), (F.col("id") % 5).cast("int").alias("label"))
-    assert attach_labels(utterances, labels).count() == 9000
+def test_hot_speaker_is_split_and_keeps_every_row(spark):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    hot = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id"))  # a third of all rows
+    utterances = spark.range(0, 60000, 1, 6).select(hot.alias("speaker_id"), F.col("id").alias("pos"), F.concat(F.lit("hello "), "id").alias("text"))
+    labels = spark.range(60000).select(F.col("id").alias("speaker_id"), (F.col("id") % 5).cast("int").alias("label"))
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        joined = label_utterances(utterances, labels).groupBy("label").agg(F.count("pos").alias("n"), F.max("text"))
+        rows = {r.label: r.n for r in joined.collect()}
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        assert sum(rows.values()) == 60000 and rows[1] > 20000
+    finally:
+        for key in small:
+            spark.conf.unset(key)
 
 
 def test_clean_keeps_longer_than_three_code_points(spark):
@@ -144,6 +163,27 @@ def test_materialized_table_is_stored(spark):
     assert shared_folder(spark) in df.inputFiles()[0] and df.collect() == df.collect()
 
 
+def test_small_scans_are_spread(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert use_all_cores(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = one.repartition(9)
+    assert use_all_cores(wide) is wide
+
+
+def test_scratch_can_be_dropped(tmp_path):
+    script = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from dialogue_factors.session import build_session, drop_scratch, materialize\n"
+        "spark = build_session('local[1]', **{'spark.checkpoint.dir': sys.argv[2], 'spark.ui.enabled': 'false'})\n"
+        "materialize(spark.range(3), 'x').count(); drop_scratch(spark); spark.stop()\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "kept.txt").write_text("not ours")
+    subprocess.run([sys.executable, "-c", script, root, str(tmp_path)], check=True, capture_output=True, timeout=120)
+    assert not [p for p in tmp_path.rglob("*.parquet")] and (tmp_path / "kept.txt").exists()
+
+
 def test_settings_are_frozen():
     with pytest.raises(AttributeError):
         Settings().seed = 1

@@ -83,6 +83,12 @@ def test_extremes(spark):
     assert row.c == 0.0 and row.n == [0.0, 0.0] and row.ce == pytest.approx(np.log(2)) and row.m == 0
 
 
+def test_label_without_logit_is_an_error(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 2)], "l array<double>, y int")
+    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
+        df.select(V.cross_entropy("l", "y")).collect()
+
+
 def test_matrix_columns(spark):
     x, _ = blobs(40)
     w, b = np.arange(24).reshape(3, 8) / 7.0, np.array([1.0, 2.0, 3.0])
