@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 NORM_FLOOR = 1e-12
@@ -27,10 +29,15 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row, even if used per element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalize(v: Column | str) -> Column:
     """Unit vector; the norm is floored, so a zero vector stays zero."""
     length = F.greatest(norm(v), F.lit(NORM_FLOOR))
-    return F.transform(_col(v), lambda x: x / length)
+    return with_value(length, lambda n: F.transform(_col(v), lambda x: x / n))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -49,5 +56,5 @@ def cross_entropy(logits: Column | str, label: Column | str) -> Column:
     A label beyond the logits is an error (under the default ANSI mode), not a null.
     """
     v = _col(logits)
-    top = F.array_max(v)
-    return top + F.ln(total(F.transform(v, lambda x: F.exp(x - top)))) - v[_col(label)]
+    log_sum = lambda top: top + F.ln(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return with_value(F.array_max(v), log_sum) - v[_col(label)]

@@ -56,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Mark a narrow table for broadcast once its rows are counted and few; otherwise
     leave the join to the optimizer. `df` should read from a stored table."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def use_all_cores(scan: DataFrame) -> DataFrame:
