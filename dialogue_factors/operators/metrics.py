@@ -21,9 +21,11 @@ def accuracy(rows: DataFrame, prediction: str = "prediction", label: str = "labe
 
 def confusion_matrix(rows: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:
     """`(label, prediction, n)` over all labels seen in truth or prediction, zeros included."""
-    counts = rows.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
-    # The set holds class numbers; the counts are aggregated before it is built.
-    seen = counts.select(F.explode(F.array("label", "prediction")).alias("c")).agg(F.array_sort(F.collect_set("c")).alias("classes"))
+    paired = rows.select(F.col(label).alias("label"), F.col(prediction).alias("prediction")).where("label IS NOT NULL AND prediction IS NOT NULL")
+    counts = paired.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    # The set holds class numbers. Asking for n > 0, always true, keeps both uses of
+    # the counts alike, so that the rows are scanned and counted once.
+    seen = counts.where("n > 0").select(F.explode(F.array("label", "prediction")).alias("c")).agg(F.array_sort(F.collect_set("c")).alias("classes"))
     grid = seen.select(F.explode("classes").alias("label"), "classes").select("label", F.explode("classes").alias("prediction"))
     return grid.join(counts, ["label", "prediction"], "left").select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
 
