@@ -57,27 +57,32 @@ def running_opens(opens: str, including_current: bool) -> Column:
     return run.asNondeterministic()("block", "ln", opens)
 
 
+def block_key() -> Column:
+    """A source's share of a file split, as one number."""
+    return F.xxhash64("source", "file", "start")
+
+
 def block_offsets(flagged: DataFrame, opens: str) -> DataFrame:
     """One row per block: what the blocks before it in its source add up to."""
-    totals = flagged.groupBy("source", "block").agg(
+    # Aggregates of numbers only, so that lines are hashed, not sorted.
+    totals = flagged.groupBy("source", "file", "start").agg(
         F.count_if(opens).alias("opened"),
         F.min("ln").alias("first"),
         (F.max("ln") - F.min("ln") + 1).alias("lines"),
         F.max(F.when(F.col(opens), F.col("ln"))).alias("last_open"),
-        F.min("file").alias("file"),
-        F.max("file").alias("also"),
-        F.min("start").alias("start"),
-        F.max("start").alias("also_start"),
     )
-    number = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"^part-(\d+)", 1).try_cast("bigint")
-    earlier = Window.partitionBy("source").orderBy(number, "file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"^part-(\d+)", 1).try_cast("bigint")
+    earlier = Window.partitionBy("source").orderBy("part", "file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    alike = F.count(F.lit(1)).over(Window.partitionBy("source", "block"))
     clash = F.raise_error(F.lit("two file splits share a block key")).cast("bigint")
     return (
-        totals.withColumn("island0", F.coalesce(F.sum("opened").over(earlier), F.lit(0)))
+        totals.withColumn("block", block_key()).withColumn("part", part)
+        .withColumn("first", F.when(alike == 1, F.col("first")).otherwise(clash))
+        .withColumn("island0", F.coalesce(F.sum("opened").over(earlier), F.lit(0)))
         .withColumn("row0", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
         .withColumn("open_row", F.col("row0") + F.col("last_open") - F.col("first"))
         .withColumn("carried", F.coalesce(F.max("open_row").over(earlier), F.lit(0)))
-        .select("source", "block", F.when((F.col("file") == F.col("also")) & (F.col("start") == F.col("also_start")), F.col("first")).otherwise(clash).alias("first"), "island0", "row0", "carried")
+        .select("source", "block", "first", "island0", "row0", "carried")
     )
 
 
@@ -89,15 +94,18 @@ def number_islands(lines: DataFrame, opens: Column, keep: Column, including_curr
     it. `lines` come straight from `read_lines` or `place_in_order`: they are counted
     where they are read, and only one row per block is shuffled.
     """
-    # A block is a source's share of a file split, under a short key.
-    flagged = lines.withColumn("_opens", opens).withColumn("block", F.xxhash64("source", "file", "start"))
+    flagged = lines.withColumn("_opens", opens).withColumn("block", block_key())
     offsets = broadcast_if_small(materialize(block_offsets(flagged, "_opens"), "blocks"))
     return (
         # Filtered after counting: pushed below it, the filter would parse lines anew.
         flagged.withColumn("_run", running_opens("_opens", including_current)).where(keep)
         .join(offsets, ["source", "block"])
         .withColumn("_row", F.col("row0") + F.col("ln") - F.col("first"))
-        .withColumn("_open_row", F.when(F.col("_run.opened") < 0, F.col("carried")).otherwise(F.col("row0") + F.col("_run.opened") - F.col("first")))
+        .withColumn(
+            "_open_row",
+            F.when(F.col("_run.opened") < 0, F.col("carried"))
+            .otherwise(F.col("row0") + F.col("_run.opened") - F.col("first")),
+        )
         .withColumn("island", F.col("island0") + F.col("_run.seen"))
         .withColumn("offset", F.col("_row") - F.col("_open_row"))
         .drop("block", "_opens", "_run", "_row", "_open_row", "first", "island0", "row0", "carried")
@@ -193,10 +201,14 @@ def speaker_records(dialogue: Dialogue, settings: Settings = Settings()) -> Data
     An episode longer than `record_lines` lines continues in part 1, 2, ...; text
     or utterances a part lacks are empty.
     """
-    both = dialogue.facts.select("speaker_id", F.col("pos").alias("offset"), F.lit(0).alias("side"), F.col("fact"), F.lit(None).cast("string").alias("text")).unionByName(
+    none = F.lit(None).cast("string")
+    facts = dialogue.facts.select(
+        "speaker_id", F.col("pos").alias("offset"), F.lit(0).alias("side"), "fact", none.alias("text")
+    )
+    both = facts.unionByName(
         dialogue.utterances.select(
             "speaker_id", F.expr("pos div 2").alias("offset"), F.expr("cast(pos % 2 as int)").alias("side"),
-            F.lit(None).cast("string").alias("fact"), "text",
+            none.alias("fact"), "text",
         )
     )
     return (

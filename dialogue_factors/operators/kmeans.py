@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dialogue_factors import schema
 from dialogue_factors.config import Settings
-from dialogue_factors.functions.matrices import as_lists, as_matrix, nearest
+from dialogue_factors.functions.matrices import as_matrix, nearest
 from dialogue_factors.functions.text import hash_number, seeded_hash
 
 

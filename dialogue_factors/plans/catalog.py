@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dialogue_factors.config import FIELD_SEPARATOR, PERSONA_MARKER, Settings
-from dialogue_factors.functions.text import strip
 from dialogue_factors.functions.vectors import argmax, dot, doubles
 from dialogue_factors.operators import kmeans, metrics, reports, splits
 from dialogue_factors.operators.embed import hashed_tfidf
@@ -77,7 +76,9 @@ def utterances(spark: SparkSession, folder: str) -> DataFrame:
 
 def persona_facts(spark: SparkSession, folder: str) -> DataFrame:
     """System text where a conversation has some, else its user turns."""
-    rows = table(spark, folder, "conversations", F.col("conv_id").alias("speaker_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("fact"))
+    rows = table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("speaker_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("fact")
+    )
     system = rows.where("role = 'system'")
     users = rows.where("role = 'user'").join(system.select("speaker_id").distinct(), "speaker_id", "left_anti")
     return system.unionByName(users).drop("role")
