@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dialogue_factors.llm.bitplanes import write_and_read
 from dialogue_factors.llm.decontaminate import find_leaks
+from dialogue_factors.llm.jaccard_join import near_duplicates
 from dialogue_factors.llm.kneser_ney import classify
 from dialogue_factors.llm.lookup_shards import moved_rows
 from dialogue_factors.llm.mixture_language import predict_languages
@@ -25,6 +26,10 @@ def op1_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_powers_of_two(table(spark, folder, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_mixture_language(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(table(spark, folder, "documents"))
 
@@ -54,7 +59,7 @@ def op10_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
-        op1_power_of_two_packing, op5_mixture_language, op6_secret_forest, op7_bit_planes,
+        op1_power_of_two_packing, op4_jaccard_join, op5_mixture_language, op6_secret_forest, op7_bit_planes,
         op8_kneser_ney_quality, op9_qgram_decontamination, op10_lookup_sharding,
     )
 }
