@@ -14,6 +14,7 @@ from dialogue_factors.llm.lookup_shards import moved_rows
 from dialogue_factors.llm.mixture_language import predict_languages
 from dialogue_factors.llm.packing import pack_powers_of_two
 from dialogue_factors.llm.secret_forest import find_secrets
+from dialogue_factors.llm.suffix_dedup import remove_repeats
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -26,6 +27,10 @@ def op1_power_of_two_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_powers_of_two(table(spark, folder, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -59,7 +64,7 @@ def op10_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
-        op1_power_of_two_packing, op4_jaccard_join, op5_mixture_language, op6_secret_forest, op7_bit_planes,
+        op1_power_of_two_packing, op2_suffix_dedup, op4_jaccard_join, op5_mixture_language, op6_secret_forest, op7_bit_planes,
         op8_kneser_ney_quality, op9_qgram_decontamination, op10_lookup_sharding,
     )
 }
