@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dialogue_factors.llm.bitplanes import write_and_read
 from dialogue_factors.llm.decontaminate import find_leaks
+from dialogue_factors.llm.invertible_sketch import fingerprints
 from dialogue_factors.llm.jaccard_join import near_duplicates
 from dialogue_factors.llm.kneser_ney import classify
 from dialogue_factors.llm.lookup_shards import moved_rows
@@ -31,6 +32,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
 
 
+def op3_invertible_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(table(spark, folder, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -64,7 +69,7 @@ def op10_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
-        op1_power_of_two_packing, op2_suffix_dedup, op4_jaccard_join, op5_mixture_language, op6_secret_forest, op7_bit_planes,
+        op1_power_of_two_packing, op2_suffix_dedup, op3_invertible_fingerprints, op4_jaccard_join, op5_mixture_language, op6_secret_forest, op7_bit_planes,
         op8_kneser_ney_quality, op9_qgram_decontamination, op10_lookup_sharding,
     )
 }
