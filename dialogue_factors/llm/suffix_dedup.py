@@ -5,13 +5,14 @@ their bucket by multikey quicksort and compared with their neighbours, also acro
 buckets. Only suffixes that can matter are made: every string of `LENGTH` bytes has an
 anchor (its least hashed `GRAM` bytes), equal strings have equal anchors, and the
 strings of one anchor are a run, so a run is one suffix of the first round. Runs that
-occur again as a whole are settled there. The second round has the single strings of
-runs that share an anchor's bytes with a different run.
+occur again as a whole are settled there. Runs that share an anchor's bytes with a
+different run go on to the next round, cut into shorter runs, and at last into strings.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,26 +20,28 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dialogue_factors.llm.common import BROADCAST_BYTES, batch, chunks, keyed, mix, utf8
-from dialogue_factors.session import materialize
+from dialogue_factors.llm.common import batch, chunks, keyed, mix, utf8
+from dialogue_factors.session import materialize, scratch_path
 
 LENGTH, GRAM = 200, 32
+# Starts of a run in the rounds after the first.
+GRAINS = (16, 1)
 # Bytes of one document looked at together; longer ones go in overlapping pieces.
 PIECE = 8 << 20
 CHUNK = 2 << 20
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 # ---- suffixes --------------------------------------------------------------------
 
 
-def rolling_hashes(data: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
+def rolling_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the `size` bytes from each place, in time that does not grow
     with `size` (doubling, as h(a b) = h(a) * base**|b| + h(b))."""
     if len(data) < size:
         return np.zeros(0, np.uint64)
-    table = mix(np.arange(1, 257, dtype=np.uint64) * base)
-    power, block, width = base, table[data], 1
+    table = mix(np.arange(1, 257, dtype=np.uint64))
+    power, block, width = _BASE, table[data], 1
     out, done = None, 0
     rest = size
     while rest:
@@ -63,7 +66,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     """Runs of starts whose strings share an anchor: first start, starts, anchor, and the
     anchor's hash. Starts whose string would leave its text are no starts."""
     empty = np.zeros(0, np.int64)
-    hashes = rolling_hashes(data, GRAM, _BASES[0])
+    hashes = rolling_hashes(data, GRAM)
     width, n = LENGTH - GRAM + 1, len(data) - LENGTH + 1
     if n <= 0:
         return empty, empty, empty, np.zeros(0, np.uint64)
@@ -117,7 +120,7 @@ SUFFIXES = "lead long, d1 long, d2 long, key_id long, key_text long, place long"
 
 def run_suffixes(rows: DataFrame) -> DataFrame:
     """First round: `lead` (first bytes of the anchor, then its hash), a 128-bit digest of
-    the run's bytes, and `place` (first start * 256 + starts - 1)."""
+    the run's bytes, and `place` (see `pack`)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets, shift in _pieces(batches, 2):
@@ -132,49 +135,54 @@ def run_suffixes(rows: DataFrame) -> DataFrame:
             yield batch(
                 lead=pa.array(_signed(_leading(data, anchor) | hashes >> np.uint64(32))), d1=pa.array(halves[:, 0]), d2=pa.array(halves[:, 1]),
                 key_id=part.column(0).take(at), key_text=part.column(1).take(at),
-                place=pa.array((first - offsets[text] + shift) * 256 + starts - 1),
+                place=pa.array((first - offsets[text] + shift) << 16 | starts - 1 << 8 | anchor - first),
             )
 
     return rows.select("key_id", "key_text", "text").mapInArrow(emit, SUFFIXES)
 
 
-def string_suffixes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Second round: each string of the wanted runs, `lead` being its first bytes. `place`
-    is start * 2 + 1, or start * 2 for a string that only serves to be compared with."""
+def finer_suffixes(rows: DataFrame, wanted: DataFrame, grain: int) -> DataFrame:
+    """Later rounds: the wanted runs cut into runs of `grain` starts, on a grid that counts
+    from the anchor, so that equal strings are cut alike.
+
+    `lead` is made of the bytes that all strings of a grid cell share, its first bytes in
+    front: a run whose lead no other has holds no repeated string.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch_rows in batches:
-            data, offsets = utf8(batch_rows.column(2))
-            for i, places in enumerate(batch_rows.column(3).to_pylist()):
-                text = data[offsets[i]:offsets[i + 1]]
+        for part in batches:
+            data, offsets = utf8(part.column(2))
+            for i, places in enumerate(part.column(3).to_pylist()):
+                view = memoryview(np.ascontiguousarray(data[offsets[i]:offsets[i + 1]]))
                 for block in range(0, len(places), 4096):
-                    packed = np.array(places[block:block + 4096], np.int64)
-                    count = (packed // 2 & 255) + 1
-                    start = np.repeat(packed // 512 - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                    asked = np.repeat(packed & 1, count)
-                    ones, twos = _at(text, start)
-                    n = len(start)
+                    leads, digests, out = [], [], []
+                    for packed in places[block:block + 4096]:
+                        asked, anchor, count, start = packed & 1, packed >> 1 & 255, (packed >> 9 & 255) + 1, packed >> 17
+                        grid = start + anchor - (LENGTH - GRAM)  # where the grid begins
+                        low, end = start, start + count
+                        while low < end:
+                            cell = low - (low - grid) % grain
+                            high = min(end, cell + grain)
+                            core = view[cell + grain - 1:cell + LENGTH]
+                            leads.append(bytes(core[:4]) + xxhash.xxh32_digest(core))
+                            digests.append(xxhash.xxh3_128_digest(view[low:high - 1 + LENGTH]))
+                            out.append(pack(low, high - low, 0) * 2 + asked)
+                            low = high
+                    halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                    n = len(out)
                     yield batch(
-                        lead=pa.array(_signed(_leading(text, start) | ones >> np.uint64(32))), d1=pa.array(ones.view(np.int64)), d2=pa.array(twos.view(np.int64)),
-                        key_id=pa.array([batch_rows.column(0)[i].as_py()] * n, pa.int64()), key_text=pa.array([batch_rows.column(1)[i].as_py()] * n, pa.int64()),
-                        place=pa.array(start * 2 + asked),
+                        lead=pa.array(_signed(np.frombuffer(b"".join(leads), ">u8").astype(np.uint64))), d1=pa.array(halves[:, 0]), d2=pa.array(halves[:, 1]),
+                        key_id=pa.array([part.column(0)[i].as_py()] * n, pa.int64()), key_text=pa.array([part.column(1)[i].as_py()] * n, pa.int64()),
+                        place=pa.array(out, pa.int64()),
                     )
 
-    return rows.join(wanted, ["key_id", "key_text"]).select("key_id", "key_text", "text", "places").mapInArrow(emit, SUFFIXES)
+    joined = rows.select("key_id", "key_text", "text").join(wanted, ["key_id", "key_text"])
+    return joined.select("key_id", "key_text", "text", "places").mapInArrow(emit, SUFFIXES)
 
 
-def _at(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both hashes of the strings at these starts, hashing only the stretches they lie in."""
-    order = np.argsort(start, kind="stable")
-    sorted_start = start[order]
-    breaks = np.flatnonzero(np.diff(sorted_start) > LENGTH) + 1
-    out = np.empty((2, len(start)), np.uint64)
-    for group in np.split(order, breaks):
-        low, high = int(start[group[0]]), int(start[group[-1]])
-        stretch = text[low:high + LENGTH]
-        for k, base in enumerate(_BASES):
-            out[k, group] = rolling_hashes(stretch, LENGTH, base)[start[group] - low]
-    return out[0], out[1]
+def pack(start: int, count: int, anchor: int) -> int:
+    """A run as one number: first start, starts, and the anchor's distance from the first."""
+    return start << 16 | count - 1 << 8 | anchor
 
 
 # ---- buckets ---------------------------------------------------------------------
@@ -203,7 +211,7 @@ def multikey_quicksort(words: np.ndarray, small: int = 4096) -> np.ndarray:
     return order
 
 
-SORTED = SUFFIXES + ", again boolean, others boolean, edge boolean"
+SORTED = SUFFIXES + ", again boolean, others boolean, edge boolean, copies long"
 
 
 def sort_and_compare(suffixes: DataFrame) -> DataFrame:
@@ -211,8 +219,8 @@ def sort_and_compare(suffixes: DataFrame) -> DataFrame:
 
     Splitters are sampled by the range shuffle; equal suffixes are told apart by place, so
     that many copies of one string spread over buckets. Suffixes with a lead that no other
-    has are left out. What shares the first or last lead of its bucket is compared again
-    with what other buckets have of that lead, after counting by bucket.
+    has are left out. Of what shares the first or last lead of its bucket, one suffix for
+    each string is compared again with those of other buckets; its copies are settled.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,23 +237,25 @@ def sort_and_compare(suffixes: DataFrame) -> DataFrame:
         again = ~new | np.append(~new[1:], False)
         run = np.cumsum(new_lead) - 1
         others = np.bincount(run, new)[run] > 1
-        edge = (lead == lead[0]) | (lead == lead[-1])
+        edge = new & ((lead == lead[0]) | (lead == lead[-1]))
+        string = np.cumsum(new) - 1
+        copies = np.bincount(string)[string]
         keep = np.flatnonzero(again | others | edge)
         out = table.take(pa.array(order[keep]))
-        for name, flags in (("again", again), ("others", others), ("edge", edge)):
+        for name, flags in (("again", again), ("others", others), ("edge", edge), ("copies", copies)):
             out = out.append_column(name, pa.array(flags[keep]))
         yield from out.to_batches(max_chunksize=100_000)
 
     ranged = suffixes.repartitionByRange("lead", "d1", "d2", "key_id", "key_text", "place")
     found = materialize(ranged.mapInArrow(compare, SORTED), "suffixes")
     edges = found.where("edge")
-    each = edges.groupBy("lead", "d1", "d2").agg(F.count("*").alias("copies"))
+    each = edges.groupBy("lead", "d1", "d2").agg(F.sum("copies").alias("copies"))
     leads = each.groupBy("lead").agg(F.count("*").alias("different"))
     known = materialize(each.join(leads, "lead").where("copies > 1 or different > 1"), "edges")
-    mended = edges.drop("again", "others").join(known, ["lead", "d1", "d2"]).select(
+    mended = edges.drop("again", "others", "copies").join(known, ["lead", "d1", "d2"]).select(
         *[c.split()[0] for c in SUFFIXES.split(", ")], (F.col("copies") > 1).alias("again"), (F.col("different") > 1).alias("others")
     )
-    return found.where("not edge").drop("edge").unionByName(mended)
+    return found.where("not edge").drop("edge", "copies").unionByName(mended)
 
 
 # ---- the operator ----------------------------------------------------------------
@@ -253,23 +263,34 @@ def sort_and_compare(suffixes: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """`key_id, key_text, spans`: stretches (start * 2^31 + bytes) to remove, unmerged."""
-    first = materialize(sort_and_compare(run_suffixes(rows)), "runs")
-    settled = first.where("again").select("key_id", "key_text", F.shiftright("place", 8).alias("start"), (F.col("place").bitwiseAND(255) + LENGTH).alias("size"))
-    # Of a run that occurs again, one occurrence stands for all in the second round.
-    open_runs = first.where("others and not again").select("key_id", "key_text", (F.col("place") * 2 + 1).alias("place"))
-    stands = first.where("others and again").groupBy("lead", "d1", "d2").agg(F.min(F.struct("key_id", "key_text", "place")).alias("s"))
-    stands = stands.select("s.key_id", "s.key_text", (F.col("s.place") * 2).alias("place"))
-    wanted = open_runs.unionByName(stands).groupBy("key_id", "key_text").agg(F.collect_list("place").alias("places"))
-    second = sort_and_compare(string_suffixes(rows, _fitting(materialize(wanted, "wanted"), "places")))
-    found = second.where("again and place % 2 = 1").select("key_id", "key_text", F.shiftright("place", 1).alias("start"), F.lit(LENGTH).cast("long").alias("size"))
-    spans = settled.unionByName(found).groupBy("key_id", "key_text").agg(F.collect_set(F.shiftleft("start", 31) + F.col("size")).alias("spans"))
+    runs = materialize(sort_and_compare(run_suffixes(rows)).withColumn("place", F.col("place") * 2 + 1), "runs")
+    settled = _settled(runs)
+    for grain in GRAINS:
+        # Of a run that occurs again, one occurrence stands for all in the next round.
+        open_runs = runs.where("others and not again and place % 2 = 1").select("key_id", "key_text", "place")
+        stands = runs.where("others and (again or place % 2 = 0)").groupBy("lead", "d1", "d2").agg(F.min(F.struct("key_id", "key_text", "place")).alias("s"))
+        stands = stands.select("s.key_id", "s.key_text", F.col("s.place").bitwiseAND(F.lit(-2)).alias("place"))
+        wanted = open_runs.unionByName(stands).groupBy("key_id", "key_text").agg(F.collect_list("place").alias("places"))
+        runs = materialize(sort_and_compare(finer_suffixes(rows, materialize(wanted, "wanted"), grain)), "runs")
+        settled = settled.unionByName(_settled(runs))
+    spans = settled.groupBy("key_id", "key_text").agg(F.collect_set(F.shiftleft("start", 31) + F.col("size")).alias("spans"))
     return materialize(spans, "spans")
 
 
-def _fitting(stored: DataFrame, column: str) -> DataFrame:
-    """Marked for broadcast if its counted bytes fit."""
-    size = stored.agg(F.sum(F.size(column) * 8 + 48).alias("b")).first().b or 0
-    return F.broadcast(stored) if size <= BROADCAST_BYTES else stored
+def _settled(runs: DataFrame) -> DataFrame:
+    size = F.shiftright("place", 9).bitwiseAND(F.lit(255)) + LENGTH
+    return runs.where("again and place % 2 = 1").select("key_id", "key_text", F.shiftright("place", 17).alias("start"), size.cast("long").alias("size"))
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """The texts stored in buckets by key: shuffled once, and joined three times with small
+    tables that come to them."""
+    spark = rows.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+    keys = ["key_id", "key_text"]
+    dealt = rows.repartition(buckets, *keys)
+    dealt.write.format("parquet").option("path", scratch_path(spark, "texts")).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -284,8 +305,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     `kept` (the bytes) with `keep_text`. Null and empty texts have no bytes; repeated rows
     lose all they share. Strings are compared by 128-bit digests.
     """
-    rows = keyed(docs)
-    spans = _fitting(repeated_spans(rows), "spans")
+    rows = bucketed(keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long"))))
+    spans = repeated_spans(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -311,6 +332,6 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 n_spans=pa.array(runs, pa.int64()), kept_sha256=pa.array(digest, pa.string()), kept=pa.array(kept, pa.binary()),
             )
 
-    joined = rows.join(spans, ["key_id", "key_text"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans")
+    joined = rows.join(spans, ["key_id", "key_text"], "left").select("doc_id", "text", "spans")
     result = joined.mapInArrow(cut, RESULT)
     return result if keep_text else result.drop("kept")
