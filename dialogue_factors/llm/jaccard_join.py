@@ -2,7 +2,7 @@
 
 In Jaccard space nearly all documents are at distance 1 from one another, so pivots alone
 cannot part a corpus. It is first cut by shared rare shingles: two sets of similarity t
-share a shingle among the first n - ceil(t n) + 1 of a fixed order. Sets that share one
+share k shingles among the first n - ceil(t n) + k of a fixed order (rare words first). Sets that share one
 form a region around the least of them. Inside a region pivots make Voronoi regions,
 triangle-inequality windows replicate the boundary, and regions are joined recursively.
 """
@@ -15,12 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialogue_factors.llm.common import batch, bounded, chunks, keyed, utf8
 from dialogue_factors.llm.components import components
-from dialogue_factors.llm.shingles import shingle_sets
+from dialogue_factors.llm.shingles import shingle_sets, word_hashes
 from dialogue_factors.session import materialize
 
 # Similarity as a ratio of whole numbers, so that ties are exact.
@@ -31,13 +31,25 @@ TEXT_BYTES = 1 << 21
 BUCKET_TOKENS, REGION_SHINGLES = 2_000_000, 3_000_000
 # A shingle in one of so many documents or more comes last in the order.
 FREQUENT_SHARE = 500
+# A word that is one in so many or more is frequent.
+WORD_SHARE = 2000
+# Prefixes are longer by one in so many of a set's shingles, and linked sets share as many.
+SHARED_PART = 16
+# Sizes of linked sets are in one class or in neighbouring ones.
+SIZE_CLASS = 1.5
 LEAF, PIVOTS, ROUNDS = 256, 16, 4
 
 SETS = "kind int, doc_id long, key_id long, key_text long, n long, s1 long, s2 long"
 
 
+def shared_least(n: int) -> int:
+    """How many shingles two linked sets of `n` or more share in their prefixes."""
+    return 1 + n // SHARED_PART
+
+
 def prefix_size(n: int) -> int:
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    """Linked sets have ceil(t n) shingles in common, so the rest and k more hold k of them."""
+    return n - -(-NUMERATOR * n // DENOMINATOR) + shared_least(n)
 
 
 def linked(common: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
@@ -49,19 +61,40 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for rows in batches:
         data, offsets = utf8(rows.column(column))
         for low, high in chunks(offsets, TEXT_BYTES):
-            yield rows.slice(low, high - low), shingle_sets(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+            yield rows.slice(low, high - low), data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], column: int, words: Broadcast) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for part, data, offsets in _texts(batches, column):
+        yield part, shingle_sets(data, offsets, words.value)
+
 
+def frequent_words(rows: DataFrame) -> Broadcast:
+    """Hashes of the words that are one in `WORD_SHARE` of all or more; so many at most."""
 
-def describe_sets(rows: DataFrame) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in _texts(batches, 0):
+            words, counts = np.unique(word_hashes(data, offsets)[0], return_counts=True)
+            often = counts >= max(2, counts.sum() // WORD_SHARE)
+            # word 0 stands for all words of the chunk
+            yield batch(word=pa.array([0, *words[often].view(np.int64).tolist()], pa.int64()), n=pa.array([int(counts.sum()), *counts[often].tolist()], pa.int64()))
+
+    counted = materialize(rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counted.where("word = 0").select("n").first()
+    common = counted.where((F.col("word") != 0) & (F.col("n") * WORD_SHARE >= (total.n if total else 0))).select("word").toArrow()
+    return rows.sparkSession.sparkContext.broadcast(np.sort(common["word"].to_numpy().astype(np.int64).view(np.uint64)))
+
+
+def describe_sets(rows: DataFrame, words: Broadcast) -> DataFrame:
     """Kind 0: a row's number of shingles and 128-bit hash of its set. Kind 1: shingles
     (`s1`) that are frequent in a chunk of text, with their documents there (`n`)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _sets(batches, 3):
+        for part, sets in _sets(batches, 3, words):
             hashes = [set_hash(s) for s in sets]
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
             often = counts >= max(4, len(sets) // FREQUENT_SHARE)
@@ -83,7 +116,7 @@ def _frequent(described: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles in ascending order, and their rank from rare to frequent. The
     documents' mean number of shingles times `FREQUENT_SHARE` bounds how many there are."""
     counted = described.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, rows // FREQUENT_SHARE))
-    table = counted.toPandas()
+    table = counted.toArrow().to_pandas()
     tokens = table.s1.to_numpy(np.int64).view(np.uint64)
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, table.n.to_numpy(np.int64)))] = np.arange(len(tokens))
@@ -106,10 +139,10 @@ def _prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tup
     return np.concatenate([rare, late]), np.arange(size) >= len(rare)
 
 
-PREFIXES = "kind int, bucket long, base long, tokens binary, refs binary, token long, ref long, s1 long, s2 long"
+PREFIXES = "kind int, bucket long, base long, tokens binary, refs binary, token long, ref long, s1 long, s2 long, n long"
 
 
-def emit_prefixes(rows: DataFrame, frequent: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
+def emit_prefixes(rows: DataFrame, frequent: np.ndarray, rank: np.ndarray, buckets: int, words: Broadcast) -> DataFrame:
     """Kind 0: packed rare prefix shingles of a bucket, each with the number of its set in
     the task. Kind 1: a frequent one. Kind 2: the set of a number (`ref`). A task passes
     on a set once, however many documents have it."""
@@ -121,16 +154,16 @@ def emit_prefixes(rows: DataFrame, frequent: np.ndarray, rank: np.ndarray, bucke
         seen: set[tuple[int, int]] = set()
         held: list[tuple[np.ndarray, int]] = []
 
-        def rows_of(n: int, kind: int, **columns: pa.Array) -> pa.RecordBatch:
+        def rows_of(rows: int, kind: int, **columns: pa.Array) -> pa.RecordBatch:
             types = {"kind": pa.int32(), "tokens": pa.binary(), "refs": pa.binary()}
             names = [c.split()[0] for c in PREFIXES.split(", ")]
-            columns["kind"] = pa.array([kind] * n, pa.int32())
-            return batch(**{c: columns.get(c, pa.nulls(n, types.get(c, pa.int64()))) for c in names})
+            columns["kind"] = pa.array([kind] * rows, pa.int32())
+            return batch(**{c: columns.get(c, pa.nulls(rows, types.get(c, pa.int64()))) for c in names})
 
         def flush() -> pa.RecordBatch:
             tokens = np.concatenate([t for t, _ in held])
             refs = np.repeat(np.array([r for _, r in held], np.uint32), [len(t) for t, _ in held])
-            bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = ((tokens & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             present, first = np.unique(bucket[order], return_index=True)
             parts = list(zip(first, [*first[1:], len(order)]))
@@ -140,8 +173,8 @@ def emit_prefixes(rows: DataFrame, frequent: np.ndarray, rank: np.ndarray, bucke
                 refs=pa.array([refs[order[a:b]].tobytes() for a, b in parts], pa.binary()),
             )
 
-        for _, sets in _sets(batches, 0):
-            refs, ones, twos, often = [], [], [], []
+        for _, sets in _sets(batches, 0, words):
+            refs, ones, twos, sizes, often = [], [], [], [], []
             for s in sets:
                 key = set_hash(s)
                 if not len(s) or key in seen:
@@ -153,8 +186,9 @@ def emit_prefixes(rows: DataFrame, frequent: np.ndarray, rank: np.ndarray, bucke
                 refs.append(base + ref)
                 ones.append(key[0])
                 twos.append(key[1])
+                sizes.append(len(s))
                 often += [(t, base + ref) for t in prefix[late].view(np.int64).tolist()]
-            yield rows_of(len(refs), 2, ref=pa.array(refs, pa.int64()), s1=pa.array(ones, pa.int64()), s2=pa.array(twos, pa.int64()))
+            yield rows_of(len(refs), 2, ref=pa.array(refs, pa.int64()), s1=pa.array(ones, pa.int64()), s2=pa.array(twos, pa.int64()), n=pa.array(sizes, pa.int64()))
             if often:
                 yield rows_of(len(often), 1, token=pa.array([t for t, _ in often], pa.int64()), ref=pa.array([r for _, r in often], pa.int64()))
             if sum(len(t) for t, _ in held) > BUCKET_TOKENS // 2:
@@ -175,20 +209,32 @@ def _regions_of_bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     sizes = np.diff(np.append(heads, len(tokens)))
     several = np.repeat(sizes > 1, sizes)
     pairs = np.stack([np.repeat(refs[heads], sizes)[several], refs[several]], axis=1)
-    return pd.DataFrame(np.unique(pairs, axis=0), columns=["pivot", "ref"])
+    pairs, shared = np.unique(pairs, axis=0, return_counts=True)
+    return pd.DataFrame({"pivot": pairs[:, 0], "ref": pairs[:, 1], "shared": shared})
 
 
 def share_regions(prefixes: DataFrame) -> DataFrame:
-    """`b1, b2, s1, s2`: the sets of each region, named by its least set. Any two sets
-    that may be linked are in one region."""
-    rare = prefixes.where("kind = 0").select("bucket", "base", "tokens", "refs").groupBy("bucket").applyInPandas(_regions_of_bucket, "pivot long, ref long")
+    """`b1, b2, s1, s2, n`: the sets of each region, named by its least set, and their
+    sizes. Any two sets that may be linked are in one region.
+
+    Left out are sets that share fewer shingles of their prefix with all others together
+    than they must with one, and members of a region with no other of like size.
+    """
+    rare = prefixes.where("kind = 0").select("bucket", "base", "tokens", "refs").groupBy("bucket")
+    rare = rare.applyInPandas(_regions_of_bucket, "pivot long, ref long, shared long")
     often = prefixes.where("kind = 1").select("token", "ref")
     least = often.groupBy("token").agg(F.min("ref").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = materialize(rare.unionByName(often.join(least, "token").select("pivot", "ref")).distinct(), "pairs")
-    named = prefixes.where("kind = 2").select("ref", "s1", "s2")
+    often = often.join(least, "token").select("pivot", "ref", F.lit(1).cast("long").alias("shared"))
+    pairs = materialize(rare.unionByName(often).groupBy("pivot", "ref").agg(F.sum("shared").alias("shared")), "pairs")
+    named = prefixes.where("kind = 2").select("ref", "s1", "s2", "n")
+    partner = F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / SHARED_PART) + 1
+    enough = pairs.groupBy("ref").agg(F.sum("shared").alias("shared")).join(named, "ref").where(F.col("shared") >= partner)
     pivots = named.select(F.col("ref").alias("pivot"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    members = pairs.join(named, "ref").join(pivots, "pivot").select("b1", "b2", "s1", "s2").distinct()
-    return materialize(members, "members")
+    members = pairs.drop("shared").join(enough.drop("shared"), "ref").join(pivots, "pivot").select("b1", "b2", "s1", "s2", "n").distinct()
+    members = materialize(members.withColumn("class", F.floor(F.log("n") / F.log(F.lit(SIZE_CLASS)))), "members")
+    near = members.groupBy("b1", "b2", "class").count().select("b1", "b2", "count", F.explode(F.array([F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
+    several = near.groupBy("b1", "b2", "class").agg(F.sum("count").alias("like")).where("like > 1").drop("like")
+    return materialize(members.join(several, ["b1", "b2", "class"]).drop("class"), "members")
 
 
 # ---- joins inside a task ---------------------------------------------------------
@@ -301,14 +347,14 @@ def _join_task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 SHIPPED = "b1 long, b2 long, s1 long, s2 long, shingles binary"
 
 
-def ship_sets(rows: DataFrame, described: DataFrame, members: DataFrame) -> DataFrame:
+def ship_sets(rows: DataFrame, described: DataFrame, members: DataFrame, words: Broadcast) -> DataFrame:
     """Shingles of a set, for every region it is in; one document stands for a set."""
     stands = described.where("kind = 0").groupBy("s1", "s2").agg(F.min(F.struct("key_id", "key_text")).alias("k"))
     wanted = members.groupBy("s1", "s2").agg(F.collect_set(F.struct("b1", "b2")).alias("regions"))
     wanted = materialize(wanted.join(stands, ["s1", "s2"]).select("k.key_id", "k.key_text", "s1", "s2", "regions"), "wanted")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _sets(batches, 0):
+        for part, sets in _sets(batches, 0, words):
             out = [(r["b1"], r["b2"], s1, s2, s.tobytes()) for s, s1, s2, regions in zip(sets, *(part.column(i).to_pylist() for i in (1, 2, 3))) for r in regions]
             if out:
                 b1, b2, s1, s2, shingles = zip(*out)
@@ -412,20 +458,19 @@ def _least_by_hash(rows: DataFrame) -> DataFrame:
     return materialize(full.groupBy("b1", "b2").agg(F.array_sort(F.collect_list(F.struct("s1", "s2", "shingles"))).alias("pivots")), "pivots")
 
 
-def link_sets(rows: DataFrame, described: DataFrame) -> DataFrame:
+def link_sets(rows: DataFrame, described: DataFrame, words: Broadcast) -> DataFrame:
     """`u, v`: links between different sets that join up all components."""
     sets = described.where("kind = 0")
     total = sets.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     frequent, rank = _frequent(described, total.rows)
     buckets = max(1, -(-(total.n or 0) // (4 * BUCKET_TOKENS)))
-    members = share_regions(emit_prefixes(rows, frequent, rank, buckets))
-    weights = sets.select("s1", "s2", "n").distinct()
-    heavy = members.join(weights, ["s1", "s2"]).groupBy("b1", "b2").agg(F.sum("n").alias("w")).where(F.col("w") > REGION_SHINGLES)
+    members = share_regions(emit_prefixes(rows, frequent, rank, buckets, words))
+    heavy = members.groupBy("b1", "b2").agg(F.sum("n").alias("w")).where(F.col("w") > REGION_SHINGLES)
     heavy = bounded(materialize(heavy.select("b1", "b2"), "heavy"), 16)
     if heavy.isEmpty():
-        tasks, links = ship_sets(rows, described, members).select("b1", "b2", F.lit("").alias("sub"), F.lit(0).alias("side"), "s1", "s2", "shingles"), []
+        tasks, links = ship_sets(rows, described, members, words).select("b1", "b2", F.lit("").alias("sub"), F.lit(0).alias("side"), "s1", "s2", "shingles"), []
     else:
-        shipped = materialize(ship_sets(rows, described, members), "shipped")
+        shipped = materialize(ship_sets(rows, described, members, words), "shipped")
         light = shipped.join(heavy, ["b1", "b2"], "left_anti").withColumn("sub", F.lit("")).withColumn("side", F.lit(0))
         tasks, links = split_large(shipped.join(heavy, ["b1", "b2"], "left_semi"))
         tasks = light.unionByName(tasks)
@@ -448,8 +493,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null ids only has a null id.
     """
     rows = keyed(docs)
-    described = describe_sets(rows)
-    roots = materialize(components(link_sets(rows, described)), "roots")
+    words = frequent_words(rows)
+    described = describe_sets(rows, words)
+    roots = materialize(components(link_sets(rows, described, words)), "roots")
     sets = described.where("kind = 0").withColumn("node", F.concat(F.hex("s1"), F.lit(":"), F.hex("s2")))
     sets = sets.join(bounded(roots, 80), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = sets.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

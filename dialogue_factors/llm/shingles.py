@@ -37,13 +37,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(terms, starts)), per_text
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct shingles of each text: five words in turn, or all of fewer."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text: five words in turn, or all of fewer.
+
+    The three highest bits of a shingle count its words that are in `frequent` (sorted
+    hashes), so that in ascending order those of rare words come first.
+    """
     words, cuts = word_hashes(data, offsets)
+    common = np.zeros(len(words), np.uint64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+        common = (frequent[at] == words).astype(np.uint64)
     out = []
     rolled = np.zeros(max(len(words) - WORDS + 1, 0), np.uint64)
+    rank = np.zeros(len(rolled), np.uint64)
     for j in range(WORDS):
         rolled = mix(rolled * _BASE + words[j:j + len(rolled)])
+        rank += common[j:j + len(rolled)]
+    rolled = rank << np.uint64(61) | rolled >> np.uint64(3)
     for low, high in zip(cuts[:-1], cuts[1:]):
         if high - low >= WORDS:
             out.append(np.unique(rolled[low:high - WORDS + 1]))
@@ -51,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             whole = np.full(1, high - low, np.uint64)
             for w in words[low:high]:
                 whole = mix(whole * _BASE + w)
-            out.append(whole)
+            out.append(whole >> np.uint64(3))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
