@@ -17,13 +17,13 @@ from dialogue_factors.session import materialize
 
 TABLES = 3
 # Bits of a cell's number in the kept sketch; in a group of a larger one; when retried.
-KEPT_BITS, GROUP_BITS, RETRY_BITS = 3, 4, 6
+KEPT_BITS, GROUP_BITS, RETRY_BITS = 3, 3, 6
 # Digests that a group of a larger sketch has on average.
-GROUP_DIGESTS = 16
-PEELING_ROUNDS = 12
+GROUP_DIGESTS = 6
+PEELING_ROUNDS = 16
 PIECE_WORDS = 8
 # Ids of one window of neighbours.
-WINDOW_BITS = 12
+WINDOW_BITS = 8
 SINGLE_WINDOW = 10_000
 
 Function = Callable[[Column], Column]
@@ -45,11 +45,12 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _hits(digest: Column, cell: Column, bits: int) -> Column:
-    """Whether the digest belongs in this cell: each table reads its own bits of it."""
-    shift = F.shiftright(cell, bits) * bits + (0 if bits == KEPT_BITS else 10 if bits == GROUP_BITS else 22)
-    own = F.call_function("shiftrightunsigned", digest, shift.cast("int")).bitwiseAND(F.lit((1 << bits) - 1))
-    return own == cell.bitwiseAND(F.lit((1 << bits) - 1))
+def _placed(values: Column, table: int, bits: int, digest: Function, fields: Callable[[Column], list[Column]]) -> Column:
+    """Values with their cell `j` of a table: each table reads its own bits of a digest, and
+    sketches of another size read other bits."""
+    shift = table * bits + (0 if bits == KEPT_BITS else 10)
+    cell = lambda x: F.shiftrightunsigned(digest(x), shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    return F.transform(values, lambda x: F.struct(*fields(x), _check(digest(x)).alias("c"), cell(x).alias("j")))
 
 
 def _cell(n: Column, key: Column, check: Column) -> Column:
@@ -62,13 +63,12 @@ def _zero() -> Column:
 
 def sketch(values: Column, bits: int = KEPT_BITS) -> Column:
     """Cells of digests: their number, and the xor of them and of their checks."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit((TABLES << bits) - 1)),
-        lambda j: F.aggregate(
-            F.filter(values, lambda d: _hits(d, j, bits)), _zero(),
-            lambda a, d: _cell(a.n + 1, a.k.bitwiseXOR(d), a.c.bitwiseXOR(_check(d))),
-        ),
+    add = lambda a, x: _cell(a.n + 1, a.k.bitwiseXOR(x.d), a.c.bitwiseXOR(x.c))
+    table = lambda t: let(
+        _placed(values, t, bits, lambda d: d, lambda d: [d.alias("d")]),
+        lambda placed: F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda j: F.aggregate(F.filter(placed, lambda x: x.j == j), _zero(), add)),
     )
+    return F.flatten(F.array(*[table(t) for t in range(TABLES)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -81,21 +81,27 @@ def peel(cells: Column, bits: int = KEPT_BITS) -> Column:
     Each round takes the digests of all pure cells out of their cells at once; a digest
     that is pure in several cells counts once."""
 
+    remove = lambda a, x: _cell(a.n - x.n, a.k.bitwiseXOR(x.k), a.c.bitwiseXOR(x.c))
+
+    def without(cells: Column, pure: Column) -> Column:
+        table = lambda t: let(
+            _placed(pure, t, bits, lambda p: p.k, lambda p: [p.n.alias("n"), p.k.alias("k")]),
+            lambda placed: F.transform(
+                F.slice(cells, (t << bits) + 1, 1 << bits), lambda c, j: F.aggregate(F.filter(placed, lambda x: x.j == j), c, remove)
+            ),
+        )
+        return F.flatten(F.array(*[table(t) for t in range(TABLES)]))
+
     def one_round(state: Column, _: Column) -> Column:
         pure = F.array_distinct(F.transform(
             F.filter(state.cells, lambda c: (F.abs(c.n) == 1) & (_check(c.k) == c.c)), lambda c: F.struct(c.n.alias("n"), c.k.alias("k"))
         ))
-        without = lambda p: F.transform(
-            state.cells,
-            lambda c, j: F.aggregate(
-                F.filter(p, lambda x: _hits(x.k, j, bits)), c,
-                lambda a, x: _cell(a.n - x.n, a.k.bitwiseXOR(x.k), a.c.bitwiseXOR(_check(x.k))),
-            ),
-        )
-        peeled = let(pure, lambda p: F.struct(F.when(F.size(p) > 0, without(p)).otherwise(state.cells).alias("cells"), (state.found + F.size(p)).alias("found")))
-        return peeled
+        peeled = let(pure, lambda p: F.struct(
+            F.when(F.size(p) > 0, without(state.cells, p)).otherwise(state.cells).alias("cells"), (state.found + F.size(p)).alias("found"), (F.size(p) > 0).alias("more"),
+        ))
+        return F.when(state.more, peeled).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("more"))
     empty = lambda s: ~F.exists(s.cells, lambda c: (c.n != 0) | (c.k != 0) | (c.c != 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(PEELING_ROUNDS)), start, one_round, lambda s: F.when(empty(s), s.found))
 
@@ -103,8 +109,8 @@ def peel(cells: Column, bits: int = KEPT_BITS) -> Column:
 def _larger(a: Column, b: Column) -> Column:
     """The difference by sketches of as many groups of cells as the digests need.
 
-    A group is a sketch of its own; one that fails is retried with four times the cells,
-    and one that fails again (about one in a million) is counted from its digests.
+    A group is a sketch of its own; one that fails is retried with eight times the cells,
+    and one that fails again (fewer than one in ten thousand) is counted from its digests.
     """
     def group(x: Column, y: Column) -> Column:
         exact = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
@@ -160,7 +166,7 @@ def _previous(keys: DataFrame) -> DataFrame:
 
 def with_next_text(docs: DataFrame) -> DataFrame:
     """`doc_id, text, next_text, bucket, real`: each text with the next by `doc_id`, the
-    first following the last. Texts are shuffled once, in windows of 4,096 ids; the first
+    first following the last. Texts are shuffled once, in windows of 256 ids; the first
     row of a window is also sent to the window before (`real` is false there). Null ids
     come first, equal ids go by a hash of the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
