@@ -148,7 +148,7 @@ def _shard(model: Model, number: int) -> dict[tuple[int, bool], tuple[np.ndarray
     """Arrays of one shard: what is keyed by its pairs of symbols, and the short entries."""
     pair = F.when(F.col("context"), F.col("key")).otherwise(F.shiftright("key", BITS)).bitwiseAND(F.lit(mask(2)))
     short = F.col("order") <= 2
-    table = model.entries.where(short | (shard_of(pair, model.shards) == number)).toPandas()
+    table = model.entries.where(short | (shard_of(pair, model.shards) == number)).toArrow().to_pandas()
     out = {}
     for kind, rows in table.groupby(["order", "context"]):
         keys, values = rows.key.to_numpy(np.int64), rows.value.to_numpy(np.float32)

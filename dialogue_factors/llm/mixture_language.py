@@ -62,7 +62,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             yield batch(lang=pa.array([lang] * len(seen)), bucket=pa.array(seen.astype(np.int32)), n=pa.array(counts[seen]))
 
     counted = rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
-    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(table.lang.unique())
     counts = np.full((len(langs), BUCKETS), 0.5)
     counts[[langs.index(x) for x in table.lang], table.bucket.to_numpy(int)] += table.n.to_numpy(float)

@@ -49,7 +49,7 @@ def transition_logs(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield batch(pair=pa.array(seen.astype(np.int32)), n=pa.array(total[seen]))
 
-    pairs = docs.select("text").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs = docs.select("text").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     counts = np.full(PRINTABLE * PRINTABLE, 1.0)
     counts[pairs.pair.to_numpy(int)] += pairs.n.to_numpy(float)
     counts = counts.reshape(PRINTABLE, PRINTABLE)
