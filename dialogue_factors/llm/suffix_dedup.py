@@ -95,7 +95,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
         data, offsets = utf8(rows.column(column))
         for low, high in chunks(offsets, CHUNK):
             part, own = rows.slice(low, high - low), data[offsets[low]:offsets[high]]
-            if len(own) <= PIECE:
+            if high - low > 1 or len(own) <= PIECE:
                 yield part, own, offsets[low:high + 1] - offsets[low], 0
                 continue
             for at in range(0, len(own) - LENGTH + 1, PIECE):
