@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dialogue_factors.llm.common import batch, chunks, utf8
-from dialogue_factors.llm.tokens import WordEncoder, default_tokenizer
+from dialogue_factors.llm.tokens import CHUNK_BYTES, WordEncoder, default_tokenizer
 from dialogue_factors.session import scratch_path
 
 BLOCK_IDS = 1 << 16
@@ -97,7 +97,7 @@ def write_blocks(
 
         for rows in batches:
             _, sizes = utf8(rows.column(1))
-            for low, high in chunks(sizes):
+            for low, high in chunks(sizes, CHUNK_BYTES):
                 part = rows.slice(low, high - low)
                 flat, offsets = encoder.encode(part.column(1))
                 for i, doc_id in enumerate(part.column(0).to_pylist()):

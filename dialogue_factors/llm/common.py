@@ -18,9 +18,9 @@ NO_ID = -(1 << 63)
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the offsets of its rows; null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    if column.offset:  # a slice that is cast keeps offsets which are misread
+        column = column.take(pa.array(np.arange(len(column))))
+    column = pc.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
     return data, offsets - offsets[0]

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dialogue_factors.llm.common import batch, chunks, utf8
-from dialogue_factors.llm.tokens import WordEncoder, default_tokenizer
+from dialogue_factors.llm.tokens import CHUNK_BYTES, WordEncoder, default_tokenizer
 from dialogue_factors.session import materialize
 
 PIECES = (
@@ -53,7 +53,7 @@ def pack_powers_of_two(
         encoder, task, seen = WordEncoder(path), TaskContext.get().partitionId(), {}
         for rows in batches:
             _, sizes = utf8(rows.column(1))
-            for low, high in chunks(sizes):
+            for low, high in chunks(sizes, CHUNK_BYTES):
                 part = rows.slice(low, high - low)
                 flat, offsets = encoder.encode(part.column(1))
                 out: dict[str, list] = {n.split()[0]: [] for n in schema.split(", ")}

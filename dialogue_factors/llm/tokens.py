@@ -9,6 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 JOINED = 1000
+# Words whose ids a task keeps for its next chunks.
+REMEMBERED = 300_000
+CHUNK_BYTES = 8 << 20
+# ASCII marks other than the apostrophe, which may begin a piece of letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_tokenizer() -> str:
@@ -31,6 +36,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, np.ndarray] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -40,26 +46,34 @@ class WordEncoder:
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, laid end to end, and how many each word has."""
-        found: list[np.ndarray | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
-        rest = [i for i, w in enumerate(words) if not w.isalpha()]
+        found: list[np.ndarray | None] = [self.known.get(w) for w in words]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        # Letters are one piece to such a tokenizer, and marks after them another.
+        stems = {i: words[i].rstrip(MARKS) for i in new}
+        plain = [i for i in new if stems[i].isalpha()]
+        rest = [i for i in new if not stems[i].isalpha()]
         groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
         for group, ids in zip(groups, self._lists([" ".join(words[i] for i in g) for g in groups])):
             flat = np.array(ids, np.uint32)
             cuts = np.flatnonzero(self.ends[flat]) + 1
-            if len(cuts) != len(group):  # a word is more than one piece to this tokenizer
+            pieces = np.cumsum([1 + (len(stems[i]) < len(words[i])) for i in group])
+            if len(cuts) != pieces[-1]:  # not so with this tokenizer
                 rest += group
                 continue
-            for i, part in zip(group, np.split(flat, cuts[:-1])):
+            for i, part in zip(group, np.split(flat, cuts[pieces[:-1] - 1])):
                 found[i] = part
         for i, ids in zip(rest, self._lists([words[i] for i in rest])):
             found[i] = np.array(ids, np.uint32)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+        self.known.update((words[i], found[i]) for i in new[:REMEMBERED] if len(words[i]) < 64)
         counts = np.array([len(x) for x in found], np.int64)
         return np.concatenate([*found, np.zeros(0, np.uint32)]), counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end to end, and the offsets of each text; null is empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # A copy: a slice that is cast keeps offsets which the string kernels misread.
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
         if pc.any(pc.match_substring(texts, "<|")).as_py():
             lists = [np.array(x, np.uint32) for x in self._lists(texts.to_pylist())]
             return np.concatenate([*lists, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, lists)])
