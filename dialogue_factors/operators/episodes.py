@@ -92,15 +92,16 @@ def number_islands(lines: DataFrame, opens: Column, keep: Column, including_curr
 
     With `including_current=False` an opening line still counts to the island before
     it. `lines` come straight from `read_lines` or `place_in_order`: they are counted
-    where they are read, and only one row per block is shuffled.
+    where they are read, and only one row per block is shuffled. They are read once and
+    stored with their block, as another read may split the files elsewhere.
     """
     flagged = lines.withColumn("_opens", opens).withColumn("block", block_key())
+    flagged = materialize(flagged.withColumn("_run", running_opens("_opens", including_current)), "lines")
     offsets = broadcast_if_small(materialize(block_offsets(flagged, "_opens"), "blocks"))
+    lost = F.raise_error(F.lit("a line's block has no offset")).cast("bigint")
     return (
-        # Filtered after counting: pushed below it, the filter would parse lines anew.
-        flagged.withColumn("_run", running_opens("_opens", including_current)).where(keep)
-        .join(offsets, ["source", "block"])
-        .withColumn("_row", F.col("row0") + F.col("ln") - F.col("first"))
+        flagged.where(keep).join(offsets, ["source", "block"], "left")
+        .withColumn("_row", F.coalesce("row0", lost)).withColumn("_row", F.col("row0") + F.col("ln") - F.col("first"))
         .withColumn(
             "_open_row",
             F.when(F.col("_run.opened") < 0, F.col("carried"))

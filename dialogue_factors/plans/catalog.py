@@ -36,7 +36,7 @@ from dialogue_factors.operators.probe import leakage, nearest_mean_predictions
 from dialogue_factors.operators.reduce import covariance, map_2d, reduce_vectors
 from dialogue_factors.operators.silhouette import row_silhouettes, silhouette_squared
 from dialogue_factors.plans.label_dialogue import label_lines
-from dialogue_factors.session import scratch_path, use_all_cores
+from dialogue_factors.session import scratch_path
 from dialogue_factors.sources.dialogue_lines import read_lines
 from dialogue_factors.sources.records import read_examples, read_k_scores, write_examples, write_k_scores
 
@@ -61,7 +61,7 @@ def rounded(c: str | Column, places: int = 6) -> Column:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return use_all_cores(table(spark, folder, "documents", "doc_id", "text"))
+    return table(spark, folder, "documents", "doc_id", "text")
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

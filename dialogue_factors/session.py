@@ -34,7 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL_FALLBACK.setdefault(context.applicationId, tempfile.mkdtemp(prefix="dialogue-factors-"))
+    if context.applicationId not in _LOCAL_FALLBACK:
+        _LOCAL_FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="dialogue-factors-")
+    return _LOCAL_FALLBACK[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -59,13 +61,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def use_all_cores(scan: DataFrame) -> DataFrame:
-    """Spread a table that a plain scan reads in fewer tasks than the session has
-    cores, before work that is heavy per row. Larger tables pass unchanged."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what `materialize` stored for this application; its tables end with it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -21,6 +21,7 @@ from dialogue_factors.operators.episodes import (
     summarize_episodes,
 )
 from dialogue_factors.operators.examples import explode_records, label_utterances
+from dialogue_factors.operators.order import place_in_order
 from dialogue_factors.operators.lines import (
     classify_lines,
     is_dialogue,
@@ -208,3 +209,24 @@ def test_islands_against_a_loop(spark, flags, blocks, including):
             count, last = count + 1, i
         if including:
             assert got[i] == (count, i - last)
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_splits_that_change_before_the_action_lose_no_line(spark, tmp_path, stored):
+    text, _ = long_corpus(400)
+    lines = read_lines(spark, [write(tmp_path, "a.txt", text)])
+    if stored:
+        lines = place_in_order(lines.select("source", "ln", "line"), "ln").select("source", "file", "start", "ln", "line")
+    read = lambda df: sorted(map(repr, df.collect()))
+    expected = read(segment_episodes(lines))
+    segmented = segment_episodes(lines)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "9")
+        assert read(segmented) == expected and expected
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        spark.conf.unset("spark.sql.files.minPartitionNum")

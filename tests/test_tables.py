@@ -163,14 +163,6 @@ def test_materialized_table_is_stored(spark):
     assert shared_folder(spark) in df.inputFiles()[0] and df.collect() == df.collect()
 
 
-def test_small_scans_are_spread(spark, tmp_path):
-    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
-    one = spark.read.parquet(str(tmp_path / "one"))
-    assert use_all_cores(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = one.repartition(9)
-    assert use_all_cores(wide) is wide
-
-
 def test_scratch_can_be_dropped(tmp_path):
     script = (
         "import sys; sys.path.insert(0, sys.argv[1])\n"
