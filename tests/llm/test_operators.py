@@ -21,6 +21,7 @@ from dialogue_factors.llm.kneser_ney import classify, fit, log_probabilities, ng
 from dialogue_factors.llm.lookup_shards import assign_shards, fill_table, moved_rows
 from dialogue_factors.llm.mixture_language import predict_languages
 from dialogue_factors.llm.packing import binary_lengths, pack_powers_of_two
+from dialogue_factors.llm.queries import QUERIES
 from dialogue_factors.llm.secret_forest import find_secrets, redact
 from dialogue_factors.llm.tokens import default_tokenizer
 
@@ -305,3 +306,11 @@ def test_pipeline(spark, data):
             assert gone == {r.doc_id for r in before.collect() if any(t in r.text for t in items)}
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 100
     assert {r.doc_id for r in corpus_pipeline.run(spark, data).collect()} == {r.doc_id for r in docs.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_registered_query_runs(spark, data, name):
+    rows = QUERIES[name](spark, data)
+    assert len(set(rows.columns)) == len(rows.columns)
+    # Few documents may hold no secret and no benchmark item.
+    assert rows.count() or name in ("op6_secret_forest", "op9_qgram_decontamination")
