@@ -28,6 +28,7 @@ class Settings:
     kmeans_starts: int = 10
     kmeans_max_iter: int = 300
     kmeans_tol: float = 1e-4
+    seeding_rounds: int = 5
     silhouette_metric: str = "squared"  # or "euclidean": exact, quadratic in rows
     text_dims: int = 384
     min_text_length: int = 3

@@ -54,12 +54,33 @@ def affine(column: Column | str, weights: np.ndarray, bias: np.ndarray | float =
 def nearest(column: Column | str, centres: np.ndarray) -> Column:
     """Index of the centre at least Euclidean distance; ties go to the lower index."""
     c = np.asarray(centres, float)
+    origin = c.mean(axis=0)  # squares are expanded around it, so that far data lose no digits
+    c = c - origin
     half = 0.5 * np.einsum("ij,ij->i", c, c)
 
     @F.arrow_udf("int")
     def run(vectors: pa.Array) -> pa.Array:
         x = as_matrix(vectors)
-        index = (half - x @ c.T).argmin(axis=1) if len(x) else np.zeros(0)
+        index = (half - (x - origin) @ c.T).argmin(axis=1) if len(x) else np.zeros(0)
         return pa.array(index.astype(np.int32), pa.int32())
 
     return run(column)
+
+
+def nearest_square(column: Column | str, centres: np.ndarray) -> Column:
+    """Squared Euclidean distance to the nearest centre."""
+    c = np.asarray(centres, float)
+    origin = c.mean(axis=0)
+    c = c - origin
+    half = 0.5 * np.einsum("ij,ij->i", c, c)
+
+    @F.arrow_udf("double")
+    def run(vectors: pa.Array) -> pa.Array:
+        x = as_matrix(vectors)
+        if not len(x):
+            return pa.array([], pa.float64())
+        x = x - origin
+        near = c[(half - x @ c.T).argmin(axis=1)]
+        return pa.array(((x - near) ** 2).sum(axis=1))
+
+    return run(column)

@@ -82,16 +82,20 @@ def hashed_tfidf(
 
 
 def encode_texts(texts: DataFrame, key: str, text: str, load_encoder: Callable[[], Encoder]) -> DataFrame:
-    """`(key, embedding)` from any encoder; `load_encoder` runs once per task.
+    """`(key, embedding)`, one row per key, from any encoder; `load_encoder` runs once per task.
 
-    The encoder maps a list of texts to a matrix. Weights are the caller's.
+    The encoder maps a list of texts to a matrix. Weights are the caller's. Rows of one
+    key, such as the parts of a long persona, are averaged by their length.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load_encoder()
         for batch in batches:
             vectors = np.asarray(encoder(batch[text].tolist()), dtype=float)
-            yield pd.DataFrame({key: batch[key], "embedding": list(vectors)})
+            length = batch[text].str.len().fillna(0).clip(lower=1).astype(float)
+            yield pd.DataFrame({key: batch[key], "part": list(vectors), "length": length})
 
     key_type = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInPandas(run, f"{key} {key_type}, embedding array<double>")
+    encoded = texts.select(key, text).mapInPandas(run, f"{key} {key_type}, part array<double>, length double")
+    averaged = Summarizer.mean(array_to_vector("part"), F.col("length"))
+    return encoded.groupBy(key).agg(vector_to_array(averaged).alias("embedding"))

@@ -19,19 +19,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dialogue_factors import schema
 from dialogue_factors.config import Settings
-from dialogue_factors.functions.matrices import as_matrix, nearest
+from dialogue_factors.functions.matrices import as_matrix, nearest, nearest_square
 from dialogue_factors.functions.text import hash_number, seeded_hash
 
 
 @dataclass(frozen=True)
 class Clustering:
-    """Centres of one model and, once scored, its cost and cluster statistics."""
+    """Centres of one model and, once scored, its cost and cluster statistics, which are
+    taken around `origin` so that data far from zero lose no digits."""
 
     seed: int
     centres: np.ndarray  # (k, dims)
     counts: np.ndarray | None = None  # (k,)
     sums: np.ndarray | None = None  # (k, dims)
     squares: np.ndarray | None = None  # (k,) sum of squared norms
+    origin: np.ndarray | float = 0.0  # (dims,)
     cost: float = float("inf")
 
     @property
@@ -56,14 +58,41 @@ def seeded_rows(vectors: DataFrame, key: str, vector: str, seed: int, n: int, to
     return np.array([r[vector] for r in rows], dtype=float)
 
 
-def spread_starts(pool: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k rows of a bounded pool, each drawn with odds by squared distance to those before."""
+def candidate_pool(
+    vectors: DataFrame, key: str, vector: str, k: int, settings: Settings, total: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that may become centres, drawn from all rows, and the rows nearest to each.
+
+    In each of `seeding_rounds` rounds a row joins with odds 2k x its squared distance to
+    the pool over the sum of all such distances; the draw is a hash of its key. The pool
+    holds about 2k rows for each round, whatever the number of rows.
+    """
+    pool = seeded_rows(vectors, key, vector, settings.seed, 1, total)
+    for turn in range(settings.seeding_rounds):
+        far = vectors.select(key, vector, nearest_square(vector, pool).alias("_d"))
+        cost = far.agg(F.sum("_d").alias("cost")).first().cost
+        if not cost > 0:
+            break
+        draw = hash_number(seeded_hash(f"{settings.seed}:{turn}", key))
+        joined = far.where(draw < F.lit(2.0**32 * 2 * k / cost) * F.col("_d")).orderBy(key).select(vector).collect()
+        if joined:
+            pool = np.vstack([pool, np.array([r[vector] for r in joined], dtype=float)])
+    if len(pool) < k:  # few rows, or few distinct ones
+        pool = np.vstack([pool, seeded_rows(vectors, key, vector, settings.seed, k, total)])
+    near = vectors.groupBy(nearest(vector, pool).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+    weights = np.zeros(len(pool))
+    weights[[r["at"] for r in near]] = [r.n for r in near]
+    return pool, weights
+
+
+def spread_starts(pool: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows of a pool, each drawn with odds by weight and squared distance to those before."""
     rng = np.random.default_rng(seed)
-    chosen = [pool[rng.integers(len(pool))]]
+    chosen = [pool[rng.choice(len(pool), p=weights / weights.sum())]]
     closest = ((pool - chosen[0]) ** 2).sum(axis=1)
     while len(chosen) < k:
-        weight = closest.sum()
-        pick = rng.choice(len(pool), p=closest / weight) if weight > 0 else rng.integers(len(pool))
+        odds = closest * weights
+        pick = rng.choice(len(pool), p=odds / odds.sum()) if odds.sum() > 0 else rng.integers(len(pool))
         chosen.append(pool[pick])
         closest = np.minimum(closest, ((pool - pool[pick]) ** 2).sum(axis=1))
     return np.array(chosen)
@@ -74,14 +103,14 @@ def starts(
 ) -> list[Clustering]:
     """Starting centres for every k and seed.
 
-    `spread` seeds from a pool of rows (its size a multiple of the largest k);
-    otherwise the k first rows in the seed's hash order.
+    `spread` draws them from a pool that all rows could enter, the far ones with better
+    odds; otherwise they are the k first rows in the seed's hash order.
     """
     seeds = range(settings.seed, settings.seed + settings.kmeans_starts)
     total = vectors.count()
     if spread:
-        pool = seeded_rows(vectors, key, vector, settings.seed, 200 * max(ks), total)
-        return [Clustering(s, spread_starts(pool, k, s)) for k in ks for s in seeds]
+        pool, weights = candidate_pool(vectors, key, vector, max(ks), settings, total)
+        return [Clustering(s, spread_starts(pool, weights, k, s)) for k in ks for s in seeds]
     drawn = {s: seeded_rows(vectors, key, vector, s, max(ks), total) for s in seeds}
     return [Clustering(s, drawn[s][:k]) for k in ks for s in seeds]
 
@@ -92,6 +121,8 @@ def assignment_totals(vectors: DataFrame, vector: str, models: Sequence[Clusteri
     The least index wins among equally near centres.
     """
     centres = np.vstack([m.centres for m in models])
+    origin = centres.mean(axis=0)
+    centres = centres - origin
     half = 0.5 * np.einsum("ij,ij->i", centres, centres)
     edges = np.cumsum([0] + [m.k for m in models])
     slots, dims = centres.shape
@@ -114,7 +145,7 @@ def assignment_totals(vectors: DataFrame, vector: str, models: Sequence[Clusteri
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = as_matrix(batch.column(0))
+            rows = as_matrix(batch.column(0)) - origin
             for first in range(0, len(rows), 2048):  # keeps the (slots, rows) blocks in cache
                 x = rows[first : first + 2048]
                 norms = np.einsum("ij,ij->i", x, x)
@@ -137,7 +168,9 @@ def assignment_totals(vectors: DataFrame, vector: str, models: Sequence[Clusteri
     stats = {m: s.values.to_numpy().reshape(-1, dims + 3) for m, s in zip(summed["model"].to_pylist(), summed["stats"])}
     none = np.zeros((slots, dims + 3))
     scored = [(m, stats.get(i, none[: m.k])) for i, m in enumerate(models)]
-    return [replace(m, counts=s[:, 0], squares=s[:, 1], cost=float(s[:, 2].sum()), sums=s[:, 3:]) for m, s in scored]
+    return [
+        replace(m, counts=s[:, 0], squares=s[:, 1], cost=float(s[:, 2].sum()), sums=s[:, 3:], origin=origin) for m, s in scored
+    ]
 
 
 def fit(
@@ -158,7 +191,7 @@ def fit(
                 limit = tol * max(scored.squares.sum() / n - mean @ mean, 0.0) / len(mean)
             filled = scored.counts > 0
             moved = scored.centres.copy()
-            moved[filled] = scored.sums[filled] / scored.counts[filled, None]
+            moved[filled] = scored.origin + scored.sums[filled] / scored.counts[filled, None]
             settled = ((moved - scored.centres) ** 2).sum() <= limit
             current[i] = Clustering(scored.seed, moved)
             if settled:

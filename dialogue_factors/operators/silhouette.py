@@ -46,12 +46,13 @@ def silhouette_of_models(vectors: DataFrame, vector: str, models: Sequence[Clust
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = as_matrix(batch.column(0))
-            norms = np.einsum("ij,ij->i", x, x)
-            n += len(x)
+            rows = as_matrix(batch.column(0))
+            n += len(rows)
             for i, m in enumerate(models):
-                half = 0.5 * np.einsum("ij,ij->i", m.centres, m.centres)
-                own = (half - x @ m.centres.T).argmin(axis=1)
+                x, centres = rows - m.origin, m.centres - m.origin
+                norms = np.einsum("ij,ij->i", x, x)
+                half = 0.5 * np.einsum("ij,ij->i", centres, centres)
+                own = (half - x @ centres.T).argmin(axis=1)
                 summed = norms[:, None] * m.counts + m.squares - 2 * (x @ m.sums.T)
                 s[i] += _scores(own, np.maximum(summed, 0.0), m.counts).sum()
         yield pa.RecordBatch.from_arrays(
@@ -62,31 +63,33 @@ def silhouette_of_models(vectors: DataFrame, vector: str, models: Sequence[Clust
     return _mean_per_labelling(vectors.select(vector).mapInArrow(partial, "labelling int, s double, n bigint"))
 
 
-def _cluster_totals(rows: DataFrame, vector: str, label: str) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    norm2 = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v)
+def _cluster_totals(rows: DataFrame, vector: str, label: str) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, rows, and sums and squared norms around the last of these, the overall mean."""
+    packed = array_to_vector(vector)
     found = (
         rows.groupBy(label).agg(
             F.count(F.lit(1)).alias("n"),
-            vector_to_array(Summarizer.sum(array_to_vector(vector))).alias("total"),
-            F.sum(norm2).alias("squares"),
+            vector_to_array(Summarizer.mean(packed)).alias("mean"),
+            vector_to_array(Summarizer.variance(packed)).alias("variance"),
         ).orderBy(label).collect()  # one row per cluster
     )
-    return (
-        [r[label] for r in found],
-        np.array([float(r.n) for r in found]),
-        np.array([r.total for r in found]),
-        np.array([r.squares for r in found]),
-    )
+    counts = np.array([float(r.n) for r in found])
+    means, variances = (np.array([r[c] for r in found]).reshape(len(found), -1) for c in ("mean", "variance"))
+    origin = counts @ means / max(counts.sum(), 1.0)
+    means = means - origin
+    squares = (counts - 1) * variances.sum(axis=1) + counts * (means**2).sum(axis=1)
+    return [r[label] for r in found], counts, means * counts[:, None], squares, origin
 
 
 def silhouette_squared(rows: DataFrame, vector: str, label: str) -> DataFrame:
     """`(label, n, silhouette)` per cluster, squared distance, for labels at hand."""
-    names, counts, sums, squares = _cluster_totals(rows, vector, label)
+    names, counts, sums, squares, origin = _cluster_totals(rows, vector, label)
     lookup = pa.array(names)
 
     @F.arrow_udf("double")
     def score(vectors: pa.Array, labels: pa.Array) -> pa.Array:
         x = as_matrix(vectors)
+        x = x - origin if len(x) else x.reshape(0, len(origin))
         own = pc.index_in(labels, value_set=lookup.cast(labels.type)).to_numpy(zero_copy_only=False)
         summed = np.einsum("ij,ij->i", x, x)[:, None] * counts + squares - 2 * (x @ sums.T)
         return pa.array(_scores(own, np.maximum(summed, 0.0), counts))
@@ -130,6 +133,7 @@ def row_silhouettes(rows: DataFrame, key: str, vector: str, labels: Sequence[str
 
     def meet(table: pa.Table) -> pa.Table:
         x = as_matrix(table.column("x"))
+        x = x - x.mean(axis=0)
         c = as_matrix(table.column("codes")).astype(int)
         h, low, high = (table.column(name).to_numpy() for name in ("h", "low", "high"))
         first, second = np.flatnonzero(h == low), np.flatnonzero(h == high)

@@ -36,7 +36,7 @@ from dialogue_factors.operators.probe import leakage, nearest_mean_predictions
 from dialogue_factors.operators.reduce import covariance, map_2d, reduce_vectors
 from dialogue_factors.operators.silhouette import row_silhouettes, silhouette_squared
 from dialogue_factors.plans.label_dialogue import label_lines
-from dialogue_factors.session import scratch_path
+from dialogue_factors.session import materialize, scratch_path
 from dialogue_factors.sources.dialogue_lines import read_lines
 from dialogue_factors.sources.records import read_examples, read_k_scores, write_examples, write_k_scores
 
@@ -101,16 +101,19 @@ def rendered_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Numbered dialogue lines `(conv_id, turn, kind, line)` told from conversations.
 
     Turn 0 becomes the persona line; each user turn followed by an assistant turn
-    becomes a dialogue line. Replies are found by an equi-join on the turn.
+    becomes a dialogue line, and one without reply a line without a second field. Replies
+    are found by an equi-join on the turn.
     """
     turns = table(spark, folder, "conversations", "conv_id", "turn", "role", F.regexp_replace("text", r"[ \t\r\n\f]+", " ").alias("text"))
     persona = turns.where("turn = 0").select(
         "conv_id", "turn", F.lit(0).alias("kind"), F.concat(F.lit(f"1 {PERSONA_MARKER} "), "text").alias("line")
     )
     replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    dialogue = turns.where("role = 'user'").join(replies, ["conv_id", "turn"]).select(
+    dialogue = turns.where("role = 'user'").join(replies, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.lit(1).alias("kind"),
-        F.concat((F.col("turn") + 2).cast("string"), F.lit(" "), "text", F.lit(FIELD_SEPARATOR), "reply").alias("line"),
+        F.concat(
+            (F.col("turn") + 2).cast("string"), F.lit(" "), "text", F.coalesce(F.concat(F.lit(FIELD_SEPARATOR), "reply"), F.lit(""))
+        ).alias("line"),
     )
     return persona.unionByName(dialogue)
 
@@ -326,8 +329,8 @@ def pca_rotation(spark: SparkSession, folder: str) -> DataFrame:
 
 def chart_map(spark: SparkSession, folder: str) -> DataFrame:
     rows = vectors(spark, folder)
-    parts = split_factors(rows, "x", fit_factors(rows, "x", "label"))
-    chart = map_2d(parts, ["vec_id"], "label", ["x", "z_p", "z_c"], SETTINGS.map_rows)
+    parts = materialize(split_factors(rows, "x", fit_factors(rows, "x", "label")), "parts")
+    chart = map_2d(parts, ["vec_id"], "label", ["x", "z_p", "z_c"])
     return chart.select("vec_id", "space", rounded("x"), rounded("y"), "label")
 
 
@@ -342,14 +345,14 @@ def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kmeans_fixed_init(spark: SparkSession, folder: str) -> DataFrame:
-    rows = vectors(spark, folder)
+    rows = materialize(vectors(spark, folder), "vectors")
     begun = kmeans.starts(rows, "vec_id", "x", [5], replace(SETTINGS, kmeans_starts=1), spread=False)
     model = kmeans.fit(rows, "x", begun, 3)[0]
     return kmeans.assign(rows, "x", model).select("vec_id", "cluster_id")
 
 
 def kmeans_best_of_n(spark: SparkSession, folder: str) -> DataFrame:
-    rows = vectors(spark, folder)
+    rows = materialize(vectors(spark, folder), "vectors")
     begun = kmeans.starts(rows, "vec_id", "x", [SETTINGS.classes], STEPS, spread=False)
     fitted = kmeans.fit(rows, "x", begun, STEPS.kmeans_max_iter)
     return kmeans.assign(rows, "x", kmeans.best_of_starts(fitted)[SETTINGS.classes]).select("vec_id", "cluster_id")
@@ -365,7 +368,7 @@ def k_sweep(spark: SparkSession, folder: str) -> DataFrame:
 def best_k(spark: SparkSession, folder: str) -> DataFrame:
     """Exact silhouette of one seeded start and three updates per k."""
     chosen = replace(SETTINGS, kmeans_starts=1, silhouette_metric="euclidean")
-    rows = vectors(spark, folder)
+    rows = materialize(vectors(spark, folder), "vectors")
     begun = kmeans.starts(rows, "vec_id", "x", range(chosen.k_min, chosen.k_max + 1), chosen, spread=False)
     models = {m.k: m for m in kmeans.fit(rows, "x", begun, 3)}
     return reports.best_k(score_models(rows, "vec_id", "x", models, chosen)).select("k", rounded("silhouette"))
@@ -395,7 +398,8 @@ def factor_split(spark: SparkSession, folder: str) -> DataFrame:
 def _factored(spark: SparkSession, folder: str) -> DataFrame:
     """Parts of every vector, the basis fitted without the rows that test the probe."""
     rows = vectors(spark, folder)
-    return split_factors(rows, "x", fit_factors(rows.where(~splits.hash_holdout("vec_id")), "x", "label"))
+    basis = fit_factors(rows.where(~splits.hash_holdout("vec_id")), "x", "label")
+    return materialize(split_factors(rows, "x", basis), "parts")  # the probes read them several times
 
 
 def persona_probe(spark: SparkSession, folder: str) -> DataFrame:

@@ -43,9 +43,11 @@ def label_vectors(
 ) -> LabelledDialogue:
     """Reduce, choose k, cluster, split by speaker, label every utterance.
 
-    `embedded` holds `(speaker_id, embedding)` from any encoder.
+    `embedded` holds `(speaker_id, embedding)`, one row per speaker, from any encoder.
     """
     stored = materialize(embedded, "embeddings")
+    if stored.groupBy("speaker_id").count().where("count > 1").limit(1).count():
+        raise ValueError("a speaker has more than one embedding")
     width = stored.select(F.size("embedding").alias("w")).first()
     if width is None:
         raise ValueError("the corpus has no speaker with both persona text and dialogue")

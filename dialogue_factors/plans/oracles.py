@@ -29,9 +29,9 @@ turns AS (SELECT conv_id, turn, role, regexp_replace(text, '[ \\t\\r\\n\\f]+', '
 lines AS (
   SELECT conv_id, turn, 0 AS kind, '1 {PERSONA_MARKER} ' || text AS line FROM turns WHERE turn = 0
   UNION ALL
-  SELECT u.conv_id, u.turn, 1, (u.turn + 2)::VARCHAR || ' ' || u.text || chr(9) || a.text
-  FROM turns u JOIN turns a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant'),
+  SELECT u.conv_id, u.turn, 1, (u.turn + 2)::VARCHAR || ' ' || u.text || coalesce(chr(9) || a.text, '')
+  FROM turns u LEFT JOIN turns a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
 stripped AS (SELECT *, {_strip('line')} AS s FROM lines),
 numbered AS (
   SELECT * EXCLUDE (s), substr(s, 1, instr(s, ' ') - 1) AS number, substr(s, instr(s, ' ') + 1) AS rest
