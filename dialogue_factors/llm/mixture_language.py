@@ -70,18 +70,17 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def proportions(counts: np.ndarray, likelihood: np.ndarray, steps: int = 25, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
-    """EM for the shares of the languages in n-grams with these likelihoods (n-grams x
-    languages); also the log-likelihood."""
-    share = np.full(likelihood.shape[1], 1.0 / likelihood.shape[1])
+    """EM for the shares of the languages in n-grams with these likelihoods (languages x
+    n-grams); also the log-likelihood. A step is two products of a matrix and a vector."""
+    languages, all_counts = len(likelihood), counts.sum()
+    share = np.full(languages, 1.0 / languages)
     for _ in range(steps):
-        weighted = likelihood * share
-        total = weighted.sum(axis=1)
-        updated = counts @ (weighted / total[:, None]) / counts.sum()
+        updated = share * (likelihood @ (counts / (share @ likelihood))) / all_counts
         moved = np.abs(updated - share).max()
         share = updated
         if moved < tolerance:
             break
-    return share, float(counts @ np.log((likelihood * share).sum(axis=1)))
+    return share, float(counts @ np.log(share @ likelihood))
 
 
 def infer_mixture(counts: np.ndarray, logs: np.ndarray, penalty: float = 3.0) -> np.ndarray:
@@ -92,11 +91,11 @@ def infer_mixture(counts: np.ndarray, logs: np.ndarray, penalty: float = 3.0) ->
     single language that beats the rest by more than that is taken at once.
     """
     seen = np.flatnonzero(counts)
-    c, l = counts[seen].astype(float), logs[:, seen].T
-    peak = l.max(axis=1)
-    likelihood = np.exp(l - peak[:, None])
+    c, l = counts[seen].astype(float), logs[:, seen]
+    shifted = l - l.max(axis=0)
+    likelihood = np.exp(shifted)
     cost = penalty * np.log(c.sum() + 1.0)
-    single = c @ (l - peak[:, None])
+    single = shifted @ c
     chosen = np.arange(logs.shape[0])
     share, value = proportions(c, likelihood)
     while len(chosen) > 1:
@@ -105,7 +104,7 @@ def infer_mixture(counts: np.ndarray, logs: np.ndarray, penalty: float = 3.0) ->
             fewer, fit, fitted = np.array([best]), np.ones(1), single[best]
         else:
             fewer = np.delete(chosen, np.argmin(share))
-            fit, fitted = proportions(c, likelihood[:, fewer])
+            fit, fitted = proportions(c, likelihood[fewer])
         if fitted - cost * len(fewer) < value - cost * len(chosen):
             break
         chosen, share, value = fewer, fit, fitted
