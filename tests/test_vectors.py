@@ -297,3 +297,42 @@ def test_token_encoding(spark):
     assert rows[1].input_ids[:4] == [2, 1, 6, 3] and rows[2].input_ids[:3] == [2, 3, 0]
     assert sum(rows[3].attention_mask) == 64 and rows[3].input_ids[-1] == 3
     assert sum(rows[4].attention_mask) == 3
+
+
+def test_far_data_lose_no_digits(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 1.0, (60, 3)) for c in (0.0, 6.0, -7.0)])
+    labels = np.repeat([0, 1, 2], 60)
+    measured = []
+    for shift in (0.0, 1e7):
+        rows = frame(spark, x + shift, labels)
+        begun = [kmeans.Clustering(0, x[[0, 60, 120]] + shift)]
+        model = kmeans.fit(rows, "x", begun, 5)[0]
+        squared = {r.label: r.silhouette for r in silhouette_squared(rows, "x", "label").collect()}
+        exact = silhouette_exact(rows, "vec_id", "x", ["label"]).first().silhouette
+        swept = score_models(rows, "vec_id", "x", {3: model}).first().silhouette
+        measured.append([model.cost, exact, swept, *(squared[i] for i in range(3))])
+        found = {r.vec_id: r.cluster_id for r in kmeans.assign(rows, "x", model).collect()}
+        assert [found[i] for i in range(180)] == labels.tolist()
+    np.testing.assert_allclose(measured[1], measured[0], rtol=1e-6)
+
+
+def test_any_row_may_become_a_centre(spark):
+    """A lone far row among many is drawn as a start, and the draw repeats."""
+    x = np.zeros((5000, 2))
+    x[:, 0] = np.arange(5000) % 7 * 1e-3
+    x[4321] = 500.0
+    settings = replace(Settings(), kmeans_starts=2)
+    one = kmeans.starts(frame(spark, x), "vec_id", "x", [4], settings)
+    two = kmeans.starts(frame(spark, x, partitions=7), "vec_id", "x", [4], settings)
+    for a, b in zip(one, two):
+        assert (a.centres == 500.0).all(axis=1).any()
+        np.testing.assert_array_equal(a.centres, b.centres)
+
+
+def test_encoder_gives_one_row_per_key(spark):
+    texts = spark.createDataFrame([(1, 0, "aaaa"), (1, 1, "bb"), (2, 0, "c"), (3, 0, None)], "k long, part long, text string")
+    plugged = encode_texts(texts, "k", "text", lambda: lambda batch: np.array([[len(t or ""), 1.0] for t in batch]))
+    found = {r.k: r.embedding for r in plugged.collect()}
+    assert sorted(found) == [1, 2, 3]
+    np.testing.assert_allclose([found[1], found[2], found[3]], [[20 / 6, 1.0], [1.0, 1.0], [0.0, 1.0]])
