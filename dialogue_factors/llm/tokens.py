@@ -22,6 +22,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def laid(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The stretches of a pool that begin at `starts`, laid end to end."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts - (ends - counts), counts) + np.arange(total)]
+
+
 class WordEncoder:
     """Whole texts to ids, for tokenizers that drop white space and mark word ends.
 
@@ -36,58 +43,85 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Remembered words; ids of all of them, where each word's begin, how many it has.
+        self.names = pa.array([], pa.large_string())
+        self.pool, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _lists(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _lists(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, laid end to end, and how many each word has."""
-        found: list[np.ndarray | None] = [self.known.get(w) for w in words]
-        new = [i for i, ids in enumerate(found) if ids is None]
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pool, starts and counts of words that are not remembered."""
         # Letters are one piece to such a tokenizer, and marks after them another.
-        stems = {i: words[i].rstrip(MARKS) for i in new}
-        plain = [i for i in new if stems[i].isalpha()]
-        rest = [i for i in new if not stems[i].isalpha()]
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        pieces = 1 + pc.less(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        letters = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(letters), [np.flatnonzero(~letters)]
         groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, ids in zip(groups, self._lists([" ".join(words[i] for i in g) for g in groups])):
-            flat = np.array(ids, np.uint32)
+        lines = [" ".join(words.take(pa.array(g)).to_pylist()) for g in groups]
+        order, counts, flats = [], [], []
+        for group, flat in zip(groups, self._lists(lines)):
             cuts = np.flatnonzero(self.ends[flat]) + 1
-            pieces = np.cumsum([1 + (len(stems[i]) < len(words[i])) for i in group])
-            if len(cuts) != pieces[-1]:  # not so with this tokenizer
-                rest += group
+            last = np.cumsum(pieces[group]) - 1
+            if len(cuts) != last[-1] + 1 or cuts[-1] != len(flat):  # not so with this tokenizer
+                rest.append(group)
                 continue
-            for i, part in zip(group, np.split(flat, cuts[pieces[:-1] - 1])):
-                found[i] = part
-        for i, ids in zip(rest, self._lists([words[i] for i in rest])):
-            found[i] = np.array(ids, np.uint32)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-        self.known.update((words[i], found[i]) for i in new[:REMEMBERED] if len(words[i]) < 64)
-        counts = np.array([len(x) for x in found], np.int64)
-        return np.concatenate([*found, np.zeros(0, np.uint32)]), counts
+            order.append(group)
+            counts.append(np.diff(cuts[last], prepend=0))
+            flats.append(flat)
+        order += rest
+        alone = self._lists(words.take(pa.array(np.concatenate(rest))).to_pylist())
+        counts = np.concatenate([*counts, np.array([len(x) for x in alone], np.int64)])
+        at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        order = np.concatenate(order)
+        at[order], size[order] = np.cumsum(counts) - counts, counts
+        return np.concatenate([np.zeros(0, np.uint32), *flats, *alone]), at, size
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, end to end, and the offsets of each text; null is empty."""
-        # A copy: a slice that is cast keeps offsets which the string kernels misread.
-        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
-        if pc.any(pc.match_substring(texts, "<|")).as_py():
-            lists = [np.array(x, np.uint32) for x in self._lists(texts.to_pylist())]
-            return np.concatenate([*lists, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, lists)])
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pool, starts and counts of distinct words. When the memory is full, it begins
+        again with the words at hand, among which are the frequent ones."""
+        found = pc.index_in(words, value_set=self.names)
+        unknown = pc.is_null(found)
+        new = words.filter(unknown)
+        pool, at, size = self._new(new)
+        at = at + len(self.pool)
+        pool, starts, counts = np.concatenate([self.pool, pool]), np.concatenate([self.starts, at]), np.concatenate([self.counts, size])
+        codes = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes[unknown.to_numpy(zero_copy_only=False)] = len(self.names) + np.arange(len(new))
+        names = pa.concat_arrays([self.names, new])
+        keep = np.arange(len(names)) if len(names) <= REMEMBERED else codes[:REMEMBERED]
+        keep = keep[pc.less(pc.binary_length(names.take(pa.array(keep))), 64).to_numpy(zero_copy_only=False)]
+        self.names, self.counts = names.take(pa.array(keep)), counts[keep]
+        self.pool, self.starts = laid(pool, starts[keep], self.counts), np.cumsum(self.counts) - self.counts
+        return pool, starts[codes], counts[codes]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, end to end, and how many each text has."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         words = split.flatten().dictionary_encode()
-        if isinstance(words, pa.ChunkedArray):
-            words = words.combine_chunks()
-        pool, counts = self._words(words.dictionary.to_pylist())
-        starts = np.cumsum(counts) - counts
+        pool, starts, counts = self._words(words.dictionary)
         codes = words.indices.to_numpy(zero_copy_only=False)
-        each = counts[codes]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts[codes] - (ends - each), each) + np.arange(total)
         per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        word_ends = np.concatenate([[0], np.cumsum(per_text)])
-        return pool[at], np.concatenate([[0], ends])[word_ends]
+        ends = np.concatenate([[0], np.cumsum(counts[codes])])[np.cumsum(per_text)]
+        return laid(pool, starts[codes], counts[codes]), np.diff(ends, prepend=0)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, end to end, and the offsets of each text; null is empty."""
+        # A copy: a slice that is cast keeps offsets which the string kernels misread.
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
+        special = pc.match_substring(texts, "<|")
+        if not pc.any(special).as_py():
+            flat, sizes = self._plain(texts)
+            return flat, np.concatenate([[0], np.cumsum(sizes)])
+        flat, own = self._plain(texts.filter(pc.invert(special)))
+        lists = self._lists(texts.filter(special).to_pylist())
+        mask = special.to_numpy(zero_copy_only=False)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~mask], sizes[mask] = own, [len(x) for x in lists]
+        each = np.concatenate([own, sizes[mask]])
+        starts = np.zeros(len(texts), np.int64)
+        starts[np.concatenate([np.flatnonzero(~mask), np.flatnonzero(mask)])] = np.cumsum(each) - each
+        return laid(np.concatenate([flat, *lists]), starts, sizes), np.concatenate([[0], np.cumsum(sizes)])
