@@ -9,12 +9,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dialogue_factors.llm import bitplanes, jaccard_join, suffix_dedup
+from dialogue_factors.llm import bitplanes, jaccard_join, suffix_dedup, tokens
 from dialogue_factors.llm.decontaminate import find_leaks
 from dialogue_factors.llm.invertible_sketch import fingerprints
 from dialogue_factors.llm.kneser_ney import classify, fit, log_probabilities, ngram_keys, _shard
@@ -59,6 +60,19 @@ def ids_of(tokenizer, text, end):
     return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
+@pytest.mark.parametrize("remembered", [300_000, 50, 0])
+def test_word_encoder(tokenizer, monkeypatch, remembered):
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    draw = random.Random(5)
+    words = [t for _, text in ODD for t in (text or "").split()] + ["don't", "stop...", "İstanbul", "e\u0301", "ﬁ½", "a1b2", "!!", "(x)", "a\u2028b", "w" * 100]
+    words += ["".join(draw.choices("abcdeéß", k=6)) + draw.choice(["", ".", ",)"]) for _ in range(300)]
+    encoder = tokens.WordEncoder(default_tokenizer())
+    for size in (0, 1, 40, 200, 40):
+        rows = [draw.choice([None, "", " ", "<|endoftext|> b", "a<|"]) if i % 5 == 0 else " ".join(draw.choices(words, k=size)) for i in range(size)]
+        flat, offsets = encoder.encode(pa.array(rows, pa.string()))
+        assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [tokenizer.encode(r or "", add_special_tokens=False).ids for r in rows]
+
+
 def test_packing(spark, data, tokenizer):
     rows = texts(spark, data)
     packed = pack_powers_of_two(documents(spark, rows)).collect()
