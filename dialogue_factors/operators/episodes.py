@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dialogue_factors.config import Settings
+from dialogue_factors.config import FIRST_LINE_NUMBER, PERSONA_MARKER, Settings
 from dialogue_factors.operators.lines import (
     classify_lines,
     mentions_persona,
@@ -232,7 +232,7 @@ def first_fact_personas(lines: DataFrame, settings: Settings = Settings()) -> Da
     closes = F.col("line").startswith("1 ")
     facts = number_islands(lines, closes, closes | mentions_persona(), including_current=False).select(
         "source", "island", "offset", closes.alias("closes"),
-        F.col("line").startswith("1 your persona:").alias("alone"),
+        F.col("line").startswith(f"{FIRST_LINE_NUMBER} {PERSONA_MARKER}").alias("alone"),
         F.when(mentions_persona(), persona_fact_between()).alias("fact"),
     )
     facts = materialize(facts, "first-facts")
