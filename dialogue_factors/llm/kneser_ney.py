@@ -57,98 +57,128 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 
 def count_ngrams(trusted: DataFrame) -> DataFrame:
-    """`key, n`: how often each five-symbol sequence occurs in all texts. A task adds up
-    what it has seen before anything is shuffled."""
+    """`part, key, n`: how often each five-symbol sequence occurs in all texts of a part. A
+    task adds up what it has seen before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in held])
+        def merged(part: int) -> tuple[np.ndarray, np.ndarray]:
+            keys = np.concatenate([k for k, _ in held[part]])
             distinct, place = np.unique(keys, return_inverse=True)
-            return distinct, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
-
-        for _, texts in _texts(batches, 0):
-            keys, _ = ngram_keys(texts)
-            if len(keys):
-                held.append(np.unique(keys, return_counts=True))
-            if sum(len(k) for k, _ in held) > HELD_NGRAMS:
-                held = [merged()]
-                if len(held[0][0]) > HELD_NGRAMS // 2:
-                    yield batch(key=pa.array(held[0][0]), n=pa.array(held[0][1]))
-                    held = []
-        if held:
-            keys, n = merged()
-            yield batch(key=pa.array(keys), n=pa.array(n))
-
-    return trusted.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """Discounts of counts 1, 2 and 3 or more, from the number of n-grams of each count."""
-    have = {r.n: r.types for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("types")).collect()}
-    n1, n2, n3, n4 = (have.get(i, 0) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.1), i + 0.9) for i, d in enumerate(raw)]
+            return distinct, np.bincount(place, np.concatenate([n for _, n in held[part]])).astype(np.int64)
+
+        def rows_of(part: int) -> pa.RecordBatch:
+            keys, n = held[part][0]
+            return batch(part=pa.array(np.full(len(keys), part, np.int32)), key=pa.array(keys), n=pa.array(n))
+
+        for rows, texts in _texts(batches, 0):
+            keys, offsets = ngram_keys(texts)
+            owner = np.repeat(rows.column(1).to_numpy(), np.diff(offsets))
+            for part in np.unique(owner).tolist():
+                held.setdefault(part, []).append(np.unique(keys[owner == part], return_counts=True))
+            if sum(len(k) for some in held.values() for k, _ in some) > HELD_NGRAMS:
+                held.update({part: [merged(part)] for part in held})
+                if sum(len(some[0][0]) for some in held.values()) > HELD_NGRAMS // 2:
+                    yield from (rows_of(part) for part in held)
+                    held.clear()
+        for part in held:
+            held[part] = [merged(part)]
+            yield rows_of(part)
+
+    part = F.col("part").cast("int") if "part" in trusted.columns else F.lit(0)
+    counted = trusted.select("text", part.alias("part")).mapInArrow(count, "part int, key long, n long")
+    return counted.groupBy("part", "key").agg(F.sum("n").alias("n"))
+
+
+def _discounts(counts: DataFrame, models: int) -> list[list[float]]:
+    """For each model, discounts of counts 1, 2 and 3 or more, from the number of n-grams of
+    each count."""
+    have = {(r.model, r.n): r.types for r in counts.where("n <= 4").groupBy("model", "n").agg(F.count("*").alias("types")).collect()}
+    out = []
+    for model in range(models):
+        n1, n2, n3, n4 = (have.get((model, i), 0) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        out.append([min(max(d, 0.1), i + 0.9) for i, d in enumerate(raw)])
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """`entries` (stored): `order, context, key, value`: the natural logarithm of an n-gram's
-    probability, or of a context's weight for lower orders; `shards` of bounded size."""
+    """`entries` (stored): `model, order, context, key, value`: the natural logarithm of an
+    n-gram's probability, or of a context's weight for lower orders; `shards` of bounded
+    size. `floor`: for each model, that of a symbol never seen. `taught`: which models have
+    seen any text."""
 
     entries: DataFrame
     shards: int
-    floor: float
+    floor: np.ndarray
+    taught: np.ndarray
 
 
 def shard_of(pair: Column, shards: int) -> Column:
     return F.pmod(F.shiftrightunsigned(pair * F.lit(0x9E3779B1), 8), F.lit(shards))
 
 
-def fit(trusted: DataFrame) -> Model:
+def fit(trusted: DataFrame, folds: int = 1, models: int = 1) -> Model:
     """Interpolated modified Kneser-Ney of order five over characters.
 
     Five-grams have their counts; a shorter n-gram counts the different symbols before it.
     Each order joins its counts with the totals of their contexts and with the
     probabilities of the next lower order; all joins are keyed by n-gram.
+
+    With `folds`, the column `part` (under `models`) numbers the folds of each kind of text,
+    kind after kind, and the model of a part learns from the other folds of its kind.
     """
-    counts = {ORDER: materialize(count_ngrams(trusted), "ngrams")}
+    parts = materialize(count_ngrams(trusted), "ngrams")
+    if folds > 1:
+        others = F.array(*[F.lit(i) for i in range(1, folds)])
+        fold = F.col("part") % folds
+        parts = parts.withColumn("by", F.explode(others)).select(
+            (F.col("part") - fold + (fold + F.col("by")) % folds).alias("model"), "key", "n"
+        ).groupBy("model", "key").agg(F.sum("n").alias("n"))
+        counts = {ORDER: materialize(parts, "ngrams")}
+    else:
+        counts = {ORDER: parts.withColumnRenamed("part", "model")}
     for order in range(ORDER - 1, 0, -1):
-        shorter = counts[order + 1].groupBy((F.col("key").bitwiseAND(F.lit(mask(order)))).alias("key")).agg(F.count("*").alias("n"))
+        shorter = counts[order + 1].groupBy("model", F.col("key").bitwiseAND(F.lit(mask(order))).alias("key")).agg(F.count("*").alias("n"))
         counts[order] = materialize(shorter, "ngrams")
-    parts, lower, floor = [], None, 0.0
+    parts, lower = [], None
+    floor, taught = np.full(models, np.log(1 / SYMBOLS)), np.zeros(models, bool)
     for order in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(counts[order])
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        grams = counts[order].withColumn("d", discount).withColumn("ctx", F.shiftright("key", BITS))
-        contexts = grams.groupBy("ctx").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
-        grams = grams.join(contexts, "ctx")
+        discounts = F.array(*[F.lit(d) for three in _discounts(counts[order], models) for d in three])
+        grams = counts[order].withColumn("d", F.element_at(discounts, (F.col("model") * 3 + F.least("n", F.lit(3))).cast("int"))).withColumn("ctx", F.shiftright("key", BITS))
+        contexts = grams.groupBy("model", "ctx").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+        grams = grams.join(contexts, ["model", "ctx"])
         own = (F.col("n") - F.col("d")) / F.col("total")
         if order == 1:
-            row = contexts.first()
-            floor = float(np.log((row.weight if row else 1.0) / SYMBOLS))
-            grams = grams.select("key", (own + F.col("weight") / SYMBOLS).alias("p"))
+            for row in contexts.collect():
+                floor[row.model], taught[row.model] = np.log(row.weight / SYMBOLS), True
+            grams = grams.select("model", "key", (own + F.col("weight") / SYMBOLS).alias("p"))
         else:
             grams = grams.withColumn("suffix", F.col("key").bitwiseAND(F.lit(mask(order - 1)))).join(
-                lower.select(F.col("key").alias("suffix"), F.col("p").alias("q")), "suffix"
-            ).select("key", (own + F.col("weight") * F.col("q")).alias("p"))
-            parts.append(contexts.select(F.lit(order).alias("order"), F.lit(True).alias("context"), F.col("ctx").alias("key"), F.log("weight").alias("value")))
+                lower.select("model", F.col("key").alias("suffix"), F.col("p").alias("q")), ["model", "suffix"]
+            ).select("model", "key", (own + F.col("weight") * F.col("q")).alias("p"))
+            parts.append(contexts.select("model", F.lit(order).alias("order"), F.lit(True).alias("context"), F.col("ctx").alias("key"), F.log("weight").alias("value")))
         lower = materialize(grams, "ngrams")
-        parts.append(lower.select(F.lit(order).alias("order"), F.lit(False).alias("context"), "key", F.log("p").alias("value")))
+        parts.append(lower.select("model", F.lit(order).alias("order"), F.lit(False).alias("context"), "key", F.log("p").alias("value")))
     entries = parts[0]
     for part in parts[1:]:
         entries = entries.unionByName(part)
     entries = materialize(entries, "model")
-    return Model(entries, max(1, -(-entries.count() // SHARD_ENTRIES)), floor)
+    return Model(entries, max(1, -(-entries.count() // SHARD_ENTRIES)), floor, taught)
 
 
 def _shard(model: Model, number: int) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
-    """Arrays of one shard: what is keyed by its pairs of symbols, and the short entries."""
+    """Arrays of one shard: what is keyed by its pairs of symbols, and the short entries. A
+    model's number stands above the bits of the key."""
     pair = F.when(F.col("context"), F.col("key")).otherwise(F.shiftright("key", BITS)).bitwiseAND(F.lit(mask(2)))
     short = F.col("order") <= 2
-    table = model.entries.where(short | (shard_of(pair, model.shards) == number)).toArrow().to_pandas()
+    key = F.col("key").bitwiseOR(F.shiftleft(F.col("model").cast("long"), BITS * ORDER))
+    table = model.entries.where(short | (shard_of(pair, model.shards) == number)).select(
+        "order", "context", key.alias("key"), F.col("value").cast("float").alias("value")
+    ).toArrow().to_pandas()
     out = {}
     for kind, rows in table.groupby(["order", "context"]):
         keys, values = rows.key.to_numpy(np.int64), rows.value.to_numpy(np.float32)
@@ -164,60 +194,53 @@ def _lookup(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> tu
     return table[0][at] == keys, table[1][at]
 
 
-def log_probabilities(keys: np.ndarray, shard: dict, floor: float) -> np.ndarray:
-    """Of the last symbol of each key given those before: the longest known n-gram, with
-    the weights of the longer contexts that are known."""
+def log_probabilities(keys: np.ndarray, shard: dict, floor: np.ndarray, model: np.ndarray | None = None) -> np.ndarray:
+    """Of the last symbol of each key given those before, under the key's model: the longest
+    known n-gram, with the weights of the longer contexts that are known."""
+    model = np.zeros(len(keys), np.int64) if model is None else model
     out, left, weight = np.zeros(len(keys)), np.arange(len(keys)), np.zeros(len(keys))
     for order in range(ORDER, 0, -1):
-        key = keys[left] & mask(order)
-        found, value = _lookup(shard.get((order, False)), key)
+        own, key = model[left] << BITS * ORDER, keys[left] & mask(order)
+        found, value = _lookup(shard.get((order, False)), key | own)
         out[left[found]] = weight[found] + value[found]
         if order == 1:
-            out[left[~found]] = weight[~found] + floor
+            out[left[~found]] = weight[~found] + floor[model[left[~found]]]
             break
-        left, key, weight = left[~found], key[~found], weight[~found]
-        known, value = _lookup(shard.get((order, True)), key >> BITS)
+        left, key, weight, own = left[~found], key[~found], weight[~found], own[~found]
+        known, value = _lookup(shard.get((order, True)), key >> BITS | own)
         weight = weight + np.where(known, value, 0.0)
     return out
 
 
 def score(rows: DataFrame, model: Model, *carry: str) -> DataFrame:
-    """`carry` columns, `log_probability` and `symbols` of each text, a row for each row.
+    """`carry` columns, `log_probability` and `symbols` of each text, a row for each row;
+    a text is scored by the model that its column `fold` names.
 
-    Shards of the model are broadcast one after the other; a pass scores the characters
-    that follow the shard's pairs of symbols, and passes are summed by row key.
+    A task takes the shards of the model one after the other for each chunk of texts: a
+    shard scores the characters that follow its pairs of symbols.
     """
-    base = rows.select("text", "key_id", "key_text", *carry)
-    schema = base.drop("text").schema.add("log_probability", "double").add("symbols", "long")
-    passes = None
-    for number in range(model.shards):
-        shared = rows.sparkSession.sparkContext.broadcast(_shard(model, number))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            for part, texts in _texts(batches, 0):
-                keys, offsets = ngram_keys(texts)
-                values = np.zeros(len(keys))
-                if model_shards > 1:
-                    pair = (keys >> BITS) & mask(2)
-                    mine = np.flatnonzero((pair * 0x9E3779B1 >> 8) % model_shards == number)
-                else:
-                    mine = np.arange(len(keys))
-                values[mine] = log_probabilities(keys[mine], shared.value, floor)
-                sums = np.concatenate([[0.0], np.cumsum(values)])
-                columns = {n: part.column(i) for i, n in enumerate(part.schema.names) if i}
-                yield batch(**columns, log_probability=pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), symbols=pa.array(np.diff(offsets)))
-
-        model_shards, floor = model.shards, model.floor
-        part = base.mapInArrow(run, schema)
-        passes = part if passes is None else passes.unionByName(part)
-    if model.shards == 1:
-        return passes
-    # Repeated rows have equal keys and equal texts: one of them is scored for all.
-    keys = ["key_id", "key_text", *carry]
-    summed = passes.groupBy(*keys).agg(F.sum("log_probability").alias("log_probability"), F.max("symbols").alias("symbols"), F.count("*").alias("times"))
-    times = F.explode(F.sequence(F.lit(1), (F.col("times") / model.shards).cast("int"))).alias("time")
-    share = F.col("log_probability") * model.shards / F.col("times")
-    return summed.select(*keys, share.alias("log_probability"), "symbols", times).drop("time")
+    base = rows.select("text", F.col("fold").cast("int").alias("fold"), "key_id", "key_text", *carry)
+    schema = base.drop("text", "fold").schema.add("log_probability", "double").add("symbols", "long")
+    context = rows.sparkSession.sparkContext
+    shared = [context.broadcast(_shard(model, number)) for number in range(model.shards)]
+    floor = model.floor
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _texts(batches, 0):
+            keys, offsets = ngram_keys(texts)
+            fold = np.repeat(part.column(1).to_numpy().astype(np.int64), np.diff(offsets))
+            values = np.zeros(len(keys))
+            place = (((keys >> BITS) & mask(2)) * 0x9E3779B1 >> 8) % len(shared)
+            for number, table in enumerate(shared):
+                mine = np.flatnonzero(place == number)
+                values[mine] = log_probabilities(keys[mine], table.value, floor, fold[mine])
+                if len(shared) > 1 and table._path is not None:
+                    del table._value  # read again from the executor's disk: one shard in memory
+            sums = np.concatenate([[0.0], np.cumsum(values)])
+            columns = {n: part.column(i) for i, n in enumerate(part.schema.names) if i > 1}
+            yield batch(**columns, log_probability=pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), symbols=pa.array(np.diff(offsets)))
+
+    return base.mapInArrow(run, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -227,31 +250,42 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     ).where("q = 1 and t = 0").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, least: int = 50) -> DataFrame:
+def limits(trusted: DataFrame, value: str, quantile: float) -> DataFrame:
+    """`lang, limit`: the quantile of each language's trusted documents. The distance from
+    the language's own median to its quantile is drawn towards that of all documents, each
+    taken from the median of its language, by as many documents as the quantile needs."""
+    prior = 1 / (1 - quantile)
+    at = lambda column, q: F.percentile_approx(column, q, 10_000)
+    own = trusted.groupBy("lang").agg(at(value, 0.5).alias("middle"), at(value, quantile).alias("own"), F.count("*").alias("n"))
+    own = F.broadcast(materialize(own, "limits"))  # a row per language
+    pooled = trusted.join(own, "lang").agg(at(F.col(value) - F.col("middle"), quantile).alias("x")).first()["x"]
+    reach = (F.col("n") * (F.col("own") - F.col("middle")) + F.lit(prior * (pooled or 0.0))) / (F.col("n") + F.lit(prior))
+    return own.select("lang", (F.col("middle") + reach).alias("limit"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, folds: int = 4) -> DataFrame:
     """Perplexity of every document under a model of trusted text, and whether to keep it.
 
-    The model learns from nine tenths of the trusted documents (by crc32 of the id); the
-    other tenth gives, for each language, the `quantile` of perplexity, times `slack`, over
-    which a document is rejected. A language with fewer than `least` such documents (and
-    a null language) has the threshold of all. Without any trusted document nothing is
-    rejected for its perplexity.
+    Documents fall into `folds` by crc32 of the id, and each is scored by the model of the
+    trusted documents of the other folds. So all trusted documents give, for each language,
+    the limit (see `limits`) of perplexity, times `slack`, over which a document is
+    rejected. A null language is one more language. Documents of a language without any
+    trusted document are not rejected for their perplexity.
 
     Returns `doc_id, key_id, key_text, lang, perplexity, threshold, keep`, a row for each
     row. Null and empty texts have a null perplexity and are rejected.
     """
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = keyed(docs.withColumn("__lang", lang), F.col("__lang").alias("lang"))
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
+    rows = keyed(docs.withColumn("__lang", lang), F.col("__lang").alias("lang")).withColumn("fold", fold)
     good = bounded(materialize(trusted_ids(labels), "trusted"), 16)
-    tenth = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    model = fit(rows.join(good, "doc_id", "left_semi").where(~tenth))
-    perplexity = F.when(F.col("symbols") > 0, F.exp(-F.col("log_probability") / F.col("symbols")))
-    scored = materialize(score(rows, model, "doc_id", "lang").withColumn("perplexity", perplexity).drop("log_probability", "symbols"), "scored")
-    held = scored.where(tenth & F.col("perplexity").isNotNull()).join(good, "doc_id", "left_semi")
-    limit = (F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("limit")
-    by_lang = held.where("lang <> ''").groupBy("lang").agg(limit, F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-    overall = held.agg(limit).first()["limit"]
-    threshold = F.coalesce("limit", F.lit(overall), F.lit(float("inf")))
-    return scored.join(by_lang, "lang", "left").select(
+    model = fit(rows.join(good, "doc_id", "left_semi").withColumn("part", F.col("fold")), folds, folds)
+    surprisal = F.when(F.col("symbols") > 0, -F.col("log_probability") / F.col("symbols"))
+    scored = materialize(score(rows, model, "doc_id", "lang").withColumn("surprisal", surprisal).drop("log_probability", "symbols"), "scored")
+    held = materialize(scored.where("surprisal is not null").join(good, "doc_id", "left_semi").select("lang", "surprisal"), "held")
+    by_lang = limits(held, "surprisal", quantile).select("lang", (F.exp("limit") * slack).alias("threshold"))
+    threshold = F.coalesce("threshold", F.lit(float("inf")))
+    return scored.join(F.broadcast(by_lang), "lang", "left").withColumn("perplexity", F.exp("surprisal")).select(
         "doc_id", "key_id", "key_text", F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity",
         threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("keep"),
     )

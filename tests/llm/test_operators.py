@@ -270,6 +270,23 @@ def test_kneser_ney_shards_agree(spark, data, monkeypatch):
     assert classify(documents(spark, []), labels).count() == 0
 
 
+def test_kneser_ney_rare_languages(spark, data):
+    docs, labels = small(spark, data), small(spark, data, "labels")
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    rows = sorted((r.doc_id, r.text, r.lang) for r in docs.where("lang in ('en', 'fr')").collect() if r.text)
+    french = [r for r in rows if r[2] == "fr"]
+    clean = [r for r in french if r[0] in good]
+    seen = {r[0] for r in clean[:3]}
+    few = docs.where(~F.col("doc_id").isin([r[0] for r in french]) | F.col("doc_id").isin([r[0] for r in clean]))
+    trusted = labels.where(~F.col("doc_id").isin([r[0] for r in clean[3:]]))
+    read = lambda lab: {r.doc_id: r for r in classify(few, lab).collect()}
+    got = read(trusted)
+    assert len(clean) > 4 and all(got[r[0]].keep for r in clean)
+    assert len({round(r.threshold, 9) for r in got.values() if r.lang in ("en", "fr")}) == 2
+    got = read(labels.where(~F.col("doc_id").isin([r[0] for r in clean])))
+    assert all(got[r[0]].keep for r in clean) and not all(r.keep for r in got.values())
+
+
 def test_decontamination(spark, data):
     docs, benchmark = small(spark, data), small(spark, data, "benchmark")
     items = {r.item_id: r.text for r in benchmark.collect()}
