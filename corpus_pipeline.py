@@ -23,9 +23,9 @@ def _by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Kneser-Ney classifier rejects go."""
+    """Documents that the Kneser-Ney classifier rejects, or takes for toxic, go."""
     judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _by_key(docs, judged.where("not keep"), "left_anti")
+    return _by_key(docs, judged.where("not keep or toxic"), "left_anti")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ SYMBOLS = 1 << BITS
 START = 0
 # Entries of a shard of the model, broadcast one at a time: 16 bytes each.
 SHARD_ENTRIES = 2_000_000
+# Symbols of a stretch of text that is judged by itself.
+STRETCH = 8
 # Distinct n-grams that a counting task holds before it passes them on.
 HELD_NGRAMS = 4_000_000
 
@@ -212,33 +214,49 @@ def log_probabilities(keys: np.ndarray, shard: dict, floor: np.ndarray, model: n
     return out
 
 
-def score(rows: DataFrame, model: Model, *carry: str) -> DataFrame:
+def worst_stretch(ratios: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The highest sum of `STRETCH` neighbouring ratios of each text that has any symbol."""
+    sums, sizes = np.concatenate([[0.0], np.cumsum(ratios)]), np.diff(offsets)
+    low = np.arange(len(ratios))
+    stretch = sums[np.minimum(low + STRETCH, np.repeat(offsets[1:], sizes))] - sums[low]
+    return np.maximum.reduceat(stretch, offsets[:-1][sizes > 0]) if len(ratios) else np.zeros(0)
+
+
+def score(rows: DataFrame, model: Model, folds: int, *carry: str) -> DataFrame:
     """`carry` columns, `log_probability` and `symbols` of each text, a row for each row;
-    a text is scored by the model that its column `fold` names.
+    a text is scored by the model that its column `fold` names. `worst`: how much likelier
+    the worst stretch of the whole text is under the fold's second model (null without).
 
     A task takes the shards of the model one after the other for each chunk of texts: a
     shard scores the characters that follow its pairs of symbols.
     """
     base = rows.select("text", F.col("fold").cast("int").alias("fold"), "key_id", "key_text", *carry)
-    schema = base.drop("text", "fold").schema.add("log_probability", "double").add("symbols", "long")
+    schema = base.drop("text", "fold").schema.add("log_probability", "double").add("symbols", "long").add("worst", "double")
     context = rows.sparkSession.sparkContext
     shared = [context.broadcast(_shard(model, number)) for number in range(model.shards)]
-    floor = model.floor
+    floor, both = model.floor, model.taught[:folds] & model.taught[folds:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, 0):
             keys, offsets = ngram_keys(texts)
             fold = np.repeat(part.column(1).to_numpy().astype(np.int64), np.diff(offsets))
-            values = np.zeros(len(keys))
+            values, second = np.zeros(len(keys)), np.zeros(len(keys))
             place = (((keys >> BITS) & mask(2)) * 0x9E3779B1 >> 8) % len(shared)
             for number, table in enumerate(shared):
                 mine = np.flatnonzero(place == number)
                 values[mine] = log_probabilities(keys[mine], table.value, floor, fold[mine])
+                second[mine] = log_probabilities(keys[mine], table.value, floor, fold[mine] + folds)
                 if len(shared) > 1 and table._path is not None:
                     del table._value  # read again from the executor's disk: one shard in memory
             sums = np.concatenate([[0.0], np.cumsum(values)])
+            sizes, worst = np.diff(offsets), np.zeros(len(texts))
+            worst[sizes > 0] = worst_stretch(second - values, offsets)
+            unknown = (sizes == 0) | ~both[part.column(1).to_numpy()]
             columns = {n: part.column(i) for i, n in enumerate(part.schema.names) if i > 1}
-            yield batch(**columns, log_probability=pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), symbols=pa.array(np.diff(offsets)))
+            yield batch(
+                **columns, log_probability=pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), symbols=pa.array(sizes),
+                worst=pa.array(worst, mask=unknown),
+            )
 
     return base.mapInArrow(run, schema)
 
@@ -250,11 +268,17 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     ).where("q = 1 and t = 0").select("doc_id")
 
 
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    """Ids that any label says to be toxic."""
+    return labels.where("doc_id is not null and toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+
 def limits(trusted: DataFrame, value: str, quantile: float) -> DataFrame:
     """`lang, limit`: the quantile of each language's trusted documents. The distance from
     the language's own median to its quantile is drawn towards that of all documents, each
-    taken from the median of its language, by as many documents as the quantile needs."""
-    prior = 1 / (1 - quantile)
+    taken from the median of its language, by as many documents as put ten over the quantile:
+    with fewer the language's own is hardly more than its largest value."""
+    prior = 10 / (1 - quantile)
     at = lambda column, q: F.percentile_approx(column, q, 10_000)
     own = trusted.groupBy("lang").agg(at(value, 0.5).alias("middle"), at(value, quantile).alias("own"), F.count("*").alias("n"))
     own = F.broadcast(materialize(own, "limits"))  # a row per language
@@ -272,20 +296,39 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     rejected. A null language is one more language. Documents of a language without any
     trusted document are not rejected for their perplexity.
 
-    Returns `doc_id, key_id, key_text, lang, perplexity, threshold, keep`, a row for each
-    row. Null and empty texts have a null perplexity and are rejected.
+    A mean over a whole text hides a few insults, so a text is also judged by its worst
+    stretch: that of the highest ratio of a model of the labelled toxic texts to the model
+    of the trusted ones, both of the other folds. It grows with the logarithm of a text's
+    length, as fitted on trusted documents, and what exceeds that has a limit for each
+    language too (the highest of all for a language without trusted text). `toxic` is true
+    over the limit; `keep` speaks of perplexity only, so keep what is `keep and not toxic`.
+    Without toxic or without trusted labels nothing is toxic.
+
+    Returns `doc_id, key_id, key_text, lang, perplexity, threshold, keep, toxic`, a row for
+    each row. Null and empty texts have a null perplexity and are rejected.
     """
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
     rows = keyed(docs.withColumn("__lang", lang), F.col("__lang").alias("lang")).withColumn("fold", fold)
-    good = bounded(materialize(trusted_ids(labels), "trusted"), 16)
-    model = fit(rows.join(good, "doc_id", "left_semi").withColumn("part", F.col("fold")), folds, folds)
+    good, bad = (bounded(materialize(ids, "labelled"), 16) for ids in (trusted_ids(labels), toxic_ids(labels)))
+    taught = rows.join(good, "doc_id", "left_semi").withColumn("part", F.col("fold")).unionByName(
+        rows.join(bad, "doc_id", "left_semi").withColumn("part", F.col("fold") + folds)
+    )
+    model = fit(taught, folds, 2 * folds)
     surprisal = F.when(F.col("symbols") > 0, -F.col("log_probability") / F.col("symbols"))
-    scored = materialize(score(rows, model, "doc_id", "lang").withColumn("surprisal", surprisal).drop("log_probability", "symbols"), "scored")
-    held = materialize(scored.where("surprisal is not null").join(good, "doc_id", "left_semi").select("lang", "surprisal"), "held")
+    size = F.when(F.col("symbols") > 0, F.log("symbols"))
+    scored = score(rows, model, folds, "doc_id", "lang").withColumn("surprisal", surprisal).withColumn("size", size)
+    scored = materialize(scored.drop("log_probability", "symbols"), "scored")
+    held = materialize(scored.where("surprisal is not null").join(good, "doc_id", "left_semi").select("lang", "surprisal", "size", "worst"), "held")
     by_lang = limits(held, "surprisal", quantile).select("lang", (F.exp("limit") * slack).alias("threshold"))
+    line = held.agg(F.regr_slope("worst", "size").alias("slope"), F.regr_intercept("worst", "size").alias("base")).first()
+    excess = F.col("worst") - (line.base or 0.0) - (line.slope or 0.0) * F.col("size")
+    worst_by_lang = materialize(limits(held.where("worst is not null").withColumn("excess", excess), "excess", quantile).withColumnRenamed("limit", "most"), "limits")
+    highest = F.lit(worst_by_lang.agg(F.max("most").alias("most")).first()["most"]).cast("double")
     threshold = F.coalesce("threshold", F.lit(float("inf")))
-    return scored.join(F.broadcast(by_lang), "lang", "left").withColumn("perplexity", F.exp("surprisal")).select(
+    judged = scored.join(F.broadcast(by_lang), "lang", "left").join(F.broadcast(worst_by_lang), "lang", "left")
+    return judged.withColumn("perplexity", F.exp("surprisal")).select(
         "doc_id", "key_id", "key_text", F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity",
         threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("keep"),
+        F.coalesce((excess > F.coalesce("most", highest)) & (F.col("worst") > 0), F.lit(False)).alias("toxic"),
     )

@@ -54,7 +54,7 @@ def op7_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return judged.select("doc_id", "lang", "perplexity", "threshold", "keep")
+    return judged.selectExpr("doc_id", "lang", "perplexity", "threshold", "keep and not toxic as keep", "toxic")
 
 
 def op9_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:

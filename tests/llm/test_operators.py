@@ -287,6 +287,20 @@ def test_kneser_ney_rare_languages(spark, data):
     assert all(got[r[0]].keep for r in clean) and not all(r.keep for r in got.values())
 
 
+def test_kneser_ney_toxic(spark, data):
+    folder = data.replace("sf0.001", "sf0.01")
+    rows = {r.doc_id: r for r in QUERIES["op8_kneser_ney_quality"](spark, folder).collect()}
+    labels = small(spark, folder, "labels").collect()
+    # Toxic documents in other languages than English hold no insult.
+    toxic = [rows[r.doc_id] for r in labels if r.quality == 1 and r.toxic == 1]
+    clean = [rows[r.doc_id] for r in labels if r.quality == 1 and r.toxic == 0]
+    english = [r for r in toxic if r.lang == "en"]
+    assert len(english) > 20 and np.mean([not r.keep for r in english]) > 0.9
+    assert np.mean([not r.keep for r in clean]) < 0.03
+    docs, labels = small(spark, data), small(spark, data, "labels")
+    assert classify(docs, labels.where("toxic = 0")).where("toxic").count() == 0
+
+
 def test_decontamination(spark, data):
     docs, benchmark = small(spark, data), small(spark, data, "benchmark")
     items = {r.item_id: r.text for r in benchmark.collect()}
