@@ -18,12 +18,14 @@ MATCHES = "doc_id long, key_id long, key_text long, item_id long, item_start int
 @dataclass(frozen=True)
 class Filter:
     """q: characters of a q-gram; window: characters of an item that must be found;
+    step: items are covered by a window at every `step`th place, so an excerpt of `window`
+    characters lies at most half a step beside one, and what is missing counts as edits;
     edit_share: allowed edits by window length; band: diagonals between bands;
     block_chars: characters of benchmark text searched for in one pass."""
 
     q: int = 10
     window: int = 100
-    step: int = 50
+    step: int = 8
     edit_share: float = 0.08
     band: int = 16
     block_chars: int = 1 << 20

@@ -317,6 +317,16 @@ def test_decontamination(spark, data):
     assert find_leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_at_every_offset(spark, data):
+    benchmark = small(spark, data, "benchmark")
+    long = " ".join(max((r.text for r in benchmark.collect()), key=len).split())
+    item = spark.createDataFrame([(1, long)], "item_id long, text string")
+    for size in (100, 110, 120):
+        planted = [(i, f"zq xj vk {long[i:i + size]} kv jx qz") for i in range(len(long) - size + 1)]
+        docs = documents(spark, planted)
+        assert {r.doc_id for r in find_leaks(docs, item).collect()} == {i for i, _ in planted}, size
+
+
 def test_lookup_table(spark, data):
     names = [f"s{i}" for i in range(10)]
     table = fill_table(names, 10_007)
