@@ -16,6 +16,8 @@ from dialogue_factors.llm.mixture_language import predict_languages
 from dialogue_factors.llm.packing import pack_powers_of_two
 from dialogue_factors.llm.secret_forest import find_secrets
 from dialogue_factors.llm.suffix_dedup import remove_repeats
+from dialogue_factors.llm.swap_packing import pack_by_swaps
+from dialogue_factors.llm.zone_maps import cluster_sql, cluster_vectors
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -67,10 +69,18 @@ def op10_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return moved_rows(table(spark, folder, "documents"), SHARDS, SHARDS[:-1])
 
 
+def op11_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_by_swaps(table(spark, folder, "documents"))
+
+
+def op13_zone_map_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_power_of_two_packing, op2_suffix_dedup, op3_invertible_fingerprints, op4_jaccard_join, op5_mixture_language, op6_secret_forest, op7_bit_planes,
-        op8_kneser_ney_quality, op9_qgram_decontamination, op10_lookup_sharding,
+        op8_kneser_ney_quality, op9_qgram_decontamination, op10_lookup_sharding, op11_swap_packing, op13_zone_map_clustering,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_zone_map_clustering": cluster_sql()}

@@ -125,3 +125,71 @@ class WordEncoder:
         starts = np.zeros(len(texts), np.int64)
         starts[np.concatenate([np.flatnonzero(~mask), np.flatnonzero(mask)])] = np.cumsum(each) - each
         return laid(np.concatenate([flat, *lists]), starts, sizes), np.concatenate([[0], np.cumsum(sizes)])
+
+
+# White characters of ASCII and beyond, inside the brackets of a pattern.
+WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+class SpacedEncoder(WordEncoder):
+    """Whole texts to ids, for byte-level tokenizers whose pieces hold a space only in
+    front: a piece begins at every space that has a mark or letter behind it, so a text is
+    cut there and each distinct part, its space included, is encoded once. Texts that may
+    hold a special token are encoded as they are.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.breaks = np.zeros(len(self.begins), bool)
+        self.breaks[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pool, starts and counts of parts that are not remembered. Parts with one space,
+        in front, are encoded many at a time and parted where a space begins, parts
+        without white between line breaks, and others one by one."""
+        spaced = pc.match_substring_regex(words, f"^ [^{WHITE}](?s:[^ ]*[^{WHITE}])?$").to_numpy(zero_copy_only=False)
+        bare = pc.match_substring_regex(words, f"^[^{WHITE}]+$").to_numpy(zero_copy_only=False)
+        rest, order, counts, flats = [np.flatnonzero(~spaced & ~bare)], [], [], []
+        for mask, glue, first in ((spaced, "", self.begins), (bare, "\n", self.breaks)):
+            plain = np.flatnonzero(mask)
+            groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+            lines = ["".join(glue + w for w in words.take(pa.array(g)).to_pylist()) for g in groups]
+            for group, flat in zip(groups, self._lists(lines)):
+                starts = np.flatnonzero(first[flat])
+                if len(starts) != len(group):  # not so with this tokenizer
+                    rest.append(group)
+                    continue
+                order.append(group)
+                counts.append(np.diff(np.append(starts, len(flat))) - len(glue))
+                flats.append(flat[~first[flat]] if glue else flat)
+        order += rest
+        alone = self._lists(words.take(pa.array(np.concatenate(rest))).to_pylist())
+        counts = np.concatenate([*counts, np.array([len(x) for x in alone], np.int64)])
+        at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        order = np.concatenate(order)
+        at[order], size[order] = np.cumsum(counts) - counts, counts
+        return np.concatenate([np.zeros(0, np.uint32), *flats, *alone]), at, size
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, end to end, and how many each text has."""
+        mark = "\x00"
+        if pc.any(pc.match_substring(texts, mark)).as_py():
+            return self._whole(texts)
+        if pc.any(pc.match_substring_regex(texts, f"[{WHITE}]{{2}}")).as_py():
+            held = pc.replace_substring_regex(texts, r" ([\x21-\x7e]|\p{L})", mark + r" \1")
+        else:  # a lone line break is a piece of its own
+            held = pc.replace_substring(pc.replace_substring(texts, " ", mark + " "), "\n", f"{mark}\n{mark}")
+        split = pc.split_pattern(held, mark)
+        words = split.flatten().dictionary_encode()
+        pool, starts, counts = self._words(words.dictionary)
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts[codes])])[np.cumsum(per_text)]
+        return laid(pool, starts[codes], counts[codes]), np.diff(ends, prepend=0)
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = self._lists(texts.to_pylist())
+        return np.concatenate([np.zeros(0, np.uint32), *lists]), np.array([len(x) for x in lists], np.int64)
