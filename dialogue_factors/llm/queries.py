@@ -14,6 +14,7 @@ from dialogue_factors.llm.kneser_ney import classify
 from dialogue_factors.llm.lookup_shards import moved_rows
 from dialogue_factors.llm.mixture_language import predict_languages
 from dialogue_factors.llm.packing import pack_powers_of_two
+from dialogue_factors.llm.prefix_trie import prefix_trie, trie_sql
 from dialogue_factors.llm.secret_forest import find_secrets
 from dialogue_factors.llm.suffix_dedup import remove_repeats
 from dialogue_factors.llm.swap_packing import pack_by_swaps
@@ -73,6 +74,10 @@ def op11_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_by_swaps(table(spark, folder, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
 def op13_zone_map_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return cluster_vectors(table(spark, folder, "embeddings"))
 
@@ -80,7 +85,7 @@ def op13_zone_map_clustering(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_power_of_two_packing, op2_suffix_dedup, op3_invertible_fingerprints, op4_jaccard_join, op5_mixture_language, op6_secret_forest, op7_bit_planes,
-        op8_kneser_ney_quality, op9_qgram_decontamination, op10_lookup_sharding, op11_swap_packing, op13_zone_map_clustering,
+        op8_kneser_ney_quality, op9_qgram_decontamination, op10_lookup_sharding, op11_swap_packing, op12_prefix_trie, op13_zone_map_clustering,
     )
 }
-ORACLES: dict[str, str] = {"op13_zone_map_clustering": cluster_sql()}
+ORACLES: dict[str, str] = {"op12_prefix_trie": trie_sql(), "op13_zone_map_clustering": cluster_sql()}
