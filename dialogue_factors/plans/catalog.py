@@ -39,6 +39,7 @@ from dialogue_factors.plans.label_dialogue import label_lines
 from dialogue_factors.session import materialize, scratch_path
 from dialogue_factors.sources.dialogue_lines import read_lines
 from dialogue_factors.sources.records import read_examples, read_k_scores, write_examples, write_k_scores
+from dialogue_factors.streaming.episodes import stream_episodes, write_episodes
 
 SETTINGS = Settings()
 # Settings of the registered clustering queries: seeded starts and a fixed number
@@ -151,6 +152,32 @@ def episodes(spark: SparkSession, folder: str) -> DataFrame:
     return _flat_records(speaker_records(parse_dialogue(dialogue_lines(spark, folder))))
 
 
+def streamed_episodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Episodes of eight sources from a stream: the lines arrive in three slices, and each
+    time a new query goes on from the checkpoint of the one before."""
+    ordered = rendered_lines(spark, folder).select(
+        (F.col("conv_id") % 8).cast("string").alias("source"), F.col("conv_id").alias("part"), F.lit("").alias("file"),
+        (F.col("turn") * 2 + F.col("kind")).alias("start"), F.lit(0).cast("bigint").alias("n"), "line",
+    )
+    lines = materialize(ordered, "lines")
+    bounds = lines.agg(F.percentile_approx("part", [1 / 3, 2 / 3])).first()[0] or [0, 0]
+    after = lines.groupBy("source").agg(
+        (F.max("part") + 1).alias("part"), F.lit("").alias("file"), F.lit(0).cast("bigint").alias("start"),
+        F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("line"),
+    )
+    arriving, out, state = (scratch_path(spark, name) for name in ("arriving", "streamed", "stream-state"))
+    slices = [F.col("part") <= bounds[0], (F.col("part") > bounds[0]) & (F.col("part") <= bounds[1]), F.col("part") > bounds[1]]
+    for rows in [*(lines.where(c) for c in slices[:2]), lines.where(slices[2]).unionByName(after)]:
+        rows.write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(lines.schema).parquet(arriving)
+        write_episodes(stream_episodes(stream), out, state).awaitTermination()
+    records = spark.read.parquet(out)
+    return records.select(
+        "source", "episode", "part", "persona_text", F.array_join("utterances", FIELD_SEPARATOR).alias("utterances"),
+        F.size("utterances").cast("bigint").alias("n_utterances"),
+    )
+
+
 def dialogue_files(spark: SparkSession, folder: str) -> DataFrame:
     """As `episodes`, but through text files: a folder of parts in order is one source."""
     path = scratch_path(spark, "lines")
@@ -430,6 +457,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_lines": clean_lines,
     "line_kinds": line_kinds,
     "episodes": episodes,
+    "streamed_episodes": streamed_episodes,
     "dialogue_files": dialogue_files,
     "source_union": source_union,
     "first_fact_personas": first_facts,

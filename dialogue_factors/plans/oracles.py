@@ -175,6 +175,12 @@ SELECT conv_id, turn, kind, number, is_start, is_persona, contains(line, '{PERSO
   CASE WHEN contains(line, '{PERSONA_MARKER}') THEN {_strip(f"split_part(line, '{PERSONA_MARKER}', 2)")} END AS fact_between,
   is_dialogue, len(string_split(rest, chr(9))) = 2 AS exactly_two, said, reply FROM parsed""",
     "episodes": f"WITH {_EPISODES} SELECT * FROM records",
+    "streamed_episodes": f"""WITH {_LINES},
+        placed AS (SELECT *, (conv_id % 8)::VARCHAR AS source, sum(is_start::INT) OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn, kind) AS episode
+          FROM parsed WHERE is_persona OR is_dialogue)
+        SELECT source, episode::BIGINT AS episode, 0::BIGINT AS part, lower(string_agg(fact, ' ' ORDER BY conv_id, turn, kind)) AS persona_text,
+          string_agg(said || chr(9) || reply, chr(9) ORDER BY conv_id, turn, kind) AS utterances, 2 * count(said) AS n_utterances
+        FROM placed GROUP BY source, episode HAVING count(fact) > 0 AND count(said) > 0""",
     "dialogue_files": f"WITH {_EPISODES} SELECT * FROM records",
     "source_union": f"""
 WITH {_LINES},

@@ -2,7 +2,7 @@
 
 Parsing, cleaning, nearest-centre assignment and linear heads keep no state, so
 the batch functions accept a streaming DataFrame as it is. Segmentation into
-episodes depends on line order and stays a batch step.
+episodes depends on line order and keeps state: see `streaming/episodes.py`.
 """
 
 from __future__ import annotations
