@@ -34,6 +34,11 @@ class Settings:
     min_text_length: int = 3
     max_tokens: int = 64
     vocabulary_size: int = 30_000
+    word_vocabulary: int = 20_000
+    word_window: int = 4
+    word_dims: int = 100
+    word_rounds: int = 3
+    word_smoothing: float = 1e-3
     persona_dim: int = 128
     content_dim: int = 128
     classes: int = 14

@@ -35,6 +35,7 @@ from dialogue_factors.operators.order import place_in_order
 from dialogue_factors.operators.probe import leakage, nearest_mean_predictions
 from dialogue_factors.operators.reduce import covariance, map_2d, reduce_vectors
 from dialogue_factors.operators.silhouette import row_silhouettes, silhouette_squared
+from dialogue_factors.operators.word_vectors import count_pairs, encode_with_words, fit_word_vectors, positive_pmi, word_table
 from dialogue_factors.plans.label_dialogue import label_lines
 from dialogue_factors.session import materialize, scratch_path
 from dialogue_factors.sources.dialogue_lines import read_lines
@@ -333,6 +334,21 @@ def tfidf(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def word_pmi(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of the 1,000 most frequent words that lie near each other more than by chance."""
+    texts, settings = documents(spark, folder), replace(SETTINGS, word_vocabulary=1000)
+    words = word_table(texts, settings=settings)
+    pairs = materialize(count_pairs(texts, words, settings=settings), "pairs")
+    name = lambda c: F.broadcast(words.select(F.col("word").alias(c), F.col("token").alias(f"{c}_token")))
+    named = positive_pmi(pairs).join(name("word"), "word").join(name("context"), "context")
+    return named.select(F.col("word_token").alias("word"), F.col("context_token").alias("context"), "n", rounded("pmi"))
+
+
+def corpus_encoder(spark: SparkSession, folder: str) -> DataFrame:
+    texts = documents(spark, folder)
+    return encode_with_words(texts, "doc_id", fit_word_vectors(texts))
+
+
 def token_encoding(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode_tokens(documents(spark, folder))
     flat = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ").alias(c)
@@ -497,6 +513,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leakage_nearest_mean": leakage_nearest_mean,
     "hashed_tfidf": tfidf,
     "encode_tokens": token_encoding,
+    "word_pmi": word_pmi,
+    "corpus_encoder": corpus_encoder,
     "labelled_dialogue": labelled_dialogue,
     "labelled_split_sizes": labelled_split_sizes,
 }

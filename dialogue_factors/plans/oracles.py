@@ -314,6 +314,20 @@ df AS (SELECT bucket, count(*) AS holding FROM c GROUP BY bucket),
 w AS (SELECT doc_id, bucket, n * ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (holding + 1.0::DOUBLE)) AS weight FROM c JOIN df USING (bucket)),
 u AS (SELECT doc_id, bucket, weight, sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS length FROM w)
 SELECT doc_id, bucket::INT AS bucket, round(weight / length, 6) AS weight FROM u WHERE weight <> 0""",
+    "word_pmi": f"""
+WITH t AS (
+  SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM (SELECT doc_id, {_TOKENS} AS tokens FROM documents)),
+vocabulary AS (SELECT token FROM (SELECT token, count(*) AS n FROM t GROUP BY token) ORDER BY n DESC, token LIMIT 1000),
+k AS (SELECT t.* FROM t JOIN vocabulary USING (token)),
+near AS (
+  SELECT a.token AS word, b.token AS context FROM k a JOIN (SELECT *, unnest(range(1, {SETTINGS.word_window} + 1)) AS step FROM k) b
+  ON a.doc_id = b.doc_id AND a.pos = b.pos - b.step),
+both_ways AS (SELECT word, context FROM near UNION ALL SELECT context, word FROM near),
+pairs AS (SELECT word, context, count(*) AS n FROM both_ways GROUP BY ALL),
+margins AS (SELECT word, sum(n)::DOUBLE AS margin FROM pairs GROUP BY word)
+SELECT p.word, p.context, n, round(ln(n * (SELECT sum(margin) FROM margins) / (a.margin * b.margin)), 6) + 0.0 AS pmi
+FROM pairs p JOIN margins a ON a.word = p.word JOIN margins b ON b.word = p.context
+WHERE ln(n * (SELECT sum(margin) FROM margins) / (a.margin * b.margin)) > 0""",
     "encode_tokens": f"""
 WITH d AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents),
 t AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM d),
