@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialogue_factors.llm.common import batch, bounded, chunks, keyed, utf8
 from dialogue_factors.llm.components import components
@@ -218,7 +218,8 @@ def share_regions(prefixes: DataFrame) -> DataFrame:
     sizes. Any two sets that may be linked are in one region.
 
     Left out are sets that share fewer shingles of their prefix with all others together
-    than they must with one, and members of a region with no other of like size.
+    than they must with one, members of a region with no other of like size, and regions
+    within other regions.
     """
     rare = prefixes.where("kind = 0").select("bucket", "base", "tokens", "refs").groupBy("bucket")
     rare = rare.applyInPandas(_regions_of_bucket, "pivot long, ref long, shared long")
@@ -228,13 +229,38 @@ def share_regions(prefixes: DataFrame) -> DataFrame:
     pairs = materialize(rare.unionByName(often).groupBy("pivot", "ref").agg(F.sum("shared").alias("shared")), "pairs")
     named = prefixes.where("kind = 2").select("ref", "s1", "s2", "n")
     partner = F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / SHARED_PART) + 1
-    enough = pairs.groupBy("ref").agg(F.sum("shared").alias("shared")).join(named, "ref").where(F.col("shared") >= partner)
+    # Two linked sets share `partner` shingles or more. If each leaves the regions where it
+    # shares least, below half as many in all, some region still holds both.
+    own = Window.partitionBy("ref")
+    upto = own.orderBy("shared", "pivot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = pairs.join(named, "ref").select(
+        "pivot", "s1", "s2", "n", partner.alias("partner"), F.sum("shared").over(own).alias("total"), F.sum("shared").over(upto).alias("sofar")
+    )
+    strong = placed.where((F.col("total") >= F.col("partner")) & (F.col("sofar") * 2 > F.col("partner") - 1))
     pivots = named.select(F.col("ref").alias("pivot"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    members = pairs.drop("shared").join(enough.drop("shared"), "ref").join(pivots, "pivot").select("b1", "b2", "s1", "s2", "n").distinct()
+    members = strong.join(pivots, "pivot").select("b1", "b2", "s1", "s2", "n").distinct()
     members = materialize(members.withColumn("class", F.floor(F.log("n") / F.log(F.lit(SIZE_CLASS)))), "members")
     near = members.groupBy("b1", "b2", "class").count().select("b1", "b2", "count", F.explode(F.array([F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
     several = near.groupBy("b1", "b2", "class").agg(F.sum("count").alias("like")).where("like > 1").drop("like")
-    return materialize(members.join(several, ["b1", "b2", "class"]).drop("class"), "members")
+    return without_contained(materialize(members.join(several, ["b1", "b2", "class"]).drop("class"), "members"))
+
+
+def without_contained(members: DataFrame) -> DataFrame:
+    """Members without the regions all of whose sets are together in another region.
+
+    A region that holds another one holds its least set too, so it is looked for among the
+    regions of that set: the largest one (ties by name), unless it is the region itself.
+    """
+    sized = members.groupBy("b1", "b2").agg(F.count("*").alias("size"), F.min(F.struct("s1", "s2")).alias("anchor"))
+    sized = materialize(sized, "regions")
+    largest = members.join(sized.select("b1", "b2", "size"), ["b1", "b2"]).groupBy("s1", "s2").agg(F.max(F.struct("size", "b1", "b2")).alias("top"))
+    inside = sized.select("b1", "b2", "size", F.col("anchor.s1").alias("s1"), F.col("anchor.s2").alias("s2")).join(largest, ["s1", "s2"])
+    inside = inside.where("b1 <> top.b1 or b2 <> top.b2").select("b1", "b2", "size", F.col("top.b1").alias("t1"), F.col("top.b2").alias("t2"))
+    inside = materialize(inside, "inside")
+    others = members.select(F.col("b1").alias("t1"), F.col("b2").alias("t2"), "s1", "s2")
+    held = members.select("b1", "b2", "s1", "s2").join(inside, ["b1", "b2"]).join(others, ["t1", "t2", "s1", "s2"])
+    contained = held.groupBy("b1", "b2", "size").agg(F.count("*").alias("held")).where("held = size").select("b1", "b2")
+    return materialize(members.join(bounded(materialize(contained, "contained"), 16), ["b1", "b2"], "left_anti"), "members")
 
 
 # ---- joins inside a task ---------------------------------------------------------
@@ -482,23 +508,33 @@ def link_sets(rows: DataFrame, described: DataFrame, words: Broadcast) -> DataFr
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """`doc_id, key_id, key_text, n_shingles, component_id` of every row.
+    """`doc_id, key_id, key_text, n_shingles, component_id, root` of every row.
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case. A document's
     set is its distinct five-word shingles (64-bit hashes), or its whole sequence as one if
     it has fewer words. Two rows are linked if their sets' Jaccard similarity is 0.75 or
     more, which is tested on the whole sets; `component_id` is the least `doc_id` that links
     lead to. Rows without words (null, empty or blank text) are linked with nothing and are
-    their own component. Rows of equal sets are one class, compared once. A component of
-    null ids only has a null id.
+    their own component. Rows of equal sets are one class, compared once. `root` names the
+    component whatever its ids (null without words): rows of one id may lie in several, and
+    a component of null ids only has a null `component_id`.
     """
     rows = keyed(docs)
     words = frequent_words(rows)
     described = describe_sets(rows, words)
     roots = materialize(components(link_sets(rows, described, words)), "roots")
-    sets = described.where("kind = 0").withColumn("node", F.concat(F.hex("s1"), F.lit(":"), F.hex("s2")))
-    sets = sets.join(bounded(roots, 80), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = sets.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    full = sets.where("n > 0").join(least, "root").select("doc_id", "key_id", "key_text", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    blank = sets.where("n = 0").select("doc_id", "key_id", "key_text", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(blank)
+    name = F.concat(F.hex("s1"), F.lit(":"), F.hex("s2"))
+    sets = described.where("kind = 0").withColumn("node", F.when(F.col("n") > 0, name))
+    # One row per distinct set first: copies, however many, meet nobody in the joins below.
+    classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows"))
+    classes = materialize(classes.join(roots, "node", "left"), "classes")
+    least = classes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("own").alias("least"), F.sum("rows").alias("rows")).where("rows > 1")
+    linked_to = classes.withColumn("root", F.coalesce("root", "node")).join(bounded(materialize(least.drop("rows"), "least"), 48), "root")
+    linked_to = materialize(linked_to.select("node", "root", "least"), "linked")
+    full = sets.where("n > 0").join(bounded(linked_to, 80), "node", "left").select(
+        "doc_id", "key_id", "key_text", F.col("n").alias("n_shingles"),
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "node").alias("root"),
+    )
+    return full.unionByName(sets.where("n = 0").select(
+        "doc_id", "key_id", "key_text", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("root"),
+    ))
