@@ -29,13 +29,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, that of the least id; of
-    equal rows one. A document without an id stays if its component has no other."""
+    """One document of each component of near duplicates stays: that of the least id (rows
+    without id last), of several with it that of the least text hash, and of equal rows
+    one. Documents without words are linked with nothing and all stay."""
     keys = materialize(near_duplicates(docs), "components")
-    first = keys.where("doc_id = component_id or component_id is null").groupBy("doc_id", "key_id").agg(F.min("key_text").alias("key_text"))
-    lone = keys.where("component_id is null").select("key_id", "key_text")
-    kept = _by_key(docs, first.where("doc_id is not null").select("key_id", "key_text").unionByName(lone), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), "key_text", "key_id")
+    groups = keys.where("root is not null").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    first = materialize(groups.select("first.key_id", "first.key_text", "root", "rows"), "first")
+    blank = keys.where("root is null").select("key_id", "key_text")
+    kept = _by_key(docs, first.select("key_id", "key_text").unionByName(blank), "left_semi")
+    # Only rows that are in the table several times need a comparison of their texts.
+    chosen = first.where("rows > 1").select("key_id", "key_text")
+    several = keys.join(bounded(chosen, 24), ["key_id", "key_text"], "left_semi").groupBy("key_id", "key_text").count().where("count > 1")
+    several = materialize(several.select("key_id", "key_text"), "several")
+    if several.isEmpty():
+        return kept
+    return _by_key(kept, several, "left_anti").unionByName(_by_key(kept, several, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
