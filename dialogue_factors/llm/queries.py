@@ -62,7 +62,7 @@ def op8_kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     leaks = find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return leaks.select("doc_id", "item_id", "item_start", "doc_start", "doc_end", "edits")
+    return leaks.select("doc_id", "item_id", "item_start", "item_end", "doc_start", "doc_end", "edits")
 
 
 def op10_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
