@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialogue_factors.llm.common import batch, bounded, chunks, keyed, utf8
+from dialogue_factors.llm.common import batch, bounded, chunks, keyed, mix, utf8
 from dialogue_factors.session import materialize
 
 ORDER = 5
@@ -20,6 +20,8 @@ START = 0
 SHARD_ENTRIES = 2_000_000
 # Symbols of a stretch of text that is judged by itself.
 STRETCH = 8
+# What a word says for the toxic model counts above the first and up to the second of these.
+WORD_EVIDENCE = (0.5, 3.0)
 # Distinct n-grams that a counting task holds before it passes them on.
 HELD_NGRAMS = 4_000_000
 
@@ -222,16 +224,54 @@ def worst_stretch(ratios: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(stretch, offsets[:-1][sizes > 0]) if len(ratios) else np.zeros(0)
 
 
+def worst_family(ratios: np.ndarray, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The most evidence of each text that distinct words with one beginning, their first
+    `ORDER` symbols, give together: insults come in many forms, and a rare word that only
+    happens to be likelier under the toxic model comes alone."""
+    out = np.zeros(len(offsets) - 1)
+    symbol = keys & mask(1)
+    blank = (symbol == 32) | ((symbol >= 9) & (symbol <= 13))
+    edge = np.zeros(len(keys) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(~blank & (edge[:-1] | np.concatenate([[True], blank[:-1]])))
+    if not len(starts):
+        return out
+    ends = np.flatnonzero(~blank & (edge[1:] | np.concatenate([blank[1:], [True]]))) + 1
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
+    after = np.where(edge[ends], ends, np.minimum(ends + 1, len(keys)))  # the blank behind a word is part of it
+    least, most = WORD_EVIDENCE
+    said = np.minimum(sums[after] - sums[starts] - least, most)
+    chosen = np.flatnonzero((said > 0) & (ends - starts > ORDER))
+    starts, ends, said = starts[chosen], ends[chosen], said[chosen]
+    marks = np.isin(symbol[ends - 1], [ord(c) for c in ".,;:!?"])
+    mixed = np.concatenate([[np.uint64(0)], np.cumsum(mix(keys.view(np.uint64)))])
+    word = mixed[ends - marks] - mixed[starts + ORDER - 1]
+    text = np.searchsorted(offsets, starts, "right") - 1
+    order = np.lexsort((-said, word, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (word[order][1:] != word[order][:-1])
+    kept = order[new]
+    family = keys[starts[kept] + ORDER - 1]
+    order = np.lexsort((family, text[kept]))
+    text, family, said = text[kept][order], family[order], said[kept][order]
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(family) != 0)])) if len(text) else np.zeros(0, np.int64)
+    if len(heads):
+        np.maximum.at(out, text[heads], np.add.reduceat(said, heads))
+    return out
+
+
 def score(rows: DataFrame, model: Model, folds: int, *carry: str) -> DataFrame:
     """`carry` columns, `log_probability` and `symbols` of each text, a row for each row;
-    a text is scored by the model that its column `fold` names. `worst`: how much likelier
-    the worst stretch of the whole text is under the fold's second model (null without).
+    a text is scored by the model that its column `fold` names. `worst` and `family`: how
+    much likelier the worst stretch of the whole text, and the worst family of words, are
+    under the fold's second model (null without).
 
-    A task takes the shards of the model one after the other for each chunk of texts: a
-    shard scores the characters that follow its pairs of symbols.
+    A task looks up each distinct key of a chunk of texts once, and takes the shards of
+    the model one after the other: a shard scores the characters that follow its pairs of
+    symbols.
     """
     base = rows.select("text", F.col("fold").cast("int").alias("fold"), "key_id", "key_text", *carry)
-    schema = base.drop("text", "fold").schema.add("log_probability", "double").add("symbols", "long").add("worst", "double")
+    schema = base.drop("text", "fold").schema.add("log_probability", "double").add("symbols", "long").add("worst", "double").add("family", "double")
     context = rows.sparkSession.sparkContext
     shared = [context.broadcast(_shard(model, number)) for number in range(model.shards)]
     floor, both = model.floor, model.taught[:folds] & model.taught[folds:]
@@ -240,22 +280,26 @@ def score(rows: DataFrame, model: Model, folds: int, *carry: str) -> DataFrame:
         for part, texts in _texts(batches, 0):
             keys, offsets = ngram_keys(texts)
             fold = np.repeat(part.column(1).to_numpy().astype(np.int64), np.diff(offsets))
-            values, second = np.zeros(len(keys)), np.zeros(len(keys))
-            place = (((keys >> BITS) & mask(2)) * 0x9E3779B1 >> 8) % len(shared)
+            distinct, at = np.unique(fold << BITS * ORDER | keys, return_inverse=True)
+            own, fold = distinct & mask(ORDER), distinct >> BITS * ORDER
+            values, second = np.zeros(len(own)), np.zeros(len(own))
+            place = (((own >> BITS) & mask(2)) * 0x9E3779B1 >> 8) % len(shared)
             for number, table in enumerate(shared):
                 mine = np.flatnonzero(place == number)
-                values[mine] = log_probabilities(keys[mine], table.value, floor, fold[mine])
-                second[mine] = log_probabilities(keys[mine], table.value, floor, fold[mine] + folds)
+                values[mine] = log_probabilities(own[mine], table.value, floor, fold[mine])
+                second[mine] = log_probabilities(own[mine], table.value, floor, fold[mine] + folds)
                 if len(shared) > 1 and table._path is not None:
                     del table._value  # read again from the executor's disk: one shard in memory
+            values, second = values[at], second[at]
             sums = np.concatenate([[0.0], np.cumsum(values)])
             sizes, worst = np.diff(offsets), np.zeros(len(texts))
             worst[sizes > 0] = worst_stretch(second - values, offsets)
+            family = worst_family(second - values, keys, offsets)
             unknown = (sizes == 0) | ~both[part.column(1).to_numpy()]
             columns = {n: part.column(i) for i, n in enumerate(part.schema.names) if i > 1}
             yield batch(
                 **columns, log_probability=pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), symbols=pa.array(sizes),
-                worst=pa.array(worst, mask=unknown),
+                worst=pa.array(worst, mask=unknown), family=pa.array(family, mask=unknown),
             )
 
     return base.mapInArrow(run, schema)
@@ -287,7 +331,9 @@ def limits(trusted: DataFrame, value: str, quantile: float) -> DataFrame:
     return own.select("lang", (F.col("middle") + reach).alias("limit"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, folds: int = 4) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, folds: int = 4, family_quantile: float = 0.99,
+) -> DataFrame:
     """Perplexity of every document under a model of trusted text, and whether to keep it.
 
     Documents fall into `folds` by crc32 of the id, and each is scored by the model of the
@@ -296,13 +342,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     rejected. A null language is one more language. Documents of a language without any
     trusted document are not rejected for their perplexity.
 
-    A mean over a whole text hides a few insults, so a text is also judged by its worst
-    stretch: that of the highest ratio of a model of the labelled toxic texts to the model
-    of the trusted ones, both of the other folds. It grows with the logarithm of a text's
-    length, as fitted on trusted documents, and what exceeds that has a limit for each
-    language too (the highest of all for a language without trusted text). `toxic` is true
-    over the limit; `keep` speaks of perplexity only, so keep what is `keep and not toxic`.
-    Without toxic or without trusted labels nothing is toxic.
+    A mean over a whole text hides a few insults, so a text is also judged by what speaks
+    for a model of the labelled toxic texts against the model of the trusted ones, both of
+    the other folds: in its worst stretch, and in its worst family of words (see
+    `worst_family`). Both grow with the logarithm of a text's length, as fitted on trusted
+    documents, and what exceeds that has a limit for each language too (the highest of all
+    for a language without trusted text), at `quantile` and `family_quantile`. `toxic` is
+    true over either; `keep` speaks of perplexity only, so keep what is `keep and not
+    toxic`. Without toxic or without trusted labels nothing is toxic.
 
     Returns `doc_id, key_id, key_text, lang, perplexity, threshold, keep, toxic`, a row for
     each row. Null and empty texts have a null perplexity and are rejected.
@@ -319,16 +366,20 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack:
     size = F.when(F.col("symbols") > 0, F.log("symbols"))
     scored = score(rows, model, folds, "doc_id", "lang").withColumn("surprisal", surprisal).withColumn("size", size)
     scored = materialize(scored.drop("log_probability", "symbols"), "scored")
-    held = materialize(scored.where("surprisal is not null").join(good, "doc_id", "left_semi").select("lang", "surprisal", "size", "worst"), "held")
+    held = scored.where("surprisal is not null").join(good, "doc_id", "left_semi").select("lang", "surprisal", "size", "worst", "family")
+    held = materialize(held, "held")
     by_lang = limits(held, "surprisal", quantile).select("lang", (F.exp("limit") * slack).alias("threshold"))
-    line = held.agg(F.regr_slope("worst", "size").alias("slope"), F.regr_intercept("worst", "size").alias("base")).first()
-    excess = F.col("worst") - (line.base or 0.0) - (line.slope or 0.0) * F.col("size")
-    worst_by_lang = materialize(limits(held.where("worst is not null").withColumn("excess", excess), "excess", quantile).withColumnRenamed("limit", "most"), "limits")
-    highest = F.lit(worst_by_lang.agg(F.max("most").alias("most")).first()["most"]).cast("double")
     threshold = F.coalesce("threshold", F.lit(float("inf")))
-    judged = scored.join(F.broadcast(by_lang), "lang", "left").join(F.broadcast(worst_by_lang), "lang", "left")
+    judged, toxic = scored.join(F.broadcast(by_lang), "lang", "left"), F.lit(False)
+    for sign, share in (("worst", quantile), ("family", family_quantile)):
+        line = held.agg(F.regr_slope(sign, "size").alias("slope"), F.regr_intercept(sign, "size").alias("base")).first()
+        excess = F.col(sign) - (line.base or 0.0) - (line.slope or 0.0) * F.col("size")
+        most = limits(held.where(F.col(sign).isNotNull()).withColumn("excess", excess), "excess", share)
+        most = materialize(most.withColumnRenamed("limit", f"most_{sign}"), "limits")  # a row per language
+        highest = F.lit(most.agg(F.max(f"most_{sign}").alias("most")).first()["most"]).cast("double")
+        judged = judged.join(F.broadcast(most), "lang", "left")
+        toxic = toxic | F.coalesce((excess > F.coalesce(f"most_{sign}", highest)) & (F.col(sign) > 0), F.lit(False))
     return judged.withColumn("perplexity", F.exp("surprisal")).select(
         "doc_id", "key_id", "key_text", F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity",
-        threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("keep"),
-        F.coalesce((excess > F.coalesce("most", highest)) & (F.col("worst") > 0), F.lit(False)).alias("toxic"),
+        threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("keep"), toxic.alias("toxic"),
     )

@@ -18,7 +18,7 @@ import corpus_pipeline
 from dialogue_factors.llm import bitplanes, jaccard_join, suffix_dedup, tokens
 from dialogue_factors.llm.decontaminate import find_leaks
 from dialogue_factors.llm.invertible_sketch import fingerprints
-from dialogue_factors.llm.kneser_ney import classify, fit, log_probabilities, ngram_keys, _shard
+from dialogue_factors.llm.kneser_ney import classify, fit, log_probabilities, ngram_keys, worst_family, _shard
 from dialogue_factors.llm.lookup_shards import assign_shards, fill_table, moved_rows
 from dialogue_factors.llm.mixture_language import predict_languages
 from dialogue_factors.llm.packing import binary_lengths, pack_powers_of_two
@@ -287,16 +287,39 @@ def test_kneser_ney_rare_languages(spark, data):
     assert all(got[r[0]].keep for r in clean) and not all(r.keep for r in got.values())
 
 
+# Ten times as many labels as in these tables give the shares that the README reports.
+LEAST_TOXIC = {"en": 0.95, "de": 0.7, "es": 0.5, "fr": 0.7}
+
+
+def test_worst_family_against_loops():
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice(["insulta", "insultb", "insulte.", "abcdefg", "x", "insult"]) for _ in range(draw.randint(0, 9))) + draw.choice(["", " "]) for _ in range(50)]
+    keys, offsets = ngram_keys(texts)
+    ratios = np.random.default_rng(4).normal(0.1, 0.4, len(keys))
+    for t, low, got in zip(texts, offsets, worst_family(ratios, keys, offsets)):
+        words = {}
+        for m in re.finditer(r"\S+", t):
+            said = min(ratios[low + m.start():low + min(m.end() + 1, len(t))].sum() - 0.5, 3.0)
+            if said > 0 and m.end() - m.start() > 5:
+                name = m.group().rstrip(".")
+                words[name] = max(words.get(name, 0), said)
+        families = Counter()
+        for w, said in words.items():
+            families[w[:5]] += said
+        assert abs(got - max(families.values(), default=0)) < 1e-9
+
+
 def test_kneser_ney_toxic(spark, data):
     folder = data.replace("sf0.001", "sf0.01")
     rows = {r.doc_id: r for r in QUERIES["op8_kneser_ney_quality"](spark, folder).collect()}
     labels = small(spark, folder, "labels").collect()
-    # Toxic documents in other languages than English hold no insult.
     toxic = [rows[r.doc_id] for r in labels if r.quality == 1 and r.toxic == 1]
     clean = [rows[r.doc_id] for r in labels if r.quality == 1 and r.toxic == 0]
-    english = [r for r in toxic if r.lang == "en"]
-    assert len(english) > 20 and np.mean([not r.keep for r in english]) > 0.9
-    assert np.mean([not r.keep for r in clean]) < 0.03
+    poor = [rows[r.doc_id] for r in labels if r.quality == 0]
+    rejected = lambda some: np.mean([not r.keep for r in some])
+    assert rejected(toxic) > 0.9 and rejected(clean) < 0.03 and rejected(poor) > 0.8
+    for lang in ("en", "de", "es", "fr"):  # each judged by models that did not see it
+        assert rejected([r for r in toxic if r.lang == lang]) >= LEAST_TOXIC[lang], lang
     docs, labels = small(spark, data), small(spark, data, "labels")
     assert classify(docs, labels.where("toxic = 0")).where("toxic").count() == 0
 
