@@ -18,16 +18,20 @@ from dialogue_factors.llm.tokens import default_tokenizer
 from dialogue_factors.session import materialize
 
 # Words next to a value that speak for or against a secret.
-KEY_WORDS = ("secret", "token", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private")
+KEY_WORDS = ("secret", "token", "pass", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private")
 HARMLESS_WORDS = ("example", "sample", "dummy", "placeholder", "fake", "test", "commit", "revision", "checksum", "sha1", "sha256", "md5", "digest", "uuid", "id", "version", "order", "card", "phone", "call", "account", "isbn", "image")
 FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "symbols", "class_changes", "transitions",
     "dictionary", "in_path", "path_hint", "key_word", "harmless_word", "assigned", "quoted", "distinct",
 )
+# A private-key header; the password of a URL; a value after = or :, up to the next blank or
+# quote and without closing marks, unless a further assignment or a URL begins there;
+# a run of key characters.
 CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]{0,40}[0-9])[A-Za-z0-9+/_=\-]{16,}"
-    r"|(?<=[=:]['\" ])[^\s\"'<>;,]{8,}|(?<=[=:] ['\"])[^\s\"'<>;,]{8,}"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"|://[^\s/:@\"']*:(?P<login>[^\s@\"']{3,})@"
+    r"|[=:]\s?[\"']?(?!//|[A-Za-z_][\w.+\-]*(?:=[^\s=\"']|://))(?P<value>[^\s\"'<>]{7,}[^\s\"'<>.,;:)\]}])"
+    r"|(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?"
 )
 PRINTABLE = 96
 # Rows of labelled findings that the forest is fitted on, at most.
@@ -69,8 +73,14 @@ def dictionary_words(tokenizer: str | None = None, shortest: int = 4) -> frozens
     return frozenset(w for w in words if len(w) >= shortest and w.isascii() and w.isalpha())
 
 
+def candidate_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of all candidates of a text, for scanning and for training alike."""
+    for m in CANDIDATE.finditer(text):
+        yield m.span(m.lastgroup or 0)
+
+
 def _coverage(text: str, words: frozenset[str]) -> float:
-    lowered, covered, i = text[:400].lower(), 0, 0
+    lowered, covered, i = text.lower(), 0, 0
     while i < len(lowered):
         size = next((n for n in range(min(14, len(lowered) - i), 3, -1) if lowered[i:i + n] in words), 0)
         covered, i = covered + size, i + max(size, 1)
@@ -112,10 +122,10 @@ def find_candidates(docs: DataFrame, logs: np.ndarray, words: frozenset[str], pa
                 part = rows.slice(low, high - low)
                 at, found = [], []
                 for i, (text, place) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist())):
-                    for m in CANDIDATE.finditer(text):
+                    for begin, end in candidate_spans(text):
                         at.append(i)
-                        digest = hashlib.sha256(m.group().encode("utf-8", "surrogatepass")).hexdigest()
-                        found.append((m.start(), m.end() - m.start(), digest, features(text, m.start(), m.end(), place, logs, words)))
+                        digest = hashlib.sha256(text[begin:end].encode("utf-8", "surrogatepass")).hexdigest()
+                        found.append((begin, end - begin, digest, features(text, begin, end, place, logs, words)))
                 if found:
                     ids = part.take(pa.array(at))
                     start, length, digest, values = zip(*found)
@@ -127,17 +137,28 @@ def find_candidates(docs: DataFrame, logs: np.ndarray, words: frozenset[str], pa
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "key_id", "key_text", "text", "__path").mapInArrow(scan, FOUND)
 
 
-def _secret(draw: random.Random) -> str:
+def _password(draw: random.Random, words: list[str]) -> str:
+    """What people choose: a word in odd spelling with digits and marks."""
+    word = draw.choice(words)
+    word = "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c) if draw.random() < 0.5 else draw.choice((c, c.upper())) for c in word)
+    return word + draw.choice("!@#$%&*") + draw.choice((str(draw.randint(1, 9999)), draw.choice(words).title(), draw.choice("abcXYZ") + str(draw.randint(10, 99))))
+
+
+def _secret(draw: random.Random, words: list[str]) -> str:
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     make = lambda n, alphabet: "".join(draw.choice(alphabet) for _ in range(n))
-    word = draw.choice(("token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret"))
+    name = draw.choice(("token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret", "db_pass", "pgpassword", "passwd", "aws_secret", "private_token"))
+    name = draw.choice((name, name.upper(), f"{draw.choice(words)}_{name}".upper()))
     value = draw.choice((
         make(40, "0123456789abcdef"), make(32, "0123456789abcdef"), make(64, "0123456789abcdef"), "AKIA" + make(16, letters[:26] + "234567"),
-        make(40, letters + "+/"), "ghp_" + make(36, letters), "sk_live_" + make(24, letters), make(draw.randint(10, 20), letters + "!@#$%^&*"),
-        "eyJ" + make(60, letters + "_-"),
+        make(40, letters + "+/"), make(40, letters[:52] + "+/"), "ghp_" + make(36, letters), "sk_live_" + make(24, letters),
+        make(draw.randint(10, 20), letters + "!@#$%^&*"), "eyJ" + make(60, letters + "_-"), _password(draw, words), _password(draw, words),
     ))
-    form = draw.choice(('{} = "{}"', "{}={}", "{}: {}", '"{}": "{}"', "{} = '{}'"))
-    return form.format(word, "\0" + value + "\0")
+    if draw.random() < 0.1:
+        login = draw.choice(words) + ":\0" + value.replace("@", "!").replace("/", "x") + "\0"
+        return f"{draw.choice(('postgres', 'mysql', 'https', 'amqp'))}://{login}@{draw.choice(words)}.internal/{draw.choice(words)}"
+    form = draw.choice(('{} = "{}"', "{}={}", "{}={}", "export {}={}", "{}: {}", '"{}": "{}"', "{} = '{}'"))
+    return form.format(name, "\0" + value + "\0")
 
 
 def _decoy(draw: random.Random, words: list[str]) -> str:
@@ -151,19 +172,26 @@ def _decoy(draw: random.Random, words: list[str]) -> str:
         f"token = \"\0YOUR_{word().upper()}_TOKEN_{make(2, '0123456789')}\0\"", f"api_key: \0{word()}_{word()}_{word()}_1\0",
         f"card \0{make(16, '0123456789')}\0", f"call \0{make(3, '0123456789')}-{make(3, '0123456789')}-{make(4, '0123456789')}-{make(4, '0123456789')}\0",
         f"note: \0{word()}{word()}{word()}\0", f"{word()}: \0{word()}{word()}\0", f"{word()} \0{word()}-{word()}-{word()}-{draw.randint(1, 99)}\0",
-        f"order \0{make(20, '0123456789')}\0", f"secret = \0{word()}{word()}\0", f"image \0{word()}_{make(8, '0123456789')}_{word()}\0",
+        f"{word().upper()}_DIR=\0/{word()}/{word()}/{word()}\0", f"{word()}={word()}&{word()}=\0{word()}{word()}\0", f"{word()} \0{word()}{word()}{word()}{word()}\0",
+        f"{word()}: \0{word()}/{word()}\0", f"at: \0{make(4, '0123456789')}-{make(2, '0123456789')}-{make(2, '0123456789')}T{make(2, '0123456789')}\0",
+        f"https://{word()}:\0{make(4, '0123456789')}/{word()}/{word()}\0", f"order \0{make(20, '0123456789')}\0", f"secret = \0{word()}{word()}\0", f"image \0{word()}_{make(8, '0123456789')}_{word()}\0",
     ))
 
 
 def labelled_findings(docs: DataFrame, logs: np.ndarray, words: frozenset[str], documents: int = 2000) -> DataFrame:
     """`label, features`: secrets and look-alikes set into real text.
 
-    A sample of `documents` texts, by hash of the id, lends its words as neighbours; each
-    gets three made secrets (label 1) and six look-alikes (label 0), drawn from its id.
+    A sample of `documents` texts, by hash of id and text, lends its words as neighbours;
+    each gets three made secrets (label 1) and six look-alikes (label 0), drawn from its
+    id. The ids are chosen first, and only their texts are shuffled.
     """
-    chosen = docs.where("text is not null and doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text"
-    ).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    known = docs.where("text is not null and doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text"
+    )
+    ids = known.select("doc_id", "key").distinct().orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(documents)
+    ids = materialize(ids, "sample")
+    chosen = known.join(F.broadcast(ids), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.first("text").alias("text"))
+    chosen = chosen.repartition("doc_id").select("doc_id", "text")
     model = docs.sparkSession.sparkContext.broadcast((logs, words))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,16 +205,18 @@ def labelled_findings(docs: DataFrame, logs: np.ndarray, words: frozenset[str],
                 own = [w for w in text.split() if w.isalpha()] or ["text"]
                 for j in range(9):
                     label = int(j < 3)
-                    made = _secret(draw) if label else _decoy(draw, plain)
+                    made = _secret(draw, plain) if label else _decoy(draw, plain)
                     left, right = (" ".join(draw.choice(own) for _ in range(draw.randint(0, 12))) for _ in range(2))
                     joint = draw.choice((" ", " ", "\n", "### ", ". "))
                     around = f"{left}{joint}{made}{joint[::-1]}{right}"
                     start = around.index("\0")
                     end = around.index("\0", start + 1) - 1
                     around = around.replace("\0", "")
-                    if CANDIDATE.search(around, max(0, start - 3)) and end > start:
-                        labels.append(label)
-                        values.append(features(around, start, end, "", logs, words))
+                    for a, b in candidate_spans(around):  # as a scan would cut it
+                        if a < end and b > start:
+                            labels.append(label)
+                            values.append(features(around, a, b, "", logs, words))
+                            break
             yield batch(label=pa.array(labels, pa.int32()), features=pa.array(values, pa.list_(pa.float64())))
 
     return chosen.mapInArrow(make, "label int, features array<double>")
@@ -210,8 +240,9 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold:
     """Secrets in all documents: `doc_id, key_id, key_text, start, length, sha256,
     features, probability`, places in code points.
 
-    Candidates are runs of 16 or more key characters with a digit, quoted or assigned
-    values, and private-key headers. `findings` (`label, features`) are labelled findings;
+    Candidates are values of 8 or more characters after = or :, passwords in URLs, runs of
+    16 or more key characters, and private-key headers; whole texts are searched, however
+    long, and the decision is the forest's. `findings` (`label, features`) are labelled findings;
     without them `labelled_findings` makes some. Null and empty texts have none; repeated
     rows have theirs each; other columns are not read, but for `path`.
     """
