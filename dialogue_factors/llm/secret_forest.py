@@ -151,12 +151,14 @@ def _secret(draw: random.Random, words: list[str]) -> str:
     name = draw.choice((name, name.upper(), f"{draw.choice(words)}_{name}".upper()))
     value = draw.choice((
         make(40, "0123456789abcdef"), make(32, "0123456789abcdef"), make(64, "0123456789abcdef"), "AKIA" + make(16, letters[:26] + "234567"),
-        make(40, letters + "+/"), make(40, letters[:52] + "+/"), "ghp_" + make(36, letters), "sk_live_" + make(24, letters),
+        "AKIA" + make(16, letters[:26] + letters[52:]), make(40, letters + "+/"), make(40, letters[:52] + "+/"), "ghp_" + make(36, letters), "sk_live_" + make(24, letters),
         make(draw.randint(10, 20), letters + "!@#$%^&*"), "eyJ" + make(60, letters + "_-"), _password(draw, words), _password(draw, words),
     ))
     if draw.random() < 0.1:
         login = draw.choice(words) + ":\0" + value.replace("@", "!").replace("/", "x") + "\0"
         return f"{draw.choice(('postgres', 'mysql', 'https', 'amqp'))}://{login}@{draw.choice(words)}.internal/{draw.choice(words)}"
+    if value.startswith(("AKIA", "ghp_", "sk_live_", "eyJ")) and draw.random() < 0.6:
+        return "\0" + value + "\0"  # kinds of keys that also stand alone
     form = draw.choice(('{} = "{}"', "{}={}", "{}={}", "export {}={}", "{}: {}", '"{}": "{}"', "{} = '{}'"))
     return form.format(name, "\0" + value + "\0")
 
@@ -174,7 +176,8 @@ def _decoy(draw: random.Random, words: list[str]) -> str:
         f"note: \0{word()}{word()}{word()}\0", f"{word()}: \0{word()}{word()}\0", f"{word()} \0{word()}-{word()}-{word()}-{draw.randint(1, 99)}\0",
         f"{word().upper()}_DIR=\0/{word()}/{word()}/{word()}\0", f"{word()}={word()}&{word()}=\0{word()}{word()}\0", f"{word()} \0{word()}{word()}{word()}{word()}\0",
         f"{word()}: \0{word()}/{word()}\0", f"at: \0{make(4, '0123456789')}-{make(2, '0123456789')}-{make(2, '0123456789')}T{make(2, '0123456789')}\0",
-        f"https://{word()}:\0{make(4, '0123456789')}/{word()}/{word()}\0", f"order \0{make(20, '0123456789')}\0", f"secret = \0{word()}{word()}\0", f"image \0{word()}_{make(8, '0123456789')}_{word()}\0",
+        f"{word().upper()} \0{word().upper()}{word().upper()}{word().upper()}{word().upper()}\0!!", f"\0{make(draw.randint(16, 24), 'AEIOULMNRSTCHDGP')}\0",
+        f"{word()} \0{make(draw.randint(16, 24), 'aeioulmnrstchdgp')}\0", f"https://{word()}:\0{make(4, '0123456789')}/{word()}/{word()}\0", f"order \0{make(20, '0123456789')}\0", f"secret = \0{word()}{word()}\0", f"image \0{word()}_{make(8, '0123456789')}_{word()}\0",
     ))
 
 
