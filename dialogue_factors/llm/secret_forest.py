@@ -22,7 +22,7 @@ KEY_WORDS = ("secret", "token", "pass", "pwd", "apikey", "api_key", "api-key", "
 HARMLESS_WORDS = ("example", "sample", "dummy", "placeholder", "fake", "test", "commit", "revision", "checksum", "sha1", "sha256", "md5", "digest", "uuid", "id", "version", "order", "card", "phone", "call", "account", "isbn", "image")
 FEATURES = (
     "length", "entropy", "digits", "upper", "lower", "symbols", "class_changes", "transitions",
-    "dictionary", "in_path", "path_hint", "key_word", "harmless_word", "assigned", "quoted", "distinct",
+    "dictionary", "in_path", "path_hint", "key_word", "harmless_word", "assigned", "quoted", "distinct", "login",
 )
 # A private-key header; the password of a URL; a value after = or :, up to the next blank or
 # quote and without closing marks, unless a further assignment or a URL begins there;
@@ -104,6 +104,7 @@ def features(text: str, start: int, end: int, path: str, logs: np.ndarray, words
         float(any(w in path.lower() for w in ("test", "example", "sample", "fixture", "mock"))),
         float(any(k in w for k in KEY_WORDS for w in near)), float(any(w in HARMLESS_WORDS for w in near)),
         float(last in ("=", ":")), float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')), len(counts) / n,
+        float(after[:1] == "@" and "://" in before.split(" ")[-1]),
     ]
 
 
@@ -154,7 +155,7 @@ def _secret(draw: random.Random, words: list[str]) -> str:
         "AKIA" + make(16, letters[:26] + letters[52:]), make(40, letters + "+/"), make(40, letters[:52] + "+/"), "ghp_" + make(36, letters), "sk_live_" + make(24, letters),
         make(draw.randint(10, 20), letters + "!@#$%^&*"), "eyJ" + make(60, letters + "_-"), _password(draw, words), _password(draw, words),
     ))
-    if draw.random() < 0.1:
+    if draw.random() < 0.15:
         login = draw.choice(words) + ":\0" + value.replace("@", "!").replace("/", "x") + "\0"
         return f"{draw.choice(('postgres', 'mysql', 'https', 'amqp'))}://{login}@{draw.choice(words)}.internal/{draw.choice(words)}"
     if value.startswith(("AKIA", "ghp_", "sk_live_", "eyJ")) and draw.random() < 0.6:
@@ -177,7 +178,7 @@ def _decoy(draw: random.Random, words: list[str]) -> str:
         f"{word().upper()}_DIR=\0/{word()}/{word()}/{word()}\0", f"{word()}={word()}&{word()}=\0{word()}{word()}\0", f"{word()} \0{word()}{word()}{word()}{word()}\0",
         f"{word()}: \0{word()}/{word()}\0", f"at: \0{make(4, '0123456789')}-{make(2, '0123456789')}-{make(2, '0123456789')}T{make(2, '0123456789')}\0",
         f"{word().upper()} \0{word().upper()}{word().upper()}{word().upper()}{word().upper()}\0!!", f"\0{make(draw.randint(16, 24), 'AEIOULMNRSTCHDGP')}\0",
-        f"{word()} \0{make(draw.randint(16, 24), 'aeioulmnrstchdgp')}\0", f"https://{word()}:\0{make(4, '0123456789')}/{word()}/{word()}\0", f"order \0{make(20, '0123456789')}\0", f"secret = \0{word()}{word()}\0", f"image \0{word()}_{make(8, '0123456789')}_{word()}\0",
+        f"{word()} \0{make(draw.randint(16, 24), 'aeioulmnrstchdgp')}\0", f"{word()}. \0{make(draw.randint(16, 24), 'aeioulmnrstchdgp').title()}\0", f"https://{word()}:\0{make(4, '0123456789')}/{word()}/{word()}\0", f"order \0{make(20, '0123456789')}\0", f"secret = \0{word()}{word()}\0", f"image \0{word()}_{make(8, '0123456789')}_{word()}\0",
     ))
 
 
