@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from dialogue_factors.llm import bitplanes, jaccard_join, suffix_dedup, tokens
 from dialogue_factors.llm.decontaminate import find_leaks
-from dialogue_factors.llm.invertible_sketch import fingerprints
+from dialogue_factors.llm.invertible_sketch import differences, estimate, fingerprints, signed, sketch, subtract
 from dialogue_factors.llm.kneser_ney import classify, fit, log_probabilities, ngram_keys, worst_family, _shard
 from dialogue_factors.llm.lookup_shards import assign_shards, fill_table, moved_rows
 from dialogue_factors.llm.mixture_language import predict_languages
@@ -136,11 +136,13 @@ def test_suffix_dedup(spark, data, monkeypatch):
 
 
 def pieces(text):
-    return {m for p in re.split(r"(?<=[.!?])\s+|\n+", text) for m in re.findall(r"\S+(?:\s+\S+){0,7}", p)}
+    return {m for p in re.split(r"\n+", text) for m in re.findall(r"\S+(?:\s+\S+){0,15}", p)}
 
 
 def test_fingerprints(spark, data):
-    rows = [(d, t) for d, t in texts(spark, data) if len(t or "") < 20_000 and d != 1000004]
+    long = "\n".join(f"paragraph {i} of a very long text" for i in range(3000))
+    rows = texts(spark, data) + [(1000010, long), (1000011, long.replace("paragraph 7 ", "another 7 "))]
+    rows = [r for r in rows if r[0] != 1000004]
     rows = sorted(rows, key=lambda r: -(1 << 62) if r[0] is None else r[0])
     rows = [r for i, r in enumerate(rows) if i == 0 or r[0] != rows[i - 1][0]]
     got = {r.doc_id: r for r in fingerprints(documents(spark, rows)).collect()}
@@ -152,8 +154,29 @@ def test_fingerprints(spark, data):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert abs(r.near_edited - like(pieces(t), pieces(edited))) < 1e-9
         assert abs(r.near_next - like(pieces(t), pieces(following))) < 1e-9
+        assert (r.edited_lost, r.edited_gained) == (len(pieces(t) - pieces(edited)), len(pieces(edited) - pieces(t)))
     assert got[1000008].fingerprint == got[1000009].fingerprint and got[1000008].near_next == 1.0
     assert fingerprints(documents(spark, [])).count() == 0
+    repeated = fingerprints(documents(spark, [(1, "a b\nc"), (1, "a b\nc"), (1, "d"), (None, None), (None, None)])).collect()
+    assert len(repeated) == 5 and sum(r.near_next == 1.0 for r in repeated) == 2
+
+
+def test_peeled_digests(spark):
+    """Peeling gives back the digests themselves, and on which side they are; the sketches
+    made for a small difference of long texts have fewer cells than the texts digests."""
+    draw = random.Random(5)
+    rows = []
+    for n, lost, gained in ((0, 0, 0), (5, 1, 1), (400, 3, 2), (400, 40, 30), (2000, 900, 0), (300, 300, 300)):
+        a = [draw.getrandbits(63) for _ in range(n)]
+        rows.append((a, a[lost:] + [draw.getrandbits(63) for _ in range(gained)]))
+    pairs = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    sa, sb = (sketch(signed(F.col(x), 1)) for x in "ab")
+    got = pairs.select("a", "b", differences(F.col("a"), F.col("b"), sa, sb).alias("d"), estimate(subtract(sa, sb), F.col("a"), F.col("b")).alias("e")).collect()
+    for r in got:
+        assert sorted(k for n, k in r.d if n == 1) == sorted(set(r.a) - set(r.b))
+        assert sorted(k for n, k in r.d if n == -1) == sorted(set(r.b) - set(r.a))
+        assert r.e <= max(len(r.a) + len(r.b), 1) and len(r.d) <= 4 * r.e + 24
+    assert 24 * got[3].e / 6 < len(got[3].a) + len(got[3].b)
 
 
 def brute_components(rows):
