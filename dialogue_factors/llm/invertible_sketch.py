@@ -67,6 +67,11 @@ def _zero() -> Column:
     return _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
 
+def _fold(placed: Column, j: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The entries of cell `j` taken into `start` one by one."""
+    return F.aggregate(placed, start, lambda a, x: F.when(x.j == j, step(a, x)).otherwise(a))
+
+
 def signed(values: Column, sign: int) -> Column:
     """Digests as entries of a sketch, to be added (1) or taken away (-1)."""
     return F.transform(values, lambda d: F.struct(F.lit(sign).cast("long").alias("n"), d.alias("k")))
@@ -78,7 +83,7 @@ def sketch(entries: Column, bits: int = KEPT_BITS) -> Column:
     add = lambda a, x: _cell(a.n + x.n, a.k.bitwiseXOR(x.k), a.c.bitwiseXOR(x.c))
     table = lambda t: let(
         _placed(entries, t, bits),
-        lambda placed: F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda j: F.aggregate(F.filter(placed, lambda x: x.j == j), _zero(), add)),
+        lambda placed: F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda j: _fold(placed, j, _zero(), add)),
     )
     return F.flatten(F.array(*[table(t) for t in range(TABLES)]))
 
@@ -98,7 +103,7 @@ def peel(cells: Column, bits: int = KEPT_BITS) -> Column:
 
     def without(cells: Column, pure: Column) -> Column:
         table = lambda t: let(_placed(pure, t, bits), lambda placed: F.transform(
-            F.slice(cells, (t << bits) + 1, 1 << bits), lambda c, j: F.aggregate(F.filter(placed, lambda x: x.j == j), c, remove)
+            F.slice(cells, (t << bits) + 1, 1 << bits), lambda c, j: _fold(placed, j, c, remove)
         ))
         return F.flatten(F.array(*[table(t) for t in range(TABLES)]))
 
@@ -142,14 +147,16 @@ def _larger(entries: Column, expected: Column) -> Column:
         return F.coalesce(*[peel(sketch(values, bits), bits) for bits in (KEPT_BITS, *RETRIES)], exact(values))
 
     # Groups of groups, so that dealing digests out costs their number times its root.
-    wide = F.ceil(F.sqrt(expected * ESTIMATE_MARGIN / GROUP_DIGESTS)).cast("int")
+    groups = expected * ESTIMATE_MARGIN / GROUP_DIGESTS
+    high = F.ceil(F.sqrt(groups))
+    shape = F.struct(high.cast("int").alias("high"), F.ceil(groups / high).cast("int").alias("wide"))
     part = lambda values, g, w, shift: F.filter(values, lambda v: F.pmod(F.shiftrightunsigned(v.k, shift), w) == g)
     every = lambda w: F.sequence(F.lit(0), w - 1)
 
-    def row(w: Column, g: Column) -> Column:
-        return let(part(entries, g, w, 34), lambda p: F.flatten(F.transform(every(w), lambda h: let(part(p, h, w, 49), group))))
+    def row(s: Column, g: Column) -> Column:
+        return let(part(entries, g, s.high, 34), lambda p: F.flatten(F.transform(every(s.wide), lambda h: let(part(p, h, s.wide, 49), group))))
 
-    return let(wide, lambda w: F.flatten(F.transform(every(w), lambda g: row(w, g))))
+    return let(shape, lambda s: F.flatten(F.transform(every(s.high), lambda g: row(s, g))))
 
 
 def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
