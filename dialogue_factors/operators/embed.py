@@ -58,20 +58,34 @@ def inverse_document_frequency(counts: DataFrame, column: str = "counts") -> np.
     return np.log((row.n + 1.0) / (np.asarray(row.holding) + 1.0)) if row else np.zeros(0)
 
 
-def hashed_tfidf(
+def _hashed_counts(texts: DataFrame, keys: Sequence[str], text: str, dims: int) -> DataFrame:
+    columns = [*keys, *(c for c in ("parts",) if c in texts.columns and c not in keys)]
+    counts = texts.select(*columns, bucket_counts(text, dims).alias("counts"))
+    return merge_parts(counts, keys, "counts") if "parts" in columns else counts
+
+
+def hashed_idf(
     texts: DataFrame, keys: str | Sequence[str], text: str = "text", settings: Settings = Settings(), dims: int | None = None
+) -> np.ndarray:
+    """The term weights that `hashed_tfidf` takes from `texts`, to be kept or given to it."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return inverse_document_frequency(_hashed_counts(texts, keys, text, dims or settings.text_dims))
+
+
+def hashed_tfidf(
+    texts: DataFrame, keys: str | Sequence[str], text: str = "text", settings: Settings = Settings(),
+    dims: int | None = None, idf: np.ndarray | None = None,
 ) -> DataFrame:
     """`(keys, embedding)`: hashed term counts times inverse document frequency, unit length.
 
     Texts never leave their rows: two passes and no shuffle but that of one
-    vector of bucket frequencies. With a `parts` column, parts of a key add up.
+    vector of bucket frequencies; one pass with given weights `idf`, whose number is then
+    the width. With a `parts` column, parts of a key add up.
     """
-    width, keys = dims or settings.text_dims, [keys] if isinstance(keys, str) else list(keys)
-    columns = keys + [c for c in ("parts",) if c in texts.columns]
-    counts = texts.select(*columns, bucket_counts(text, width).alias("counts"))
-    if "parts" in columns:
-        counts = merge_parts(counts, keys, "counts")
-    idf = inverse_document_frequency(counts)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    counts = _hashed_counts(texts, keys, text, dims or (settings.text_dims if idf is None else len(idf)))
+    if idf is None:
+        idf = inverse_document_frequency(counts)
 
     def weigh(x: np.ndarray) -> np.ndarray:
         w = x * idf

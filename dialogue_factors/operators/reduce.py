@@ -34,6 +34,13 @@ def fit_reducer(rows: DataFrame, vector: str, dims: int) -> PipelineModel:
     return PipelineModel([centre, pca, flip])
 
 
+def reducer_rows(model: PipelineModel) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and components (one a row, signs set) of a fitted reducer: a vector x becomes
+    components @ (x - mean)."""
+    centre, pca, flip = model.stages
+    return centre.mean.toArray(), (pca.pc.toArray() * flip.getScalingVec().toArray()).T
+
+
 def apply_reducer(model: PipelineModel, rows: DataFrame, vector: str, output: str = "reduced") -> DataFrame:
     shaped = rows.withColumn("_in", array_to_vector(vector))
     return (

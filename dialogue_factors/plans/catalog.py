@@ -39,6 +39,7 @@ from dialogue_factors.operators.word_vectors import count_pairs, encode_with_wor
 from dialogue_factors.plans.label_dialogue import label_lines
 from dialogue_factors.session import materialize, scratch_path
 from dialogue_factors.sources.dialogue_lines import read_lines
+from dialogue_factors.sources.models import part, read_model, save_model
 from dialogue_factors.sources.records import read_examples, read_k_scores, write_examples, write_k_scores
 from dialogue_factors.streaming.episodes import stream_episodes, write_episodes
 
@@ -387,6 +388,17 @@ def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_mean_predictions(rows, rows, "x", "label").select("vec_id", F.col("prediction").alias("cluster_id"))
 
 
+def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Class means kept as two versions of a run, the older in reverse order, and read back:
+    the nearest mean by the current version and by the older epoch."""
+    rows, store = vectors(spark, folder), scratch_path(spark, "models")
+    means = np.array([r["mean"] for r in class_means(rows, "x", "label").orderBy("label").collect()])
+    for epoch, centres in enumerate((means[::-1], means)):
+        save_model(spark, store, "means", {"centres": part(centres), "mean": part(means.mean(axis=0))}, epoch)
+    current, older = (kmeans.nearest("x", read_model(spark, store, "means", epoch)["centres"][0]) for epoch in (None, 0))
+    return rows.select("vec_id", current.alias("cluster_id"), older.alias("older_id"))
+
+
 def kmeans_fixed_init(spark: SparkSession, folder: str) -> DataFrame:
     rows = materialize(vectors(spark, folder), "vectors")
     begun = kmeans.starts(rows, "vec_id", "x", [5], replace(SETTINGS, kmeans_starts=1), spread=False)
@@ -501,6 +513,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_2d": chart_map,
     "chart_sample": chart_sample,
     "nearest_centroid": nearest_centroid,
+    "model_roundtrip": model_roundtrip,
     "kmeans_fixed_init": kmeans_fixed_init,
     "kmeans_best_of_n": kmeans_best_of_n,
     "k_sweep": k_sweep,

@@ -2,15 +2,18 @@
 
     python -m dialogue_factors.plans.jobs label OUT train.txt valid.txt
     python -m dialogue_factors.plans.jobs analyse OUT
+    python -m dialogue_factors.plans.jobs score OUT new.txt
 
 On a cluster give this file to spark-submit. `analyse` reads the examples that
-`label` left.
+`label` left; `score` needs the models that both left, and fits nothing. Settings are
+flags, such as `--k-max 20 --seed 7 --silhouette-metric euclidean`.
 """
 
 from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +24,8 @@ from dialogue_factors.operators.labels import attach_labels
 from dialogue_factors.operators.reduce import map_2d
 from dialogue_factors.plans.analyse import Analysis, analyse_examples
 from dialogue_factors.plans.label_dialogue import LabelledDialogue, label_lines
-from dialogue_factors.session import build_session
+from dialogue_factors.plans.score import Scored, save_analysis, save_labeller, score_lines
+from dialogue_factors.session import build_session, drop_scratch
 from dialogue_factors.sources.dialogue_lines import read_lines
 from dialogue_factors.sources.records import (
     read_example_tables,
@@ -47,6 +51,7 @@ def label_sources(
     write_cluster_records(attach_labels(persona_texts(result.dialogue.facts, settings), clusters), f"{out}/personas")
     write_k_scores(result.k_scores, f"{out}/k_scores")
     _table(kmeans.centres_table(spark, result.model), f"{out}/centres")
+    save_labeller(spark, f"{out}/models", result)
     stored = read_example_tables(spark, f"{out}/examples")
     _table(reports.class_distribution(stored), f"{out}/class_distribution")
     _table(reports.split_sizes(stored), f"{out}/split_sizes")
@@ -62,20 +67,41 @@ def analyse_labelled(spark: SparkSession, out: str, settings: Settings = Setting
     for name in ("scored", "accuracy", "confusion", "leakage", "persona_map", "chart"):
         _table(getattr(result, name), f"{out}/analysis/{name}")
     _table(result.factors.to_table(spark), f"{out}/analysis/factors")
+    save_analysis(spark, f"{out}/models", result)
     return result
 
 
+def score_sources(spark: SparkSession, sources: Sequence[str], out: str, settings: Settings = Settings()) -> Scored:
+    """Score new dialogue files with the models under `out`; the tables go to `out`/scored."""
+    result = score_lines(read_lines(spark, sources), f"{out}/models", settings)
+    _table(result.speakers, f"{out}/scored/speakers")
+    _table(result.utterances, f"{out}/scored/utterances")
+    return result
+
+
+# Settings that are flags of the command line.
+FLAGS = ("seed", "k_min", "k_max", "kmeans_starts", "pca_dim", "text_dims", "silhouette_metric", "record_lines")
+
+
 def main(arguments: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("step", choices=("label", "analyse"))
+    parser.add_argument("step", choices=("label", "analyse", "score"))
     parser.add_argument("out")
     parser.add_argument("sources", nargs="*")
+    for flag in FLAGS:
+        parser.add_argument(f"--{flag.replace('_', '-')}", type=type(getattr(Settings, flag)), default=getattr(Settings, flag))
     given = parser.parse_args(arguments)
+    settings = replace(Settings(), **{flag: getattr(given, flag) for flag in FLAGS})
     spark = build_session()
-    if given.step == "label":
-        label_sources(spark, given.sources, given.out)
-    else:
-        analyse_labelled(spark, given.out)
+    try:
+        if given.step == "label":
+            label_sources(spark, given.sources, given.out, settings)
+        elif given.step == "analyse":
+            analyse_labelled(spark, given.out, settings)
+        else:
+            score_sources(spark, given.sources, given.out, settings)
+    finally:
+        drop_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from dialogue_factors.config import Settings
 from dialogue_factors.operators import kmeans
-from dialogue_factors.operators.embed import hashed_tfidf
+from dialogue_factors.operators.embed import hashed_idf, hashed_tfidf
 from dialogue_factors.operators.episodes import Dialogue, parse_dialogue, persona_texts
 from dialogue_factors.operators.examples import label_utterances
 from dialogue_factors.operators.ksweep import sweep
-from dialogue_factors.operators.reduce import reduce_vectors
+from dialogue_factors.operators.reduce import apply_reducer, fit_reducer
 from dialogue_factors.operators.reports import best_k
 from dialogue_factors.operators.splits import split_exact
 from dialogue_factors.session import broadcast_if_small, materialize
@@ -24,18 +26,19 @@ class LabelledDialogue:
     dialogue: Dialogue
     vectors: DataFrame  # speaker_id, reduced
     k_scores: DataFrame  # k, silhouette
+    reducer: PipelineModel
     model: kmeans.Clustering  # the fitted model of the chosen k
     speakers: DataFrame  # speaker_id, label, split
     examples: DataFrame  # speaker_id, pos, text, label, split
+    idf: np.ndarray | None = None  # term weights, if personas were embedded by hash
 
 
-def embed_personas(dialogue: Dialogue, settings: Settings = Settings()) -> DataFrame:
-    """`(speaker_id, embedding)` of each speaker's persona text."""
+def persona_table(dialogue: Dialogue, settings: Settings = Settings()) -> DataFrame:
+    """`(speaker_id, part, persona_text, parts)`, stored, as embedding may read it twice."""
     parts = F.expr(f"last_offset div {settings.record_lines} + 1").alias("parts")
     long = broadcast_if_small(dialogue.speakers.select("speaker_id", parts).where("parts > 1"))
     texts = persona_texts(dialogue.facts, settings).join(long, "speaker_id", "left").fillna({"parts": 1})
-    # Stored, as the embedding reads it twice.
-    return hashed_tfidf(materialize(texts, "personas"), "speaker_id", "persona_text", settings)
+    return materialize(texts, "personas")
 
 
 def label_vectors(
@@ -51,16 +54,19 @@ def label_vectors(
     width = stored.select(F.size("embedding").alias("w")).first()
     if width is None:
         raise ValueError("the corpus has no speaker with both persona text and dialogue")
-    reduced = reduce_vectors(stored, "embedding", min(settings.pca_dim, width.w)).select("speaker_id", "reduced")
-    vectors = materialize(reduced, "reduced")
+    reducer = fit_reducer(stored, "embedding", min(settings.pca_dim, width.w))
+    vectors = materialize(apply_reducer(reducer, stored, "embedding").select("speaker_id", "reduced"), "reduced")
     scores, models = sweep(vectors, "speaker_id", "reduced", ks, settings)
     model = models[best_k(scores).first().k]
     labels = kmeans.assign(vectors, "reduced", model, "label").select("speaker_id", "label")
     speakers = materialize(split_exact(labels, "speaker_id", settings), "speakers")
     examples = label_utterances(dialogue.utterances, speakers, settings)
-    return LabelledDialogue(dialogue, vectors, scores, model, speakers, examples)
+    return LabelledDialogue(dialogue, vectors, scores, reducer, model, speakers, examples)
 
 
 def label_lines(lines: DataFrame, settings: Settings = Settings(), ks: Sequence[int] | None = None) -> LabelledDialogue:
     dialogue = parse_dialogue(lines)
-    return label_vectors(dialogue, embed_personas(dialogue, settings), settings, ks)
+    texts = persona_table(dialogue, settings)
+    idf = hashed_idf(texts, "speaker_id", "persona_text", settings)
+    embedded = hashed_tfidf(texts, "speaker_id", "persona_text", settings, idf=idf)
+    return replace(label_vectors(dialogue, embedded, settings, ks), idf=idf)

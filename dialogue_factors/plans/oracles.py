@@ -279,6 +279,12 @@ WITH {_LONG},
 centres AS (SELECT label AS c, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(value) AS m FROM long GROUP BY ALL) GROUP BY label)
 SELECT vec_id, c AS cluster_id FROM (
   SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(x, centre), c) AS r FROM v, centres) WHERE r = 1""",
+    "model_roundtrip": f"""
+WITH {_LONG},
+centres AS (SELECT label AS c, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(value) AS m FROM long GROUP BY ALL) GROUP BY label),
+placed AS (SELECT centre, (row_number() OVER (ORDER BY c) - 1)::INT AS up, (row_number() OVER (ORDER BY c DESC) - 1)::INT AS down FROM centres),
+d AS (SELECT vec_id, up, down, list_distance(x, centre) AS distance FROM v, placed)
+SELECT vec_id, arg_min(up, distance) AS cluster_id, arg_min(down, distance) AS older_id FROM d GROUP BY vec_id""",
     "kmeans_fixed_init": f"WITH {_kmeans([5], [_SEED], 3)} SELECT vec_id, cluster_id::INT AS cluster_id FROM assigned",
     "kmeans_best_of_n": f"""
 WITH {_kmeans([SETTINGS.classes], _STARTS, 10)}, {_BEST_START}

@@ -13,4 +13,6 @@ K_SCORES = "k int, silhouette double"
 HISTORY = "epoch int, metric string, value double"
 FACTOR_BASIS = "row int, vector array<double>"
 CENTRES = "cluster int, centre array<double>"
+MODEL_PARTS = "part string, row int, weights array<double>, bias double"
+MODEL_MARKS = "run string, epoch int, number bigint, version string"
 HEADS = "epoch int, name string, row int, weights array<double>, bias double"

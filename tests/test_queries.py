@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as contract  # noqa: E402
 from dialogue_factors.operators.splits import split_overlap  # noqa: E402
 from dialogue_factors.plans.catalog import QUERIES  # noqa: E402
-from dialogue_factors.plans.jobs import analyse_labelled, label_sources
+from dialogue_factors.plans.jobs import analyse_labelled, label_sources, main, score_sources
 from dialogue_factors.plans.label_dialogue import label_lines
 from dialogue_factors.schema import SPEAKER_RECORDS  # noqa: E402
 from dialogue_factors.sources.dialogue_lines import read_lines  # noqa: E402
@@ -72,6 +72,15 @@ def test_chain_from_files(spark, tmp_path):
     analysis = analyse_labelled(spark, out)
     assert analysis.accuracy.first().n == 40 and analysis.accuracy.first().accuracy == 1.0
     assert {r.space for r in spark.read.parquet(f"{out}/analysis/leakage").collect()} == {"embedding", "z_p", "z_c"}
+    # The stored models alone give the speakers their labels again, and new ones theirs.
+    known = {r.speaker_id: r.label for r in result.speakers.collect()}
+    again = score_sources(spark, [str(tmp_path / "a.txt")], out)
+    assert {r.speaker_id: r.label for r in again.speakers.collect()} == known
+    assert again.utterances.count() == 45 * 8 and again.utterances.where("label <> prediction").count() == 0
+    assert spark.read.parquet(f"{out}/scored/utterances").columns == ["speaker_id", "pos", "text", "label", "logits", "prediction"]
+    (tmp_path / "new.txt").write_text("\n".join(lines[6:12]))
+    fresh = score_sources(spark, [str(tmp_path / "new.txt")], out)
+    assert [r.label for r in fresh.speakers.collect()] == [known[min(known) + 1]] and fresh.utterances.count() == 8
     (tmp_path / "empty.txt").write_text("nothing here\n")
     with pytest.raises(ValueError):
         label_lines(read_lines(spark, [str(tmp_path / "empty.txt")]))
