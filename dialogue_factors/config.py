@@ -43,6 +43,7 @@ class Settings:
     content_dim: int = 128
     classes: int = 14
     epochs: int = 10
+    batch_size: int = 64
     staged_from_epoch: int = 5
     adversary_weight: float = 0.1
     overlap_weight: float = 0.005

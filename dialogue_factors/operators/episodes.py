@@ -159,16 +159,18 @@ class Dialogue:
 
 
 def parse_dialogue(
-    lines: DataFrame, sides: Sequence[str] = ("said", "reply"), exactly_two: bool = False
+    lines: DataFrame, sides: Sequence[str] = ("said", "reply"), exactly_two: bool = False,
+    require_dialogue: bool = True,
 ) -> Dialogue:
     """Segment lines and key facts and utterances by speaker.
 
-    `sides` chooses which half of each turn counts as the speaker's utterances.
+    `sides` chooses which half of each turn counts as the speaker's utterances. Without
+    `require_dialogue` an episode of persona text alone is a speaker too.
     """
     if not sides or not set(sides) <= {"said", "reply"}:
         raise ValueError("sides must name 'said', 'reply' or both")
     segments = materialize(segment_episodes(lines, exactly_two), "segments")
-    episodes = materialize(summarize_episodes(segments), "episodes")
+    episodes = materialize(summarize_episodes(segments, require_dialogue), "episodes")
     # Incomplete episodes are few in an orderly corpus: leaving them out by a
     # broadcast saves a shuffle of all lines. Beyond the limit it is a plain join.
     rejected = broadcast_if_small(episodes.where(~F.col("kept")).select("speaker_id"))

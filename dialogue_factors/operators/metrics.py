@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialogue_factors.config import Settings
+from dialogue_factors.functions.text import seeded_hash
 from dialogue_factors.functions.vectors import argmax, cosine, cross_entropy
+from dialogue_factors.operators.order import rank_in_buckets
 
 
 def accuracy_of(prediction: Column | str, label: Column | str) -> Column:
@@ -63,6 +65,27 @@ def epoch_history(rows: DataFrame, settings: Settings = Settings()) -> DataFrame
     )
 
 
+def number_batches(rows: DataFrame, *keys: str, settings: Settings = Settings()) -> DataFrame:
+    """Add `batch`: 0, 1, ... of `batch_size` rows each, in an order that differs by epoch
+    and repeats for a seed; the last batch of an epoch may be smaller."""
+    hashed = rows.withColumn("_digest", seeded_hash(settings.seed, "epoch", *keys)).withColumn("_bucket", F.substring("_digest", 1, 4))
+    ranked = rank_in_buckets(hashed, ["_bucket"], ["_digest", *keys], "_rank", within=["epoch"])
+    return ranked.withColumn("batch", F.expr(f"(_rank - 1) div {settings.batch_size}")).drop("_digest", "_bucket", "_rank")
+
+
+def epoch_batches(rows: DataFrame, *keys: str, settings: Settings = Settings()) -> DataFrame:
+    """`(epoch, n_batches, loss, accuracy)` as a training loop reports them: the loss is the
+    mean of the batches' means, so that rows of a small last batch weigh more; accuracy is
+    over rows. `keys` make a row unique."""
+    narrow = rows.select("epoch", *keys, staged_loss(settings).alias("loss"), (argmax("logits") == F.col("label")).cast("double").alias("hit"))
+    batches = number_batches(narrow, *keys, settings=settings).groupBy("epoch", "batch").agg(
+        F.avg("loss").alias("loss"), F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n")
+    )
+    return batches.groupBy("epoch").agg(
+        F.count(F.lit(1)).alias("n_batches"), F.avg("loss").alias("loss"), (F.sum("hits") / F.sum("n")).alias("accuracy")
+    )
+
+
 def history_table(history: DataFrame) -> DataFrame:
     """Long form `(epoch, metric, value)`."""
     return history.unpivot("epoch", ["loss", "accuracy"], "metric", "value")

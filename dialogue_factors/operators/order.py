@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialogue_factors.functions.text import seeded_hash
@@ -42,15 +44,18 @@ def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_index",
 
 
 def rank_in_buckets(
-    df: DataFrame, buckets: list[str], order: list[str], rank: str = "rank", total: str | None = None, bounded: bool = False
+    df: DataFrame, buckets: list[str], order: list[str], rank: str = "rank", total: str | None = None, bounded: bool = False,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """1-based rank by `(buckets, order)`: ranks inside each bucket, shifted by the
     counts of the earlier buckets. Buckets must rise with the order and stay small.
 
     `bounded` says that the number of buckets has a fixed limit, so that their
-    counts may be broadcast; otherwise they are joined by key.
+    counts may be broadcast; otherwise they are joined by key. Each value of the `within`
+    columns is ranked by itself.
     """
-    through = Window.orderBy(*buckets)
+    buckets = [*within, *buckets]
+    through = Window.partitionBy(*within).orderBy(*buckets)
     everything = through.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counts = df.groupBy(*buckets).agg(F.count(F.lit(1)).alias("_rows"))
     columns = [(F.sum("_rows").over(through) - F.col("_rows")).alias("_before")]

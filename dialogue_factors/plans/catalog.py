@@ -36,11 +36,11 @@ from dialogue_factors.operators.probe import leakage, nearest_mean_predictions
 from dialogue_factors.operators.reduce import covariance, map_2d, reduce_vectors
 from dialogue_factors.operators.silhouette import row_silhouettes, silhouette_squared
 from dialogue_factors.operators.word_vectors import count_pairs, encode_with_words, fit_word_vectors, positive_pmi, word_table
-from dialogue_factors.plans.label_dialogue import label_lines
+from dialogue_factors.plans.label_dialogue import label_by_position, label_lines
 from dialogue_factors.session import materialize, scratch_path
 from dialogue_factors.sources.dialogue_lines import read_lines
 from dialogue_factors.sources.models import part, read_model, save_model
-from dialogue_factors.sources.records import read_examples, read_k_scores, write_examples, write_k_scores
+from dialogue_factors.sources.records import place_cluster_records, read_examples, read_k_scores, write_examples, write_k_scores
 from dialogue_factors.streaming.episodes import stream_episodes, write_episodes
 
 SETTINGS = Settings()
@@ -200,6 +200,35 @@ def source_union(spark: SparkSession, folder: str) -> DataFrame:
     return number_speakers(dialogue.speakers).select("speaker_id", "position", "source").join(counted, "speaker_id")
 
 
+def persona_only(spark: SparkSession, folder: str) -> DataFrame:
+    """Personas of a corpus in which only conversations opened by a system turn go on with
+    dialogue; the others are persona text alone, and speakers all the same."""
+    opening = table(spark, folder, "conversations").where("turn = 0 and role = 'system'").select("conv_id").distinct()
+    lines = rendered_lines(spark, folder)
+    kept = lines.where("kind = 0").unionByName(lines.where("kind = 1").join(opening, "conv_id", "left_semi"))
+    placed = place_in_order(kept.withColumn("source", F.lit(0)), "source", "conv_id", "turn", "kind")
+    dialogue = parse_dialogue(placed, require_dialogue=False)
+    counted = dialogue.utterances.groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n"))
+    personas = persona_texts(dialogue.facts).join(counted, "speaker_id", "left")
+    return personas.select("speaker_id", "part", "persona_text", F.coalesce("n", F.lit(0)).alias("n_utterances"))
+
+
+def cluster_file_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Utterances of parsed episodes, labelled from files of cluster records by their place."""
+    path = scratch_path(spark, "clusters")
+    records = table(spark, folder, "embeddings", "vec_id", F.lit("").alias("persona_text"), F.col("label").alias("cluster_id"))
+    records.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("persona_text", "cluster_id").write.json(path)
+    dialogue = parse_dialogue(dialogue_lines(spark, folder))
+    labelled = label_by_position(dialogue, place_cluster_records(spark, path, multi_line=False))
+    return labelled.examples.select("speaker_id", "pos", "text", "label", "split")
+
+
+def epoch_batch_means(spark: SparkSession, folder: str) -> DataFrame:
+    epochs = F.explode(F.sequence(F.lit(0), F.lit(SETTINGS.epochs - 1))).alias("epoch")
+    means = metrics.epoch_batches(scored_rows(spark, folder).select("*", epochs), "vec_id")
+    return means.select("epoch", "n_batches", rounded("loss"), rounded("accuracy"))
+
+
 def first_facts(spark: SparkSession, folder: str) -> DataFrame:
     return first_fact_personas(dialogue_lines(spark, folder)).select("island", "part", "persona_text")
 
@@ -514,6 +543,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chart_sample": chart_sample,
     "nearest_centroid": nearest_centroid,
     "model_roundtrip": model_roundtrip,
+    "persona_only": persona_only,
+    "cluster_file_labels": cluster_file_labels,
+    "epoch_batches": epoch_batch_means,
     "kmeans_fixed_init": kmeans_fixed_init,
     "kmeans_best_of_n": kmeans_best_of_n,
     "k_sweep": k_sweep,

@@ -3,10 +3,11 @@
     python -m dialogue_factors.plans.jobs label OUT train.txt valid.txt
     python -m dialogue_factors.plans.jobs analyse OUT
     python -m dialogue_factors.plans.jobs score OUT new.txt
+    python -m dialogue_factors.plans.jobs assign OUT train.txt valid.txt --clusters clusters.json
 
 On a cluster give this file to spark-submit. `analyse` reads the examples that
-`label` left; `score` needs the models that both left, and fits nothing. Settings are
-flags, such as `--k-max 20 --seed 7 --silhouette-metric euclidean`.
+`label` left; `score` needs the models that both left, and fits nothing; `assign` takes
+the labels from a cluster file in the order of the speakers. Settings are flags, such as `--k-max 20 --seed 7 --silhouette-metric euclidean`.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dialogue_factors.config import Settings
 from dialogue_factors.operators import kmeans, reports
-from dialogue_factors.operators.episodes import persona_texts, speaker_records
+from dialogue_factors.operators.episodes import parse_dialogue, persona_texts, speaker_records
 from dialogue_factors.operators.labels import attach_labels
 from dialogue_factors.operators.reduce import map_2d
 from dialogue_factors.plans.analyse import Analysis, analyse_examples
-from dialogue_factors.plans.label_dialogue import LabelledDialogue, label_lines
+from dialogue_factors.plans.label_dialogue import GivenLabels, LabelledDialogue, label_by_position, label_lines
 from dialogue_factors.plans.score import Scored, save_analysis, save_labeller, score_lines
 from dialogue_factors.session import build_session, drop_scratch
 from dialogue_factors.sources.dialogue_lines import read_lines
 from dialogue_factors.sources.records import (
+    place_cluster_records,
     read_example_tables,
     write_cluster_records,
     write_examples,
@@ -71,6 +73,20 @@ def analyse_labelled(spark: SparkSession, out: str, settings: Settings = Setting
     return result
 
 
+def assign_sources(
+    spark: SparkSession, sources: Sequence[str], clusters: str, out: str, settings: Settings = Settings(), multi_line: bool = True
+) -> GivenLabels:
+    """Label dialogue files from a file of cluster records and write the examples, their
+    counts, and the report of speakers and records without a partner."""
+    result = label_by_position(parse_dialogue(read_lines(spark, sources)), place_cluster_records(spark, clusters, multi_line), settings)
+    write_examples(result.examples, f"{out}/examples")
+    stored = read_example_tables(spark, f"{out}/examples")
+    _table(reports.class_distribution(stored), f"{out}/class_distribution")
+    _table(reports.split_sizes(stored), f"{out}/split_sizes")
+    _table(result.report, f"{out}/mismatch")
+    return result
+
+
 def score_sources(spark: SparkSession, sources: Sequence[str], out: str, settings: Settings = Settings()) -> Scored:
     """Score new dialogue files with the models under `out`; the tables go to `out`/scored."""
     result = score_lines(read_lines(spark, sources), f"{out}/models", settings)
@@ -85,12 +101,15 @@ FLAGS = ("seed", "k_min", "k_max", "kmeans_starts", "pca_dim", "text_dims", "sil
 
 def main(arguments: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("step", choices=("label", "analyse", "score"))
+    parser.add_argument("step", choices=("label", "analyse", "score", "assign"))
     parser.add_argument("out")
     parser.add_argument("sources", nargs="*")
+    parser.add_argument("--clusters", help="cluster records as JSON, for assign")
     for flag in FLAGS:
         parser.add_argument(f"--{flag.replace('_', '-')}", type=type(getattr(Settings, flag)), default=getattr(Settings, flag))
     given = parser.parse_args(arguments)
+    if given.step == "assign" and not given.clusters:
+        parser.error("assign needs --clusters")
     settings = replace(Settings(), **{flag: getattr(given, flag) for flag in FLAGS})
     spark = build_session()
     try:
@@ -98,6 +117,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
             label_sources(spark, given.sources, given.out, settings)
         elif given.step == "analyse":
             analyse_labelled(spark, given.out, settings)
+        elif given.step == "assign":
+            assign_sources(spark, given.sources, given.clusters, given.out, settings)
         else:
             score_sources(spark, given.sources, given.out, settings)
     finally:

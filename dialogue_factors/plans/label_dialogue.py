@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 from dialogue_factors.config import Settings
 from dialogue_factors.operators import kmeans
 from dialogue_factors.operators.embed import hashed_idf, hashed_tfidf
-from dialogue_factors.operators.episodes import Dialogue, parse_dialogue, persona_texts
+from dialogue_factors.operators.episodes import Dialogue, number_speakers, parse_dialogue, persona_texts
 from dialogue_factors.operators.examples import label_utterances
 from dialogue_factors.operators.ksweep import sweep
+from dialogue_factors.operators.labels import attach_labels, label_mismatch_report
 from dialogue_factors.operators.reduce import apply_reducer, fit_reducer
 from dialogue_factors.operators.reports import best_k
 from dialogue_factors.operators.splits import split_exact
@@ -64,6 +65,23 @@ def label_vectors(
     return LabelledDialogue(dialogue, vectors, scores, reducer, model, speakers, examples)
 
 
+@dataclass(frozen=True)
+class GivenLabels:
+    speakers: DataFrame  # speaker_id, label, split
+    examples: DataFrame  # speaker_id, pos, text, label, split
+    report: DataFrame  # sizes of both sides and whether they differ
+
+
+def label_by_position(dialogue: Dialogue, clusters: DataFrame, settings: Settings = Settings()) -> GivenLabels:
+    """Label speakers from `(position, cluster_id)`: the i-th cluster goes to the i-th
+    speaker. Speakers or clusters without a partner are left out and counted in `report`."""
+    numbered = materialize(number_speakers(dialogue.speakers).select("speaker_id", "position"), "numbered")
+    report = label_mismatch_report(numbered, clusters, "position")
+    labels = attach_labels(numbered, clusters, "position").select("speaker_id", F.col("cluster_id").cast("int").alias("label"))
+    speakers = materialize(split_exact(labels, "speaker_id", settings), "speakers")
+    return GivenLabels(speakers, label_utterances(dialogue.utterances, speakers, settings), report)
+
+
 def label_lines(lines: DataFrame, settings: Settings = Settings(), ks: Sequence[int] | None = None) -> LabelledDialogue:
     dialogue = parse_dialogue(lines)
     texts = persona_table(dialogue, settings)

@@ -279,6 +279,32 @@ WITH {_LONG},
 centres AS (SELECT label AS c, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(value) AS m FROM long GROUP BY ALL) GROUP BY label)
 SELECT vec_id, c AS cluster_id FROM (
   SELECT vec_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(x, centre), c) AS r FROM v, centres) WHERE r = 1""",
+    "persona_only": f"""
+WITH {_LINES},
+opening AS (SELECT DISTINCT conv_id FROM turns WHERE turn = 0 AND role = 'system'),
+kept AS (SELECT * FROM parsed WHERE kind = 0 OR conv_id IN (SELECT conv_id FROM opening)),
+placed AS (SELECT *, sum(is_start::INT) OVER (ORDER BY conv_id, turn, kind) AS episode FROM kept WHERE is_persona OR is_dialogue)
+SELECT episode::BIGINT AS speaker_id, 0::BIGINT AS part, lower(string_agg(fact, ' ' ORDER BY conv_id, turn, kind)) AS persona_text, 2 * count(said) AS n_utterances
+FROM placed GROUP BY episode HAVING count(fact) > 0""",
+    "cluster_file_labels": f"""
+WITH {_EPISODES},
+numbered_speakers AS (SELECT *, row_number() OVER (ORDER BY speaker_id) - 1 AS position FROM records),
+clusters AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, label FROM embeddings),
+matched AS (SELECT * FROM numbered_speakers JOIN clusters USING (position)),
+ranked AS (SELECT speaker_id, row_number() OVER (ORDER BY {_hash('speaker_id')}) AS r, count(*) OVER () AS n FROM matched),
+{_SPLIT_EXACT},
+items AS (SELECT speaker_id, label, unnest(string_split(utterances, chr(9))) AS text, generate_subscripts(string_split(utterances, chr(9)), 1) + 1 AS pos FROM matched)
+SELECT speaker_id, pos, lower({_strip('text')}) AS text, label, split FROM items JOIN split_exact USING (speaker_id)
+WHERE length({_strip('text')}) > {_MIN}""",
+    "epoch_batches": f"""
+WITH {_SCORED},
+e AS (
+  SELECT epoch::INT AS epoch, (row_number() OVER (PARTITION BY epoch ORDER BY {_hash('epoch', 'vec_id')}, vec_id) - 1) // {SETTINGS.batch_size} AS batch,
+    ({_ARGMAX} = label)::INT AS hit, CASE WHEN epoch < {SETTINGS.staged_from_epoch} THEN {_nll('logits')}
+      ELSE {_nll('logits')} + {SETTINGS.adversary_weight} * (epoch / {SETTINGS.epochs}.0::DOUBLE) * {_nll('adv_logits')} + {SETTINGS.overlap_weight} * {_OVERLAP} END AS loss
+  FROM scored, range({SETTINGS.epochs}) t(epoch)),
+b AS (SELECT epoch, batch, avg(loss) AS loss, sum(hit) AS hits, count(*) AS n FROM e GROUP BY epoch, batch)
+SELECT epoch, count(*) AS n_batches, round(avg(loss), 6) AS loss, round(sum(hits) / sum(n)::DOUBLE, 6) AS accuracy FROM b GROUP BY epoch""",
     "model_roundtrip": f"""
 WITH {_LONG},
 centres AS (SELECT label AS c, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(value) AS m FROM long GROUP BY ALL) GROUP BY label),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dialogue_factors import schema
+from dialogue_factors.operators.order import with_row_index
+from dialogue_factors.sources.dialogue_lines import scan_block
 
 
 def read_cluster_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -12,6 +14,15 @@ def read_cluster_records(spark: SparkSession, path: str, multi_line: bool = True
     return spark.read.schema(schema.CLUSTER_RECORDS).option("multiLine", multi_line).json(path)
 
 
+def place_cluster_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """`(position, cluster_id)`: cluster records by their place in the file, or in a folder
+    of files taken in the order of their names."""
+    records = read_cluster_records(spark, path, multi_line).select("cluster_id", *scan_block(), F.monotonically_increasing_id().alias("at"))
+    records = records.select("cluster_id", F.col("file").alias("from_file"), F.col("start").alias("from_start"), "at")
+    placed = with_row_index(records, "from_file", "from_start", "at", name="position")
+    return placed.select("position", "cluster_id")
+
+
 def read_examples(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Labelled examples as JSON; a `split=` folder level becomes the split column.
 

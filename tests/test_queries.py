@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sys
+from collections import Counter
+from dataclasses import replace
 
 import duckdb
 import pytest
@@ -11,9 +14,11 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as contract  # noqa: E402
+from dialogue_factors.config import Settings  # noqa: E402
+from dialogue_factors.operators.metrics import epoch_batches, epoch_history, number_batches  # noqa: E402
 from dialogue_factors.operators.splits import split_overlap  # noqa: E402
 from dialogue_factors.plans.catalog import QUERIES  # noqa: E402
-from dialogue_factors.plans.jobs import analyse_labelled, label_sources, main, score_sources
+from dialogue_factors.plans.jobs import analyse_labelled, assign_sources, label_sources, score_sources
 from dialogue_factors.plans.label_dialogue import label_lines
 from dialogue_factors.schema import SPEAKER_RECORDS  # noqa: E402
 from dialogue_factors.sources.dialogue_lines import read_lines  # noqa: E402
@@ -50,6 +55,35 @@ def test_every_oracle_belongs_to_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+def test_labels_from_a_cluster_file(spark, tmp_path):
+    """A JSON array of clusters that is longer than the corpus: the surplus is reported."""
+    lines = [x for s in range(20) for x in (f"1 your persona: speaker {s} .", f"2 good day number {s}\tgood day to you")]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "clusters.json").write_text(json.dumps([{"persona_text": "", "cluster_id": i % 7} for i in range(23)]))
+    out = str(tmp_path / "out")
+    result = assign_sources(spark, [str(tmp_path / "a.txt")], str(tmp_path / "clusters.json"), out)
+    report = spark.read.parquet(f"{out}/mismatch").first()
+    assert (report.n_left, report.n_right, report.n_matched, report.n_right_only, report.mismatch) == (20, 23, 20, 3, True)
+    rows = spark.read.parquet(f"{out}/examples").collect()
+    assert len(rows) == 40 and {r.split for r in rows} == {"train", "val", "test"}
+    assert all(r.label == int(r.text.split()[-1]) % 7 for r in rows if r.text.startswith("good day number"))
+    assert {r.label for r in rows} == set(range(7)) and result.speakers.count() == 20
+
+
+def test_batches_hold_every_row_once(spark):
+    scored = [(e, i, i % 2, [float(i % 3), 1.0], [0.0, 1.0], [1.0, float(i)], [0.5, 2.0]) for e in (0, 7) for i in range(70)]
+    rows = spark.createDataFrame(scored, "epoch int, id int, label int, logits array<double>, adv_logits array<double>, z_p array<double>, z_c array<double>")
+    batches = number_batches(rows, "id").collect()
+    sizes = Counter((r.epoch, r.batch) for r in batches)
+    assert sizes == {(e, b): n for e in (0, 7) for b, n in ((0, 64), (1, 6))}
+    order = lambda e: [r.id for r in sorted(batches, key=lambda r: (r.batch, r.id)) if r.epoch == e]
+    assert sorted(order(0)) == list(range(70)) and order(0) != order(7)
+    one = replace(Settings(), batch_size=1000)
+    whole = {r.epoch: r.loss for r in epoch_history(rows).collect()}
+    assert all(abs(r.loss - whole[r.epoch]) < 1e-12 and r.n_batches == 1 for r in epoch_batches(rows, "id", settings=one).collect())
+    assert epoch_batches(rows.limit(0), "id").count() == 0
+
+
 def test_chain_from_files(spark, tmp_path):
     topics = [["cats", "dogs", "pets"], ["ski", "snow", "hills"], ["bread", "oven", "flour"]]
     lines = []
