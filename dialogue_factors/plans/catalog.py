@@ -276,6 +276,13 @@ def split_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_overlap(label_utterances(utterances(spark, folder), split))
 
 
+def split_overlap_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Speakers met in two splits when rows are split one by one: the leak that a split by
+    speaker avoids."""
+    rows = utterances(spark, folder).withColumn("row_key", F.concat_ws(":", F.col("speaker_id").cast("string"), F.col("pos").cast("string")))
+    return splits.split_overlap(rows.select("speaker_id", splits.hash_split("row_key").alias("split")))
+
+
 def class_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return reports.class_distribution(examples(spark, folder))
 
@@ -479,6 +486,23 @@ def factor_split(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def factor_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Both parts of every vector: their squared lengths add up to that of the centred
+    vector, and what was taken away has its full share along the mean of the own class."""
+    rows = vectors(spark, folder)
+    factors = fit_factors(rows, "x", "label")
+    means = class_means(rows, "x", "label").select("label", F.col("mean").alias("own"))
+    centre = F.lit([float(v) for v in factors.mean])
+    minus = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
+    parts = split_factors(rows, "x", factors).join(means, "label").select(
+        "vec_id", "z_p", minus("z_c", centre).alias("rest"), minus("x", "z_c").alias("taken"), minus("own", centre).alias("own")
+    )
+    return parts.select(
+        "vec_id", F.size("z_p").alias("n_factors"), rounded(dot("z_p", "z_p") + dot("rest", "rest")).alias("squared_length"),
+        rounded(dot("taken", "own")).alias("along_own"),
+    )
+
+
 def _factored(spark: SparkSession, folder: str) -> DataFrame:
     """Parts of every vector, the basis fitted without the rows that test the probe."""
     rows = vectors(spark, folder)
@@ -526,6 +550,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "speaker_split_exact": speaker_split_exact,
     "speaker_split_hash": speaker_split_hash,
     "split_overlap": split_overlap,
+    "split_overlap_rows": split_overlap_rows,
     "class_distribution": class_distribution,
     "cluster_sizes": cluster_sizes,
     "split_sizes": split_sizes,
@@ -553,6 +578,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "silhouette_exact": silhouette_exact,
     "silhouette_squared": silhouette_linear,
     "factor_split": factor_split,
+    "factor_lengths": factor_lengths,
     "persona_probe": persona_probe,
     "leakage_probe": leakage_probe,
     "leakage_nearest_mean": leakage_nearest_mean,

@@ -223,6 +223,11 @@ FROM speakers s FULL JOIN embeddings e ON e.vec_id = s.speaker_id""",
 WITH {_RANKED}, {_UTTERANCES},
 k AS (SELECT DISTINCT speaker_id, split FROM utterances JOIN split_exact USING (speaker_id)),
 p(pair, a, b) AS (VALUES ('train-val', 'train', 'val'), ('train-test', 'train', 'test'), ('val-test', 'val', 'test'))
+SELECT pair, (SELECT count(*) FROM k x JOIN k y USING (speaker_id) WHERE x.split = a AND y.split = b) AS n FROM p""",
+    "split_overlap_rows": f"""
+WITH r AS (SELECT conv_id AS speaker_id, {_number(_hash('conv_id', 'turn'))} % 100 AS draw FROM conversations WHERE role <> 'system'),
+k AS (SELECT DISTINCT speaker_id, CASE WHEN draw < 80 THEN 'train' WHEN draw < 90 THEN 'val' ELSE 'test' END AS split FROM r),
+p(pair, a, b) AS (VALUES ('train-val', 'train', 'val'), ('train-test', 'train', 'test'), ('val-test', 'val', 'test'))
 SELECT pair, (SELECT count(*) FROM k x JOIN k y USING (speaker_id) WHERE x.split = a AND y.split = b) AS n FROM p""",
     "class_distribution": f"WITH {_UTTERANCES} SELECT split, label, count(*) AS n FROM examples GROUP BY ALL",
     "cluster_sizes": f"WITH {_SPEAKERS} SELECT label AS cluster_id, count(*) AS n FROM speakers JOIN embeddings ON vec_id = speaker_id GROUP BY ALL",
@@ -330,6 +335,12 @@ SELECT cluster_id AS label, count(*) AS n, round(avg(silhouette), 6) AS silhouet
     "factor_split": f"""
 WITH {_LONG}, m AS (SELECT i, avg(value) AS mean FROM long GROUP BY i)
 SELECT label, i::INT AS i, round(mean, 6) AS mean FROM (SELECT DISTINCT label FROM v), m""",
+    "factor_lengths": f"""
+WITH {_LONG}, m AS (SELECT i, avg(value) AS mean FROM long GROUP BY i),
+own AS (SELECT label, i, avg(value) AS own FROM long GROUP BY label, i),
+n AS (SELECT (count(DISTINCT label) - 1)::INT AS n_factors FROM v)
+SELECT vec_id, n_factors, round(sum(pow(value - mean, 2)), 6) + 0.0 AS squared_length, round(sum((value - mean) * (own - mean)), 6) + 0.0 AS along_own
+FROM long JOIN m USING (i) JOIN own USING (label, i), n GROUP BY vec_id, n_factors""",
     "leakage_nearest_mean": f"""
 WITH {_LONG}, held AS (SELECT vec_id, label, x, {_number(_hash('vec_id'))} % 5 = 0 AS held FROM v),
 centres AS (
