@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dialogue_factors.config import Settings
 from dialogue_factors.functions.matrices import as_lists, map_rows
-from dialogue_factors.functions.text import token_lists
+from dialogue_factors.functions.text import CHUNK_BYTES, text_chunks, token_lists
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -24,12 +24,15 @@ def bucket_counts(text: Column | str, dims: int) -> Column:
 
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
-        words, rows, _ = token_lists(texts)
-        coded = words.dictionary_encode()
-        # Each distinct word of the batch is hashed once.
-        bucket = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims for w in coded.dictionary.to_pylist()]
-        at = rows * dims + np.array(bucket, dtype=np.int64)[coded.indices.to_numpy()]
-        return as_lists(np.bincount(at, minlength=len(texts) * dims).reshape(len(texts), dims))
+        out = []
+        for part in text_chunks(texts, CHUNK_BYTES):
+            words, rows, _ = token_lists(part)
+            coded = words.dictionary_encode()
+            # Each distinct word of the chunk is hashed once.
+            bucket = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims for w in coded.dictionary.to_pylist()]
+            at = rows * dims + np.array(bucket, dtype=np.int64)[coded.indices.to_numpy()]
+            out.append(as_lists(np.bincount(at, minlength=len(part) * dims).reshape(len(part), dims)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float64()))
 
     return run(F.lower(text))
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialogue_factors.config import END_ID, FIRST_TOKEN_ID, PAD_ID, START_ID, UNKNOWN_ID, Settings
-from dialogue_factors.functions.text import token_lists
+from dialogue_factors.functions.text import CHUNK_BYTES, text_chunks, token_lists
 from dialogue_factors.session import materialize
 
 # Longer words are known to tasks by digest, which bounds the size of a vocabulary.
@@ -23,8 +23,12 @@ def count_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pc.value_counts(token_lists(batch.column(0))[0])
-            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["token", "n"])
+            found = [pc.value_counts(token_lists(part)[0]) for part in text_chunks(batch.column(0), CHUNK_BYTES)]
+            tables = [pa.table([f.field("values"), f.field("counts")], ["token", "n"]) for f in found]
+            if tables:
+                summed = pa.concat_tables(tables).group_by("token").aggregate([("n", "sum")])
+                columns = [summed.column("token").cast(pa.string()), summed.column("n_sum")]
+                yield from pa.table(columns, ["token", "n"]).to_batches()
 
     partial = texts.select(F.lower(text)).mapInArrow(counts, "token string, n bigint")
     return partial.groupBy("token").agg(F.sum("n").alias("n"))
@@ -55,8 +59,7 @@ def _short_form(token: Column | str) -> Column:
 def token_ids(text: Column | str, words: pa.Array, length: int) -> Column:
     """Start mark, ids of the leading tokens, end mark, padding up to `length`."""
 
-    @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
+    def encoded(texts: pa.Array) -> pa.Array:
         tokens, rows, position = token_lists(texts)
         kept = position < length - 2
         tokens, rows, position = tokens.filter(pa.array(kept)).cast(pa.string()), rows[kept], position[kept]
@@ -73,6 +76,11 @@ def token_ids(text: Column | str, words: pa.Array, length: int) -> Column:
         offsets = pa.array(np.arange(len(texts) + 1) * length, pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
 
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = [encoded(part) for part in text_chunks(texts, CHUNK_BYTES)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
     return run(F.lower(text))
 
 

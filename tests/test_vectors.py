@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dialogue_factors.config import Settings
 from dialogue_factors.functions import vectors as V
 from dialogue_factors.functions.matrices import affine, nearest
-from dialogue_factors.operators import kmeans, metrics
+from dialogue_factors.operators import embed, encode, kmeans, metrics
 from dialogue_factors.operators.embed import encode_texts, hashed_tfidf
 from dialogue_factors.operators.encode import build_vocabulary, encode_tokens
 from dialogue_factors.operators.factors import (
@@ -286,6 +286,22 @@ def test_embedding(spark):
     assert {r.k: r.embedding for r in plugged.collect()}[1] == [8.0, 1.0]
 
 
+@pytest.mark.parametrize("module", [embed, encode])
+def test_words_are_laid_out_in_chunks(spark, monkeypatch, module):
+    texts = [f"a b{i % 3} " * 20_000 for i in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    settings = replace(Settings(), text_dims=16, max_tokens=8)
+    run = lambda: [r.asDict() for r in (hashed_tfidf(df, "id", settings=settings) if module is embed else encode_tokens(df, settings=settings)).orderBy("id").collect()]
+    whole, laid_out = run(), module.token_lists
+
+    def bounded(part):
+        assert len(part) == 1 or part.nbytes < 5 << 20
+        return laid_out(part)
+
+    monkeypatch.setattr(module, "token_lists", bounded)
+    assert run() == whole
+
+
 def test_token_encoding(spark):
     long = "w" * 100
     texts = spark.createDataFrame([(0, "b a b"), (1, "c " + long), (2, ""), (3, "a " * 90), (4, long)], "k int, text string")
