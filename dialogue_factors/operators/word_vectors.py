@@ -17,22 +17,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dialogue_factors.config import FIRST_TOKEN_ID, Settings
 from dialogue_factors.functions.matrices import as_lists, as_matrix
-from dialogue_factors.functions.text import token_lists
+from dialogue_factors.functions.text import CHUNK_BYTES, text_chunks, token_lists
 from dialogue_factors.operators.encode import build_vocabulary
 from dialogue_factors.session import materialize
 
-# Bytes of text whose words a task lays out at once; a longer text is taken alone.
-CHUNK_BYTES = 4 << 20
 
-
-def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    low = 0
-    while low < len(texts):
-        before = ends[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
-        yield texts.slice(low, high - low)
-        low = high
+# Pairs that a counting task holds before it passes on those met once.
+HELD_PAIRS = 4_000_000
 
 
 def word_table(texts: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -41,36 +32,59 @@ def word_table(texts: DataFrame, text: str = "text", settings: Settings = Settin
     return materialize(counted.select((F.col("id") - FIRST_TOKEN_ID).cast("int").alias("word"), "token", "n"), "words")
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their totals."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.add.reduceat(n[order], heads) if len(keys) else n
+
+
+def pairs_of_tasks(texts: DataFrame, known: pa.Array, text: str = "text", window: int = Settings().word_window) -> DataFrame:
+    """`(pair, n)`: pairs of known words at most `window` places apart, both orders as one:
+    the lower number x words + the higher. A task holds what it has seen; pairs met more
+    than once stay until its end, as long as they are few enough."""
+
+    def pairs(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for part in (part for batch in batches for part in text_chunks(batch.column(0), CHUNK_BYTES)):
+            tokens, rows, _ = token_lists(part)
+            ids = pc.fill_null(pc.index_in(tokens.cast(known.type), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for step in range(1, window + 1):
+                left, right = ids[:-step], ids[step:]
+                both = (left >= 0) & (right >= 0) & (rows[:-step] == rows[step:])
+                left, right = left[both], right[both]
+                held.append(np.unique(np.minimum(left, right) * len(known) + np.maximum(left, right), return_counts=True))
+            if sum(len(keys) for keys, _ in held) > HELD_PAIRS:
+                keys, n = _summed(*map(np.concatenate, zip(*held)))
+                stay = n > 1 if np.count_nonzero(n > 1) <= HELD_PAIRS // 2 else np.zeros(len(n), bool)
+                yield pairs(keys[~stay], n[~stay])
+                held = [(keys[stay], n[stay])]
+        yield pairs(*_summed(*map(np.concatenate, zip(*held))))
+
+    return texts.select(F.lower(text)).mapInArrow(count, "pair bigint, n bigint")
+
+
 def count_pairs(texts: DataFrame, words: DataFrame, text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """`(word, context, n)`: how often two words of the table lie at most `word_window`
     places apart in a text, in both orders. Other words take up places.
 
-    Pairs are counted per batch before the shuffle, so that the pairs of frequent words
-    come to the reducers as one number per batch.
+    Pairs are counted per task before the shuffle, both orders as one, so that the pairs of
+    frequent words come to the reducers as one number per task; the second order is added
+    behind the shuffle.
     """
-    known, window = words.orderBy("word").select("token").toArrow().column(0).combine_chunks(), settings.word_window
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _chunks(batch.column(0)):
-                tokens, rows, _ = token_lists(part)
-                ids = pc.fill_null(pc.index_in(tokens.cast(known.type), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                keys, totals = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for step in range(1, window + 1):
-                    left, right = ids[:-step], ids[step:]
-                    both = (left >= 0) & (right >= 0) & (rows[:-step] == rows[step:])
-                    found, n = np.unique(left[both] * len(known) + right[both], return_counts=True)
-                    keys, totals = np.concatenate([keys, found]), np.concatenate([totals, n])
-                keys, at = np.unique(keys, return_inverse=True)
-                sums = np.bincount(at, totals, len(keys)).astype(np.int64)
-                low, high = keys // max(len(known), 1), keys % max(len(known), 1)
-                yield pa.RecordBatch.from_pydict({
-                    "word": pa.array(np.concatenate([low, high]).astype(np.int32)), "context": pa.array(np.concatenate([high, low]).astype(np.int32)),
-                    "n": pa.array(np.concatenate([sums, sums])),
-                })
-
-    partial = texts.select(F.lower(text)).mapInArrow(count, "word int, context int, n bigint")
-    return partial.groupBy("word", "context").agg(F.sum("n").alias("n"))
+    known = words.orderBy("word").select("token").toArrow().column(0).combine_chunks()
+    # Tasks have added up already, so that rows are grouped behind the shuffle only.
+    counted = pairs_of_tasks(texts, known, text, settings.word_window).repartition("pair").groupBy("pair").agg(F.sum("n").alias("n"))
+    size = max(len(known), 1)
+    low, high = (F.col("pair") / size).cast("int"), F.pmod("pair", F.lit(size)).cast("int")
+    entry = lambda word, context, n: F.struct(word.alias("word"), context.alias("context"), n.alias("n"))
+    n = F.col("n")
+    orders = F.when(low == high, F.array(entry(low, high, 2 * n))).otherwise(F.array(entry(low, high, n), entry(high, low, n)))
+    return counted.select(F.inline(orders))
 
 
 def positive_pmi(pairs: DataFrame) -> DataFrame:
@@ -150,7 +164,7 @@ def mean_word_vector(text: Column | str, words: pa.Table, smoothing: float) -> C
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
         out = []
-        for part in _chunks(texts):
+        for part in text_chunks(texts, CHUNK_BYTES):
             tokens, rows, _ = token_lists(part)
             found = pc.index_in(tokens.cast(known.type), value_set=known)
             hit = found.is_valid().to_numpy(zero_copy_only=False)

@@ -71,3 +71,17 @@ def test_topics_lie_further_apart_than_by_hashed_words(spark):
 def test_no_text_gives_no_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert word_vectors.fit_word_vectors(empty).collect() == []
+
+
+def test_a_task_adds_up_pairs_of_all_its_chunks(spark, monkeypatch):
+    monkeypatch.setattr(word_vectors, "CHUNK_BYTES", 8)
+    df = spark.createDataFrame([("a b a",), ("b a",), ("a a",)] * 4, "text string").coalesce(1)
+    words = word_vectors.word_table(df, settings=SMALL)
+    known = words.orderBy("word").select("token").toArrow().column(0).combine_chunks()
+    assert known.to_pylist() == ["a", "b"]
+    rows = word_vectors.pairs_of_tasks(df, known, window=2).collect()
+    assert sorted((r.pair, r.n) for r in rows) == [(0, 8), (1, 12)]  # one row a pair, orders together
+    counted = word_vectors.count_pairs(df, words, settings=SMALL).collect()
+    assert sorted(map(tuple, counted)) == [(0, 0, 16), (0, 1, 12), (1, 0, 12)]
+    monkeypatch.setattr(word_vectors, "HELD_PAIRS", 1)  # passes on at once
+    assert sorted(map(tuple, word_vectors.count_pairs(df, words, settings=SMALL).collect())) == sorted(map(tuple, counted))
