@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dialogue_factors.config import Settings
 from dialogue_factors.functions import vectors as V
 from dialogue_factors.functions.matrices import affine, nearest
-from dialogue_factors.operators import embed, encode, kmeans, metrics
+from dialogue_factors.operators import embed, encode, kmeans, metrics, silhouette
 from dialogue_factors.operators.embed import encode_texts, hashed_tfidf
 from dialogue_factors.operators.encode import build_vocabulary, encode_tokens
 from dialogue_factors.operators.factors import (
@@ -179,6 +179,21 @@ def test_exact_silhouette_in_blocks(spark, block_rows):
     assert means[0] == pytest.approx(brute_silhouette(x, truth).mean(), abs=1e-6) and len(means) == 2
 
 
+def test_rows_of_the_exact_silhouette_are_sent_a_bounded_number_of_times():
+    # Blocks are copies of each row: their number stays until a block fills a task's memory.
+    assert [silhouette.count_blocks(n) for n in (0, 1, 2048, 2049, 51_282, 500_000)] == [1, 1, 1, 2, 16, 16]
+    assert silhouette.count_blocks(615_000) == 19  # 151 with blocks of 4,096 rows
+
+
+def test_exact_silhouette_in_tiles(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(60, 3))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, x array<double>, label int")
+    run = lambda rows: np.array([r.s[0] for r in row_silhouettes(df, "id", "x", ["label"], rows).orderBy("id").collect()])
+    whole = run(1000)
+    monkeypatch.setattr(silhouette, "TILE_ROWS", 7)
+    assert np.allclose(run(1000), whole) and np.allclose(run(20), whole)
+
+
 def test_squared_silhouette_equals_the_evaluator(spark):
     x, truth = signal(200, 6)
     df = frame(spark, x, truth)
