@@ -14,6 +14,7 @@ REMEMBERED = 300_000
 CHUNK_BYTES = 8 << 20
 # ASCII marks other than the apostrophe, which may begin a piece of letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+TRAILING = r"(?P<marks>[!-&(-/:-@\[-`{-~]+)$"
 
 
 def default_tokenizer() -> str:
@@ -46,6 +47,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Whether letters and the marks after them are two pieces.
+        pairs = self._lists([letter + mark for letter in "aé" for mark in MARKS])
+        self.parts_marks = all(self.ends[x].sum() == 2 and self.ends[x[-1]] for x in pairs)
         # Remembered words; ids of all of them, where each word's begin, how many it has.
         self.names = pa.array([], pa.large_string())
         self.pool, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -53,33 +57,58 @@ class WordEncoder:
     def _lists(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pool, starts and counts of words that are not remembered."""
-        # Letters are one piece to such a tokenizer, and marks after them another.
-        stems = pc.utf8_rtrim(words, characters=MARKS)
-        pieces = 1 + pc.less(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False)
-        letters = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False)
-        plain, rest = np.flatnonzero(letters), [np.flatnonzero(~letters)]
-        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        lines = [" ".join(words.take(pa.array(g)).to_pylist()) for g in groups]
-        order, counts, flats = [], [], []
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pool, starts and counts of words that are one piece each: many at a time, parted
+        at the pieces' ends."""
+        order, counts, flats, rest = [], [], [], [np.zeros(0, np.int64)]
+        groups = [np.arange(i, min(i + JOINED, len(words))) for i in range(0, len(words), JOINED)]
+        lines = [" ".join(words.slice(i, JOINED).to_pylist()) for i in range(0, len(words), JOINED)]
         for group, flat in zip(groups, self._lists(lines)):
             cuts = np.flatnonzero(self.ends[flat]) + 1
-            last = np.cumsum(pieces[group]) - 1
-            if len(cuts) != last[-1] + 1 or cuts[-1] != len(flat):  # not so with this tokenizer
+            if len(cuts) != len(group) or cuts[-1] != len(flat):  # not so with this tokenizer
                 rest.append(group)
                 continue
             order.append(group)
-            counts.append(np.diff(cuts[last], prepend=0))
+            counts.append(np.diff(cuts, prepend=0))
             flats.append(flat)
-        order += rest
+        order = np.concatenate([*order, *rest])
         alone = self._lists(words.take(pa.array(np.concatenate(rest))).to_pylist())
         counts = np.concatenate([*counts, np.array([len(x) for x in alone], np.int64)])
         at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        order = np.concatenate(order)
         at[order], size[order] = np.cumsum(counts) - counts, counts
         return np.concatenate([np.zeros(0, np.uint32), *flats, *alone]), at, size
 
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pool, starts and counts of words that are not remembered. Letters are one piece
+        to such a tokenizer, and marks after them another, so each distinct run of letters
+        and of marks is encoded once, and words are put together from the two."""
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        marked = pc.less(pc.binary_length(stems), pc.binary_length(words))
+        # Letters that the tokenizer's normal form or lower case splits take marks to themselves.
+        plain = pc.utf8_is_alpha(stems)
+        wide = pc.not_equal(pc.binary_length(stems), pc.cast(pc.utf8_length(stems), pa.int64()))
+        some = stems.filter(wide)
+        stable = pc.and_(pc.utf8_is_alpha(pc.utf8_normalize(some, "NFC")), pc.invert(pc.match_substring(some, "\u0130")))
+        plain = pc.and_(plain, pc.replace_with_mask(pa.repeat(True, len(stems)), wide, stable))
+        plain = plain if self.parts_marks else pc.and_(plain, pc.invert(marked))
+        marked = pc.and_(plain, marked)
+        marks = pc.extract_regex(words.filter(marked), TRAILING).field("marks")
+        parts = pa.concat_arrays([stems.filter(plain), marks]).dictionary_encode()
+        pool, at, size = self._pieces(parts.dictionary)
+        codes = parts.indices.to_numpy()
+        whole = self._lists(words.filter(pc.invert(plain)).to_pylist())
+        plain, marked = (x.to_numpy(zero_copy_only=False) for x in (plain, marked))
+        # Two places a word: of the letters, or of the whole word, and of the marks.
+        starts, counts = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        letters = np.count_nonzero(plain)
+        for mask, place, own in ((plain, 0, codes[:letters]), (marked, 1, codes[letters:])):
+            starts[mask, place], counts[mask, place] = at[own], size[own]
+        counts[~plain, 0] = sizes = np.array([len(x) for x in whole], np.int64)
+        starts[~plain, 0] = len(pool) + np.cumsum(sizes) - sizes
+        pool = laid(np.concatenate([pool, *whole]), starts.ravel(), counts.ravel())
+        counts = counts.sum(axis=1)
+        return pool, np.cumsum(counts) - counts, counts
+
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pool, starts and counts of distinct words. When the memory is full, it begins
         again with the words at hand, among which are the frequent ones."""

@@ -415,3 +415,16 @@ def test_registered_query_runs(spark, data, name):
     assert len(set(rows.columns)) == len(rows.columns)
     # Few documents may hold no secret and no benchmark item.
     assert rows.count() or name in ("op6_secret_forest", "op9_qgram_decontamination")
+
+
+def test_letters_and_marks_of_words_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    encoder, library = tokens.WordEncoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    seen, inner = [], encoder._lists
+    monkeypatch.setattr(encoder, "_lists", lambda texts: seen.extend(texts) or inner(texts))
+    texts = ["house house, house. house!? (house", "Tree, tree. it's its' \u0130. \u0130, \u0958. \u03a3\u03a3. ", None]
+    flat, offsets = encoder.encode(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    words = " ".join(seen).split()
+    assert words.count("house") == 1 and words.count("tree") == 1 and words.count(",") == 1
