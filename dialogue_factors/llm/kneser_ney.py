@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialogue_factors.llm.common import batch, bounded, chunks, keyed, mix, utf8
+from dialogue_factors.llm.common import batch, bounded, chunks, keyed, mix
 from dialogue_factors.session import materialize
 
 ORDER = 5
@@ -24,6 +26,11 @@ STRETCH = 8
 WORD_EVIDENCE = (0.5, 3.0)
 # Distinct n-grams that a counting task holds before it passes them on.
 HELD_NGRAMS = 4_000_000
+# Bytes of texts that are scored together: each shard is read once for them.
+CHUNK = 1 << 21
+# Symbols that are counted, looked up or judged at once: all beyond keys and values of a
+# chunk, some twenty arrays, has this length. A longer text is taken alone.
+PIECE = 1 << 18
 
 
 def mask(order: int) -> int:
@@ -32,30 +39,32 @@ def mask(order: int) -> int:
 
 def symbols(text: str) -> np.ndarray:
     """Code points as symbols: 1 to 3071 as they are, the rest hashed into 1,024 more."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(points < 3072, np.maximum(points, 1), 3072 + points % 1024)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 3072, np.maximum(points, 1), 3072 + points % 1024).astype(np.uint16)
 
 
 def ngram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The five-symbol key of every character of all texts, and the offsets of each.
     A text is preceded by start symbols."""
-    pad = np.full(ORDER - 1, START, np.int64)
+    pad = np.full(ORDER - 1, START, np.uint16)
     parts = [symbols(t) for t in texts]
     sizes = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate([x for p in parts for x in (pad, p)] + [np.zeros(0, np.int64)])
+    flat = np.concatenate([x for p in parts for x in (pad, p)] + [np.zeros(0, np.uint16)])
+    del parts
     keys = np.zeros(max(len(flat) - ORDER + 1, 0), np.int64)
     for j in range(ORDER):
-        keys = keys << BITS | flat[j:j + len(keys)]
+        keys <<= BITS
+        keys |= flat[j:j + len(keys)]
     # The key at place i ends at i + 4; keys that end in padding are left out.
-    own = np.repeat(np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1), sizes)
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return keys[own + within], np.concatenate([[0], np.cumsum(sizes)])
+    real = np.ones(len(flat), bool)
+    real[((np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1))[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    return keys[real[ORDER - 1:]], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _texts(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for rows in batches:
-        _, sizes = utf8(rows.column(column))
-        for low, high in chunks(sizes, 1 << 21):
+        sizes = pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy()
+        for low, high in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), limit):
             part = rows.slice(low, high - low)
             yield part, [t or "" for t in part.column(column).to_pylist()]
 
@@ -68,27 +77,28 @@ def count_ngrams(trusted: DataFrame) -> DataFrame:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merged(part: int) -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in held[part]])
-            distinct, place = np.unique(keys, return_inverse=True)
-            return distinct, np.bincount(place, np.concatenate([n for _, n in held[part]])).astype(np.int64)
+            keys, n = (np.concatenate(some) for some in zip(*held.pop(part)))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            heads = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+            return keys[heads], np.add.reduceat(n, heads) if len(heads) else n
 
-        def rows_of(part: int) -> pa.RecordBatch:
-            keys, n = held[part][0]
+        def rows_of(part: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return batch(part=pa.array(np.full(len(keys), part, np.int32)), key=pa.array(keys), n=pa.array(n))
 
-        for rows, texts in _texts(batches, 0):
+        for rows, texts in _texts(batches, 0, PIECE):
             keys, offsets = ngram_keys(texts)
             owner = np.repeat(rows.column(1).to_numpy(), np.diff(offsets))
             for part in np.unique(owner).tolist():
                 held.setdefault(part, []).append(np.unique(keys[owner == part], return_counts=True))
             if sum(len(k) for some in held.values() for k, _ in some) > HELD_NGRAMS:
-                held.update({part: [merged(part)] for part in held})
+                for part in list(held):
+                    held[part] = [merged(part)]
                 if sum(len(some[0][0]) for some in held.values()) > HELD_NGRAMS // 2:
-                    yield from (rows_of(part) for part in held)
-                    held.clear()
-        for part in held:
-            held[part] = [merged(part)]
-            yield rows_of(part)
+                    for part in list(held):
+                        yield rows_of(part, *held.pop(part)[0])
+        for part in list(held):
+            yield rows_of(part, *merged(part))
 
     part = F.col("part").cast("int") if "part" in trusted.columns else F.lit(0)
     counted = trusted.select("text", part.alias("part")).mapInArrow(count, "part int, key long, n long")
@@ -216,18 +226,26 @@ def log_probabilities(keys: np.ndarray, shard: dict, floor: np.ndarray, model: n
     return out
 
 
-def worst_stretch(ratios: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The highest sum of `STRETCH` neighbouring ratios of each text that has any symbol."""
-    sums, sizes = np.concatenate([[0.0], np.cumsum(ratios)]), np.diff(offsets)
+def running(values: np.ndarray, before: float = 0.0) -> np.ndarray:
+    """Sums up to each place, from `before` on: pieces that hand on their last sum round as
+    all values in one."""
+    return np.cumsum(np.concatenate([[before], values]))
+
+
+def worst_stretch(ratios: np.ndarray, offsets: np.ndarray, before: float = 0.0) -> np.ndarray:
+    """The highest sum of `STRETCH` neighbouring ratios of each text that has any symbol;
+    the running sum starts at `before`."""
+    sums, sizes = running(ratios, before), np.diff(offsets)
     low = np.arange(len(ratios))
     stretch = sums[np.minimum(low + STRETCH, np.repeat(offsets[1:], sizes))] - sums[low]
     return np.maximum.reduceat(stretch, offsets[:-1][sizes > 0]) if len(ratios) else np.zeros(0)
 
 
-def worst_family(ratios: np.ndarray, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def worst_family(ratios: np.ndarray, keys: np.ndarray, offsets: np.ndarray, before: float = 0.0) -> np.ndarray:
     """The most evidence of each text that distinct words with one beginning, their first
     `ORDER` symbols, give together: insults come in many forms, and a rare word that only
-    happens to be likelier under the toxic model comes alone."""
+    happens to be likelier under the toxic model comes alone. The running sum of ratios starts
+    at `before`."""
     out = np.zeros(len(offsets) - 1)
     symbol = keys & mask(1)
     blank = (symbol == 32) | ((symbol >= 9) & (symbol <= 13))
@@ -237,7 +255,7 @@ def worst_family(ratios: np.ndarray, keys: np.ndarray, offsets: np.ndarray) -> n
     if not len(starts):
         return out
     ends = np.flatnonzero(~blank & (edge[1:] | np.concatenate([blank[1:], [True]]))) + 1
-    sums = np.concatenate([[0.0], np.cumsum(ratios)])
+    sums = running(ratios, before)
     after = np.where(edge[ends], ends, np.minimum(ends + 1, len(keys)))  # the blank behind a word is part of it
     least, most = WORD_EVIDENCE
     said = np.minimum(sums[after] - sums[starts] - least, most)
@@ -260,15 +278,53 @@ def worst_family(ratios: np.ndarray, keys: np.ndarray, offsets: np.ndarray) -> n
     return out
 
 
+def judge(
+    texts: list[str], fold: np.ndarray, shared: list[Broadcast], floor: np.ndarray, folds: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of a chunk: its log probability under its fold's model, its symbols, and
+    how much likelier its worst stretch and family of words are under the second model.
+
+    Each distinct key is looked up once, and the shards of the model are taken one after the
+    other: a shard scores the characters that follow its pairs of symbols. Look-ups, and
+    then texts, are taken in pieces, so that only keys and values are held for the whole
+    chunk. The running sums go on from piece to piece.
+    """
+    keys, offsets = ngram_keys(texts)
+    keys |= np.repeat(fold.astype(np.int64) << BITS * ORDER, np.diff(offsets))
+    distinct = np.sort(keys)
+    distinct = distinct[np.concatenate([np.ones(min(len(keys), 1), bool), distinct[1:] != distinct[:-1]])]
+    values, second = np.zeros(len(distinct)), np.zeros(len(distinct))
+    place = (((distinct >> BITS) & mask(2)) * 0x9E3779B1 >> 8) % len(shared)
+    for number, table in enumerate(shared):
+        mine = np.flatnonzero(place == number)
+        for low in range(0, len(mine), PIECE):
+            some = mine[low:low + PIECE]
+            own, by = distinct[some] & mask(ORDER), distinct[some] >> BITS * ORDER
+            values[some] = log_probabilities(own, table.value, floor, by)
+            second[some] = log_probabilities(own, table.value, floor, by + folds)
+        if len(shared) > 1 and len(mine) and table._path is not None:
+            del table._value  # read again from the executor's disk: one shard in memory
+    total, worst, family = (np.zeros(len(texts)) for _ in range(3))
+    before, ahead = 0.0, 0.0
+    for low, high in chunks(offsets, PIECE):
+        own, ends = keys[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
+        known, at = np.unique(own, return_inverse=True)
+        at = np.searchsorted(distinct, known)[at]
+        likely = values[at]
+        ratios = second[at] - likely
+        sums = running(likely, before)
+        total[low:high] = sums[ends[1:]] - sums[ends[:-1]]
+        worst[low:high][np.diff(ends) > 0] = worst_stretch(ratios, ends, ahead)
+        family[low:high] = worst_family(ratios, own & mask(ORDER), ends, ahead)
+        before, ahead = sums[-1], running(ratios, ahead)[-1]
+    return total, np.diff(offsets), worst, family
+
+
 def score(rows: DataFrame, model: Model, folds: int, *carry: str) -> DataFrame:
     """`carry` columns, `log_probability` and `symbols` of each text, a row for each row;
     a text is scored by the model that its column `fold` names. `worst` and `family`: how
     much likelier the worst stretch of the whole text, and the worst family of words, are
     under the fold's second model (null without).
-
-    A task looks up each distinct key of a chunk of texts once, and takes the shards of
-    the model one after the other: a shard scores the characters that follow its pairs of
-    symbols.
     """
     base = rows.select("text", F.col("fold").cast("int").alias("fold"), "key_id", "key_text", *carry)
     schema = base.drop("text", "fold").schema.add("log_probability", "double").add("symbols", "long").add("worst", "double").add("family", "double")
@@ -277,28 +333,13 @@ def score(rows: DataFrame, model: Model, folds: int, *carry: str) -> DataFrame:
     floor, both = model.floor, model.taught[:folds] & model.taught[folds:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, 0):
-            keys, offsets = ngram_keys(texts)
-            fold = np.repeat(part.column(1).to_numpy().astype(np.int64), np.diff(offsets))
-            distinct, at = np.unique(fold << BITS * ORDER | keys, return_inverse=True)
-            own, fold = distinct & mask(ORDER), distinct >> BITS * ORDER
-            values, second = np.zeros(len(own)), np.zeros(len(own))
-            place = (((own >> BITS) & mask(2)) * 0x9E3779B1 >> 8) % len(shared)
-            for number, table in enumerate(shared):
-                mine = np.flatnonzero(place == number)
-                values[mine] = log_probabilities(own[mine], table.value, floor, fold[mine])
-                second[mine] = log_probabilities(own[mine], table.value, floor, fold[mine] + folds)
-                if len(shared) > 1 and table._path is not None:
-                    del table._value  # read again from the executor's disk: one shard in memory
-            values, second = values[at], second[at]
-            sums = np.concatenate([[0.0], np.cumsum(values)])
-            sizes, worst = np.diff(offsets), np.zeros(len(texts))
-            worst[sizes > 0] = worst_stretch(second - values, offsets)
-            family = worst_family(second - values, keys, offsets)
-            unknown = (sizes == 0) | ~both[part.column(1).to_numpy()]
+        for part, texts in _texts(batches, 0, CHUNK):
+            fold = part.column(1).to_numpy()
+            total, sizes, worst, family = judge(texts, fold, shared, floor, folds)
+            unknown = (sizes == 0) | ~both[fold]
             columns = {n: part.column(i) for i, n in enumerate(part.schema.names) if i > 1}
             yield batch(
-                **columns, log_probability=pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), symbols=pa.array(sizes),
+                **columns, log_probability=pa.array(total), symbols=pa.array(sizes),
                 worst=pa.array(worst, mask=unknown), family=pa.array(family, mask=unknown),
             )
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dialogue_factors.llm import bitplanes, jaccard_join, suffix_dedup, tokens
+from dialogue_factors.llm import bitplanes, jaccard_join, kneser_ney, suffix_dedup, tokens
 from dialogue_factors.llm.decontaminate import find_leaks
 from dialogue_factors.llm.invertible_sketch import differences, estimate, fingerprints, signed, sketch, subtract
 from dialogue_factors.llm.kneser_ney import classify, fit, log_probabilities, ngram_keys, worst_family, _shard
@@ -293,6 +295,48 @@ def test_kneser_ney_shards_agree(spark, data, monkeypatch):
     assert classify(documents(spark, []), labels).count() == 0
 
 
+def test_kneser_ney_pieces_hold_little(monkeypatch):
+    """Texts judged in pieces give the bits of all texts at once, and a chunk of 2 MB holds
+    some 40 bytes a symbol, not the 200 of running sums and words of the whole chunk."""
+    draw = np.random.default_rng(6)
+    words = ["".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(1, 12))) for _ in range(3000)]
+    texts = [" ".join(words[w] for w in draw.integers(0, 3000, n)) for n in draw.integers(0, 900, 640)] + [""]
+    fold = np.arange(len(texts)) % 2
+    keys, offsets = ngram_keys(texts)
+    seen = np.unique(keys)[::2]
+    shard = {}
+    for order in range(1, 6):
+        some = np.unique(seen & (1 << 12 * order) - 1)
+        some = np.concatenate([some | m << 60 for m in range(4)])
+        shard[order, False] = some, -9 * draw.random(len(some)).astype(np.float32)
+    shared = [SimpleNamespace(value=shard, _path=None)]
+    run = lambda: kneser_ney.judge(texts, fold, shared, np.full(4, -9.0), 2)
+    tracemalloc.start()
+    got = run()
+    assert tracemalloc.get_traced_memory()[1] < 80 * len(keys) and 1_700_000 < len(keys) < 2_300_000
+    tracemalloc.stop()
+    monkeypatch.setattr(kneser_ney, "PIECE", 1 << 40)
+    for piece, whole in zip(got, run()):
+        assert piece.tobytes() == whole.tobytes()
+    values, second = (log_probabilities(keys, shard, np.full(4, -9.0), np.repeat(fold + m, np.diff(offsets))) for m in (0, 2))
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    assert np.array_equal(got[0], sums[offsets[1:]] - sums[offsets[:-1]])
+    assert np.array_equal(got[3], worst_family(second - values, keys, offsets)) and got[3].max() > 0
+
+
+def test_kneser_ney_counts_when_little_is_held(spark, monkeypatch):
+    texts = [("abba cabbage", 0), (None, 1), ("a cab \u3042", 1), ("", 0), ("abba " * 40, 2), ("abba cabbage", 1), ("x", 2)]
+    want = Counter()
+    for text, part in texts:
+        padded = [0] * 4 + [ord(c) if ord(c) < 3072 else 3072 + ord(c) % 1024 for c in text or ""]
+        want.update((part, sum(c << 12 * (4 - j) for j, c in enumerate(padded[i:i + 5]))) for i in range(len(padded) - 4))
+    docs = spark.createDataFrame(texts, "text string, part int").coalesce(1)
+    for held in (10, 60, 4_000_000):
+        monkeypatch.setattr(kneser_ney, "HELD_NGRAMS", held)
+        monkeypatch.setattr(kneser_ney, "PIECE", 16)
+        assert {(r.part, r.key): r.n for r in kneser_ney.count_ngrams(docs).collect()} == want
+
+
 def test_kneser_ney_rare_languages(spark, data):
     docs, labels = small(spark, data), small(spark, data, "labels")
     good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
