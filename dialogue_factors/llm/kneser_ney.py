@@ -18,8 +18,9 @@ ORDER = 5
 BITS = 12  # of a symbol; a key of five symbols fits a long
 SYMBOLS = 1 << BITS
 START = 0
-# Entries of a shard of the model, broadcast one at a time: 16 bytes each.
-SHARD_ENTRIES = 2_000_000
+# Entries of a shard of the model, broadcast one at a time. The driver collects a shard in
+# some copies of 13 bytes an entry, in Spark and in Python, so that they set its memory.
+SHARD_ENTRIES = 500_000
 # Symbols of a stretch of text that is judged by itself.
 STRETCH = 8
 # What a word says for the toxic model counts above the first and up to the second of these.
@@ -121,8 +122,8 @@ def _discounts(counts: DataFrame, models: int) -> list[list[float]]:
 @dataclass(frozen=True)
 class Model:
     """`entries` (stored): `model, order, context, key, value`: the natural logarithm of an
-    n-gram's probability, or of a context's weight for lower orders; `shards` of bounded
-    size. `floor`: for each model, that of a symbol never seen. `taught`: which models have
+    n-gram's probability, or of a context's weight for lower orders; those of a fold make
+    `shards` of bounded size. `floor`: for each model, that of a symbol never seen. `taught`: which models have
     seen any text."""
 
     entries: DataFrame
@@ -181,23 +182,28 @@ def fit(trusted: DataFrame, folds: int = 1, models: int = 1) -> Model:
     for part in parts[1:]:
         entries = entries.unionByName(part)
     entries = materialize(entries, "model")
-    return Model(entries, max(1, -(-entries.count() // SHARD_ENTRIES)), floor, taught)
+    most = entries.groupBy(F.col("model") % folds).count().agg(F.max("count").alias("n")).first().n or 0
+    return Model(entries, max(1, -(-most // SHARD_ENTRIES)), floor, taught)
 
 
-def _shard(model: Model, number: int) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
-    """Arrays of one shard: what is keyed by its pairs of symbols, and the short entries. A
-    model's number stands above the bits of the key."""
+def _shard(model: Model, number: int, fold: int = 0, folds: int = 1) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
+    """Arrays of one shard of a fold's models: what is keyed by its pairs of symbols, and the
+    short entries. A model's number stands above the bits of the key."""
     pair = F.when(F.col("context"), F.col("key")).otherwise(F.shiftright("key", BITS)).bitwiseAND(F.lit(mask(2)))
     short = F.col("order") <= 2
+    kind = (F.col("order") * 2 + F.col("context").cast("int")).cast("byte")
     key = F.col("key").bitwiseOR(F.shiftleft(F.col("model").cast("long"), BITS * ORDER))
-    table = model.entries.where(short | (shard_of(pair, model.shards) == number)).select(
-        "order", "context", key.alias("key"), F.col("value").cast("float").alias("value")
-    ).toArrow().to_pandas()
+    own = model.entries.where(F.col("model") % folds == fold)
+    table = own.where(short | (shard_of(pair, model.shards) == number)).select(
+        kind.alias("kind"), key.alias("key"), F.col("value").cast("float").alias("value")
+    ).toArrow()
+    kinds, keys, values = (table.column(i).to_numpy() for i in range(3))
+    del table
     out = {}
-    for kind, rows in table.groupby(["order", "context"]):
-        keys, values = rows.key.to_numpy(np.int64), rows.value.to_numpy(np.float32)
-        order = np.argsort(keys)
-        out[int(kind[0]), bool(kind[1])] = keys[order], values[order]
+    for one in np.unique(kinds).tolist():
+        own = np.flatnonzero(kinds == one)
+        own = own[np.argsort(keys[own])]
+        out[one >> 1, bool(one & 1)] = keys[own], values[own]
     return out
 
 
@@ -325,25 +331,37 @@ def score(rows: DataFrame, model: Model, folds: int, *carry: str) -> DataFrame:
     a text is scored by the model that its column `fold` names. `worst` and `family`: how
     much likelier the worst stretch of the whole text, and the worst family of words, are
     under the fold's second model (null without).
+
+    A fold after the other is scored and stored, so that the driver and the executors hold
+    the shards of one fold only.
     """
     base = rows.select("text", F.col("fold").cast("int").alias("fold"), "key_id", "key_text", *carry)
     schema = base.drop("text", "fold").schema.add("log_probability", "double").add("symbols", "long").add("worst", "double").add("family", "double")
     context = rows.sparkSession.sparkContext
-    shared = [context.broadcast(_shard(model, number)) for number in range(model.shards)]
     floor, both = model.floor, model.taught[:folds] & model.taught[folds:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, 0, CHUNK):
-            fold = part.column(1).to_numpy()
-            total, sizes, worst, family = judge(texts, fold, shared, floor, folds)
-            unknown = (sizes == 0) | ~both[fold]
-            columns = {n: part.column(i) for i, n in enumerate(part.schema.names) if i > 1}
-            yield batch(
-                **columns, log_probability=pa.array(total), symbols=pa.array(sizes),
-                worst=pa.array(worst, mask=unknown), family=pa.array(family, mask=unknown),
-            )
-
-    return base.mapInArrow(run, schema)
+    def scored(one: int, shared: list[Broadcast]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in _texts(batches, 0, CHUNK):
+                fold = part.column(1).to_numpy()
+                total, sizes, worst, family = judge(texts, fold, shared, floor, folds)
+                unknown = (sizes == 0) | ~both[fold]
+                columns = {n: part.column(i) for i, n in enumerate(part.schema.names) if i > 1}
+                yield batch(
+                    **columns, log_probability=pa.array(total), symbols=pa.array(sizes),
+                    worst=pa.array(worst, mask=unknown), family=pa.array(family, mask=unknown),
+                )
+
+        return materialize(base.where(F.col("fold") == one).mapInArrow(run, schema), "scored")
+
+    out = None
+    for one in range(folds):
+        shared = [context.broadcast(_shard(model, number, one, folds)) for number in range(model.shards)]
+        part = scored(one, shared)
+        out = part if out is None else out.unionByName(part)
+        for table in shared:
+            table.destroy()
+    return out
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -406,7 +424,7 @@ def classify(
     surprisal = F.when(F.col("symbols") > 0, -F.col("log_probability") / F.col("symbols"))
     size = F.when(F.col("symbols") > 0, F.log("symbols"))
     scored = score(rows, model, folds, "doc_id", "lang").withColumn("surprisal", surprisal).withColumn("size", size)
-    scored = materialize(scored.drop("log_probability", "symbols"), "scored")
+    scored = scored.drop("log_probability", "symbols")
     held = scored.where("surprisal is not null").join(good, "doc_id", "left_semi").select("lang", "surprisal", "size", "worst", "family")
     held = materialize(held, "held")
     by_lang = limits(held, "surprisal", quantile).select("lang", (F.exp("limit") * slack).alias("threshold"))

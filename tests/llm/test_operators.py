@@ -295,6 +295,30 @@ def test_kneser_ney_shards_agree(spark, data, monkeypatch):
     assert classify(documents(spark, []), labels).count() == 0
 
 
+def test_kneser_ney_shards_pass_the_driver_in_little(spark):
+    """The driver holds a shard in some 35 bytes an entry of its Python, not in the 80 of a
+    data frame and its groups, and a shard is a few megabytes whatever the model."""
+    rows = 400_000
+    entries = spark.range(rows).select(
+        (F.col("id") % 8).cast("int").alias("model"), F.lit(4).alias("order"), (F.col("id") % 5 == 0).alias("context"),
+        F.pmod(F.xxhash64("id"), F.lit(1 << 36)).alias("key"), (-F.col("id") / 7).alias("value"),
+    )
+    entries = entries.dropDuplicates(["model", "context", "key"])
+    model = kneser_ney.Model(entries, 1, np.zeros(8), np.ones(8, bool))
+    _shard(model, 0)
+    tracemalloc.start()
+    shard = _shard(model, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {(bool(r.context), r.model << 60 | r.key): np.float32(r.value) for r in entries.collect()}
+    got = {(c, k): v for (_, c), (keys, values) in shard.items() for k, v in zip(keys.view(np.uint64).tolist(), values)}
+    assert set(shard) == {(4, False), (4, True)} and len(want) > 0.99 * rows
+    assert got == {(c, k & (1 << 64) - 1): v for (c, k), v in want.items()}
+    assert all((np.diff(keys) > 0).all() for keys, _ in shard.values())
+    assert peak < 50 * rows
+    assert peak / rows * kneser_ney.SHARD_ENTRIES < 25e6
+
+
 def test_kneser_ney_pieces_hold_little(monkeypatch):
     """Texts judged in pieces give the bits of all texts at once, and a chunk of 2 MB holds
     some 40 bytes a symbol, not the 200 of running sums and words of the whole chunk."""
